@@ -1,0 +1,169 @@
+"""Branches, tags and commits over snapshots of tables.
+
+A commit names, for every table, the Parquet folders that make up its rows. Folders
+are never changed, so a branch or tag costs one row and a rollback costs one row.
+One writer per branch is assumed and checked: a commit must follow the current head.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import json
+import uuid
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from assetlake.functions.paths import join_path
+from assetlake.operators.graph import ancestors
+from assetlake.operators.versions import branch_merge
+
+MAIN = "main"
+_COMMITS = (
+    "commit_id string, parent string, branch string, message string, at timestamp, "
+    "tables map<string, array<string>>, schemas map<string, string>"
+)
+_REFS = "ref string, kind string, commit_id string, seq bigint"
+
+
+class StaleHead(RuntimeError):
+    """Somebody else committed to the branch first."""
+
+
+class MergeConflict(RuntimeError):
+    """Both branches changed the same keys differently."""
+
+    def __init__(self, conflicts: DataFrame):
+        super().__init__("both branches changed the same keys differently")
+        self.conflicts = conflicts
+
+
+@dataclass
+class Lake:
+    spark: SparkSession
+    root: str
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(join_path(self.root, "_meta", name))
+        except AnalysisException:
+            return self.spark.createDataFrame([], schema)
+
+    def commits(self) -> DataFrame:
+        return self._read("commits", _COMMITS)
+
+    def refs(self) -> DataFrame:
+        """Current commit of every branch and tag."""
+        newest = self._read("refs", _REFS).groupBy("ref").agg(F.max_by(F.struct("kind", "commit_id", "seq"), "seq").alias("r"))
+        return newest.select("ref", "r.kind", "r.commit_id")
+
+    def _ref(self, ref: str) -> T.Row | None:
+        rows = self._read("refs", _REFS).filter(F.col("ref") == ref)
+        return rows.orderBy(F.desc("seq")).first()
+
+    def _commit(self, commit_id: str | None) -> T.Row | None:
+        return None if commit_id is None else self.commits().filter(F.col("commit_id") == commit_id).first()
+
+    def _move(self, ref: str, kind: str, commit_id: str | None, seq: int) -> None:
+        row = self.spark.range(1).select(
+            F.lit(ref).alias("ref"), F.lit(kind).alias("kind"), F.lit(commit_id).cast("string").alias("commit_id"),
+            F.lit(seq).cast("bigint").alias("seq"),
+        )
+        try:
+            row.write.mode("errorifexists").parquet(join_path(self.root, "_meta", "refs", f"move={ref}-{seq}"))
+        except AnalysisException as error:
+            raise StaleHead(f"{ref} was moved by another writer") from error
+
+    def head(self, ref: str = MAIN) -> str | None:
+        row = self._ref(ref)
+        if row is None and ref != MAIN:
+            raise KeyError(f"no branch or tag {ref!r}")
+        return row["commit_id"] if row else None
+
+    def _create(self, name: str, kind: str, start: str | None) -> None:
+        if name == MAIN or self._ref(name) is not None:
+            raise ValueError(f"{name!r} exists already")
+        self._move(name, kind, start, 0)
+
+    def branch(self, name: str, start: str = MAIN) -> None:
+        """Name the current commit of ``start``; no data is copied."""
+        self._create(name, "branch", self.head(start))
+
+    def tag(self, name: str, ref: str = MAIN) -> None:
+        self._create(name, "tag", self.head(ref))
+
+    def commit(self, table: str, df: DataFrame, branch: str = MAIN, mode: str = "overwrite", message: str = "",
+               expected_head: str | None = None, at: dt.datetime | None = None) -> str:
+        """Write ``df`` as the table's new content, or as an addition with ``mode="append"``.
+
+        An append leaves the existing folders alone. ``expected_head`` is the commit
+        the caller has read; if the branch has moved on, nothing is committed.
+        """
+        ref = self._ref(branch)
+        head = ref["commit_id"] if ref else None
+        if ref is None and branch != MAIN:
+            raise KeyError(f"no branch {branch!r}")
+        if ref is not None and ref["kind"] == "tag":
+            raise ValueError(f"{branch!r} is a tag and cannot move")
+        if expected_head is not None and expected_head != head:
+            raise StaleHead(f"{branch} is at {head}, not at {expected_head}")
+        previous = self._commit(head)
+        commit_id = uuid.uuid4().hex
+        path = join_path(self.root, "data", table, commit_id)
+        df.write.mode("errorifexists").parquet(path)
+        tables = dict(previous["tables"]) if previous else {}
+        schemas = dict(previous["schemas"]) if previous else {}
+        tables[table] = [*tables.get(table, []), path] if mode == "append" else [path]
+        schemas[table] = df.schema.json()
+        moment = F.lit(at) if at is not None else F.current_timestamp()
+        row = self.spark.createDataFrame(
+            [(commit_id, head, branch, message, None, tables, schemas)], _COMMITS
+        ).withColumn("at", moment.cast("timestamp"))
+        row.coalesce(1).write.mode("errorifexists").parquet(join_path(self.root, "_meta", "commits", f"id={commit_id}"))
+        self._move(branch, "branch", commit_id, ref["seq"] + 1 if ref else 0)
+        return commit_id
+
+    def log(self, ref: str = MAIN) -> DataFrame:
+        """Commits behind a branch or tag; ``distance`` 0 is the newest."""
+        heads = self.spark.createDataFrame([(ref, self.head(ref))], "ref string, commit_id string").dropna()
+        behind = ancestors(self.commits().select("commit_id", "parent"), heads)
+        return behind.join(self.commits(), "commit_id").select("distance", "commit_id", "parent", "branch", "message", "at").orderBy("distance")
+
+    def read(self, table: str, ref: str = MAIN, commit: str | None = None, at: dt.datetime | None = None) -> DataFrame:
+        """The table at a ref, at a commit, or as the ref was at a time."""
+        if commit is None:
+            commit = self.head(ref)
+            if at is not None:
+                found = self.log(ref).filter(F.col("at") <= F.lit(at)).orderBy("distance").first()
+                commit = found["commit_id"] if found else None
+        row = self._commit(commit)
+        if row is None or table not in row["tables"]:
+            raise KeyError(f"no table {table!r} at this version")
+        schema = T.StructType.fromJson(json.loads(row["schemas"][table]))
+        return self.spark.read.schema(schema).parquet(*row["tables"][table])
+
+    def rollback(self, commit: str, branch: str = MAIN) -> None:
+        """Return a branch to an earlier commit of its own history; later snapshots stay on disk."""
+        ref = self._ref(branch)
+        if ref is None or self.log(branch).filter(F.col("commit_id") == commit).isEmpty():
+            raise KeyError(f"{commit} is not in the history of {branch!r}")
+        self._move(branch, "branch", commit, ref["seq"] + 1)
+
+    def merge(self, table: str, key: str | list[str], source: str, into: str = MAIN) -> str:
+        """Merge one table of a branch into another, against their newest common commit."""
+        ours, theirs = self.log(into), self.log(source).select("commit_id", F.col("distance").alias("_d"))
+        common = ours.join(theirs, "commit_id").orderBy("distance").first()
+        if common is None:
+            raise ValueError(f"{source!r} and {into!r} share no commit")
+        keys = [key] if isinstance(key, str) else list(key)
+        head = self.head(into)
+        base = self.read(table, commit=common["commit_id"])
+        rows = branch_merge(base, self.read(table, into), self.read(table, source), keys)
+        conflicts = rows.filter("conflict").select(*keys)
+        if not conflicts.isEmpty():
+            raise MergeConflict(conflicts)
+        merged = rows.filter("present").select(*keys, "merged.*").select(*base.columns)
+        return self.commit(table, merged, into, message=f"merge {source}", expected_head=head)
