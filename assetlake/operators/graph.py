@@ -17,7 +17,7 @@ def impact(edges: DataFrame, roots: DataFrame) -> DataFrame:
     earlier round. Cycles end by themselves; the roots are not part of the result
     unless an edge leads back to them.
     """
-    links = edges.select("src", "dst").distinct()
+    links = edges.select("src", "dst")
     frontier = roots.select("node").distinct()
     seen: DataFrame | None = None
     depth = 0

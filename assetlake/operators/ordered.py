@@ -65,7 +65,6 @@ def hot_groups(df: DataFrame, group: Sequence[str], order: str, rows_per_task: i
     counts = df.groupBy(*group).agg(F.count("*").alias("_n"))
     total = df.agg((F.count("*") / F.lit(_MOST_HOT_GROUPS)).alias("_floor"))
     hot = counts.filter(F.col("_n") > F.greatest(F.lit(float(rows_per_task)), total.scalar()))
-    hot = cut(hot)
     if hot.isEmpty():
         return None
     number = order_number(F.col(order), df.schema[order].dataType)

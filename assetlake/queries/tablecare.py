@@ -68,15 +68,15 @@ def constraint_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("constraint_quarantine", """
-    select event_id, list_filter([case when event_type not in ('click', 'view') then 'known type' end,
-        case when not value between 0 and 20 then 'value range' end], lambda x: x is not null) as broken
+    select event_id, concat_ws(', ', case when event_type not in ('click', 'view') then 'known type' end,
+        case when not value between 0 and 20 then 'value range' end) as broken
     from events where event_type not in ('click', 'view') or not value between 0 and 20
 """)
 def constraint_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, bad = care.constraint_split(table(spark, sf_dir, "events"), {
         "known type": care.allowed("event_type", ["click", "view"]), "value range": care.between("value", 0, 20),
     })
-    return bad.select("event_id", "broken")
+    return bad.select("event_id", F.concat_ws(", ", "broken").alias("broken"))
 
 
 @query("file_stats", """

@@ -27,7 +27,7 @@ def session(app: str = "assetlake", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-        "spark.sql.parquet.filterPushdown": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({name.replace("__", "."): value for name, value in conf.items()})
     for name, value in settings.items():
