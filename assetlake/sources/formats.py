@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from enum import Enum
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,15 +31,20 @@ _TIMES = {
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
 
+# Doubled quotes keep text with quotes, newlines and backslashes. A null is written as \N, as
+# an empty field could also be an empty text; text that is exactly \N would come back as null.
+_CSV = {
+    "header": "true", "escape": '"', "nullValue": "\\N", "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false", **_TIMES,
+}
+
 _WRITE_OPTIONS: dict[TableFormat, Mapping[str, str]] = {
-    # Quotes are doubled and empty text is quoted, so that text with quotes, newlines and
-    # backslashes as well as the difference between "" and null survive.
-    TableFormat.CSV: {"header": "true", "escape": '"', "emptyValue": '""', "lineSep": "\n", **_TIMES},
+    TableFormat.CSV: {**_CSV, "emptyValue": '""', "lineSep": "\n"},
     TableFormat.JSON: {"ignoreNullFields": "false", **_TIMES},
 }
 
 _READ_OPTIONS: dict[TableFormat, Mapping[str, str]] = {
-    TableFormat.CSV: {"header": "true", "escape": '"', "multiLine": "true", "emptyValue": "", "mode": "FAILFAST", **_TIMES},
+    TableFormat.CSV: {**_CSV, "emptyValue": "", "multiLine": "true", "mode": "FAILFAST"},
     TableFormat.JSON: {"mode": "FAILFAST", **_TIMES},
 }
 
@@ -47,19 +53,14 @@ class MissingPackage(RuntimeError):
     """The format needs a package that is not on the class path."""
 
 
-def _explain_missing(error: AnalysisException, fmt: TableFormat) -> Exception:
-    if fmt in _PACKAGES and error.getCondition() in ("DATA_SOURCE_NOT_FOUND", "FAILED_TO_FIND_DATASOURCE", None):
-        return MissingPackage(f"format {fmt.value!r} needs the package {_PACKAGES[fmt]} on the class path")
+def _explain_missing(error: Exception, fmt: TableFormat) -> Exception:
     text = str(error)
-    if fmt in _PACKAGES and fmt.value in text.lower() and ("find" in text or "deploy" in text.lower()):
+    unknown = "DATA_SOURCE_NOT_FOUND" in text or "Failed to find data source" in text
+    if fmt in _PACKAGES and unknown:
         return MissingPackage(f"format {fmt.value!r} needs the package {_PACKAGES[fmt]} on the class path")
     return error
 
 
-def _wire_schema(schema: T.StructType) -> T.StructType:
-    return nullable(schema)
-
-
 def write_table(df: DataFrame, path: str, fmt: TableFormat = TableFormat.PARQUET, partition_by: Sequence[str] = (),
                 mode: str = "overwrite", replace_partitions: bool = False, options: Mapping[str, str] | None = None) -> str:
     """Write ``df`` and return ``path``.
@@ -78,7 +79,7 @@ def write_table(df: DataFrame, path: str, fmt: TableFormat = TableFormat.PARQUET
         writer = writer.option("partitionOverwriteMode", "dynamic")
     try:
         writer.options(**(options or {})).save(path)
-    except AnalysisException as error:
+    except (AnalysisException, Py4JJavaError) as error:
         raise _explain_missing(error, fmt) from error
     return path
 
@@ -91,10 +92,10 @@ def read_table(spark: SparkSession, path: str, schema: RowType | T.StructType |
     as ``007`` would come back as numbers.
     """
     declared = as_row_type(schema).schema
-    reader = spark.read.format(fmt.value).schema(_wire_schema(declared)).options(**_READ_OPTIONS.get(fmt, {}))
+    reader = spark.read.format(fmt.value).schema(nullable(declared)).options(**_READ_OPTIONS.get(fmt, {}))
     try:
         return reader.load(path).select(*[F.col(f"`{c}`") for c in declared.names])
-    except AnalysisException as error:
+    except (AnalysisException, Py4JJavaError) as error:
         raise _explain_missing(error, fmt) from error
 
 

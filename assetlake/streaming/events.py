@@ -20,7 +20,8 @@ def file_events(spark: SparkSession, bucket: Bucket, prefix: str | None = None)
     (``put_events``) or compare inventories (``operators.objects.changes``).
     """
     files = (
-        spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+        .option("recursiveFileLookup", "true")
         .load(join_path(bucket.root, prefix))
     )
     stamp = F.md5(F.concat_ws("-", "key", "size", F.unix_micros("modificationTime")).cast("binary"))
