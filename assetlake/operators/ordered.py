@@ -204,18 +204,24 @@ def sessions(df: DataFrame, group: Sequence[str], ts: str, gap: str,
     flagged = rows.withColumn("_new", F.when(joins, 0).otherwise(1))
     numbered = flagged.withColumn("_local", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     runs = numbered.groupBy(*keys, "_local").agg(
-        F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n")
+        F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"),
+        *([F.bool_or(_IS_HOT).alias(_IS_HOT)] if hot is not None else []),
     )
-    sid = F.col("_local")
-    if hot is not None:
-        # Few rows are left: one per run. Runs that touch over a slice border grow together.
-        order = Window.partitionBy(*group).orderBy(_SLICE, "_local")
-        before = F.lag("end").over(order)
-        joins = before.isNotNull() & (F.col("start") < before + F.expr(f"interval {gap}"))
-        runs = runs.withColumn("_new", F.when(joins, 0).otherwise(1))
-        runs = runs.withColumn("_sid", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        runs = runs.groupBy(*group, "_sid").agg(
-            F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")
-        )
-        sid = F.col("_sid")
-    return runs.select(*group, sid.alias("sid"), "start", "end", "n")
+    if hot is None:
+        return runs.select(*group, F.col("_local").alias("sid"), "start", "end", "n")
+    # Inside a hot group only the run at a slice's border can grow together with the slice before.
+    # How many runs came before, less those that did, is one number per slice.
+    slices = runs.filter(_IS_HOT).groupBy(*keys).agg(
+        F.max("_local").alias("_runs"), F.min("start").alias("_first"), F.max("end").alias("_last")
+    )
+    before = Window.partitionBy(*group).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max("_last").over(before)
+    grown = F.when(F.col("_first") < last + F.expr(f"interval {gap}"), 1).otherwise(0)
+    slices = slices.withColumn("_grown", grown)
+    shift = F.coalesce(F.sum(F.col("_runs") - F.col("_grown")).over(before), F.lit(0)) - F.col("_grown")
+    moved = _add_from_slices(runs, keys, slices.select(*keys, shift.alias("_shift")), "_shift")
+    moved = moved.withColumn("sid", F.col("_local") + F.coalesce("_shift", F.lit(0)))
+    whole = moved.groupBy(*group, "sid").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")
+    )
+    return whole.select(*group, "sid", "start", "end", "n")

@@ -118,6 +118,7 @@ class Namespace:
         self.name = name
         self.parent = parent
         self.children: dict[str, Namespace] = {}
+        self.declared: list[TableAsset] = []
 
     def __getattr__(self, name: str) -> Namespace:
         if name.startswith("_"):
@@ -135,7 +136,24 @@ class Namespace:
         The function takes one DataFrame per input; parameters annotated as
         pandas-on-Spark frames get that form, and may return it.
         """
-        return _table_decorator(lambda f: f"{self.path}.{name or f.__name__}", input, output, format, partition_by)
+        decorate = _table_decorator(lambda f: f"{self.path}.{name or f.__name__}", input, output, format, partition_by)
+
+        def declare(f: Callable) -> TableAsset:
+            self.declared.append(decorate(f))
+            return self.declared[-1]
+
+        return declare
+
+    def tables(self, names: Sequence[str] | None = None) -> list[TableAsset]:
+        """All tables declared here and below, or those with the given full names."""
+        found = [*self.declared, *[t for child in self.children.values() for t in child.tables()]]
+        if names is None:
+            return found
+        known = {t.name: t for t in found}
+        unknown = [n for n in names if n not in known]
+        if unknown:
+            raise KeyError(f"no asset {', '.join(unknown)}; known are {', '.join(sorted(known))}")
+        return [known[n] for n in names]
 
 
 _databases: dict[str, DB] = {}
@@ -194,14 +212,16 @@ def _write(spark: SparkSession, node: TableAsset, df: DataFrame, path: str, slot
     return result, [counts[f"slot{i}"] for i in range(len(per_slot))]
 
 
-def materialize(spark: SparkSession, root: str, assets: Sequence[AssetNode], branch: str = DEFAULT_BRANCH,
+def materialize(spark: SparkSession, root: str, assets: Sequence[AssetNode] | Namespace, branch: str = DEFAULT_BRANCH,
                 run_id: str | None = None) -> list[Materialized]:
-    """Write the assets and all tables upstream of them, each once.
+    """Write the assets (all tables of a namespace) and all tables upstream of them, each once.
 
     A table is computed from what was written for its inputs, so shared inputs are
     not recomputed and a failed run can be looked into. Every written table is also
     registered as the temporary view ``db__ns__table``.
     """
+    if isinstance(assets, Namespace):
+        assets = assets.tables()
     run_id = run_id or uuid.uuid4().hex
     frames: dict[AssetNode, DataFrame] = {}
     done = []

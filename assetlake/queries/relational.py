@@ -153,15 +153,18 @@ def rel_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("rel_asof", """
-    select o_orderkey, e.event_id from (select o_orderkey, o_custkey,
-        timestamp '2024-01-01 00:00:00' + (o_orderkey % 40000) * interval '1' minute as t from orders) o
-    asof left join events e on o.o_custkey = e.user_id and o.t >= e.ts
+    select e.event_id, v.event_id as view_id, v.value as view_value from events e
+    asof left join (select * from events where event_type = 'view') v on e.user_id = v.user_id and e.ts >= v.ts
 """)
 def rel_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(o_orderkey % 40000 as int), 0)"
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), F.expr(at).alias("t"))
-    events = table(spark, sf_dir, "events")
-    return as_of_join(orders, events, ["user_id"], "t", "ts", ["event_id"], ["event_id"]).select("o_orderkey", "event_id")
+    """Every event with the last view of its user up to that moment."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    views = events.filter("event_type = 'view'").select(
+        "user_id", F.col("ts").alias("at"), F.col("event_id").alias("view_id"), F.col("value").alias("view_value")
+    )
+    left = events.select("event_id", "user_id", "ts")
+    joined = as_of_join(left, views, ["user_id"], "ts", "at", ["view_id"], ["view_id", "view_value"])
+    return joined.select("event_id", "view_id", "view_value")
 
 
 @query("rel_range_join", """

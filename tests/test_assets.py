@@ -64,8 +64,12 @@ def test_shared_upstream_is_computed_once(spark, tmp_path):
     def top(l, b):
         return l.join(b, "id")
 
+    assert [t.name for t in ns.tables()] == ["once.base", "once.left", "once.top"]
+    assert ns.tables(["once.left"]) == [left]
+    with pytest.raises(KeyError):
+        ns.tables(["once.right"])
     assert [n.name for n in plan_order([top])] == ["src", "once.base", "once.left", "once.top"]
-    results = materialize(spark, str(tmp_path), [top, left], branch="dev", run_id="r1")
+    results = materialize(spark, str(tmp_path), ns, branch="dev", run_id="r1")
     assert [r.asset for r in results] == ["once.base", "once.left", "once.top"] and len(loads) == 1
     assert top.read(spark, str(tmp_path), "dev").count() == 4
     assert spark.sql("select count(*) from once__left").first()[0] == 4

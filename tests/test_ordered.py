@@ -54,11 +54,12 @@ def test_ranks_with_ties(skewed):
     assert rows_of(ordered.rank_rows(*args, rows_per_task=SMALL)) == rows_of(ordered.rank_rows(*args))
 
 
-def test_sessions_equal_the_built_in_window(skewed):
+@pytest.mark.parametrize("gap", ["1 minute", "90 minutes", "3 days"])
+def test_sessions_equal_the_built_in_window(skewed, gap):
     keyed = skewed.filter("k is not null")
-    plain = ordered.sessions(keyed, ["k"], "ts", "90 minutes")
-    sliced = ordered.sessions(keyed, ["k"], "ts", "90 minutes", rows_per_task=SMALL)
-    built_in = keyed.groupBy("k", F.session_window("ts", "90 minutes").alias("w")).agg(
+    plain = ordered.sessions(keyed, ["k"], "ts", gap)
+    sliced = ordered.sessions(keyed, ["k"], "ts", gap, rows_per_task=SMALL)
+    built_in = keyed.groupBy("k", F.session_window("ts", gap).alias("w")).agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n")
     )
     columns = ["k", "start", "end", "n"]
