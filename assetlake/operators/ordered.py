@@ -22,8 +22,8 @@ ROWS_PER_TASK = 5_000_000
 """A group above this size is sliced."""
 
 _MOST_HOT_GROUPS = 10_000
-_STEPS = 12
-_BOUNDS = 2**_STEPS - 1  # what a binary search settles in that many steps
+_BOUNDS = 4_095
+_ACCURACY = 4_096
 _SLICE = "_slice"
 _IS_HOT = "_hot"
 
@@ -73,9 +73,9 @@ def hot_groups(df: DataFrame, group: Sequence[str], order: str, rows_per_task: i
     rows = rows.join(F.broadcast(keys), _same(group, names), "left_semi")
     fractions = ", ".join(f"{i / (_BOUNDS + 1)}D" for i in range(1, _BOUNDS + 1))
     cuts = rows.groupBy(*group).agg(
-        F.expr(f"percentile_approx(_num, array({fractions}), 10000)").alias("_cuts"), F.count("*").alias("_n")
+        F.expr(f"percentile_approx(_num, array({fractions}), {_ACCURACY})").alias("_cuts"), F.count("*").alias("_n")
     )
-    step = F.greatest(F.lit(1), F.floor(F.lit(_BOUNDS + 1) * rows_per_task / F.col("_n"))).cast("int")
+    step = F.greatest(F.lit(1), F.floor(F.lit(float((_BOUNDS + 1) * rows_per_task)) / F.col("_n"))).cast("int")
     thinned = F.filter("_cuts", lambda x, i: (i + 1) % step == 0)
     # The bounds differ between runs, so they are fixed before two branches of a plan use them.
     return cut(cuts.select(*group, F.array_distinct(thinned).alias("_cuts")))
@@ -86,7 +86,9 @@ def _slices(df: DataFrame, group: Sequence[str], order: str, hot: DataFrame) ->
     small, names = _renamed(hot, group, "_cuts")
     number = order_number(F.col(order), df.schema[order].dataType)
     found = df.join(F.broadcast(small), _same(group, names), "left").withColumn("_num", number)
-    widths = F.lit([2**i for i in reversed(range(_STEPS))])
+    # Binary search with as many steps as the longest list of bounds asks for.
+    longest = hot.agg(F.max(F.size("_cuts"))).first()[0] or 0
+    widths = F.lit([2**i for i in reversed(range(max(longest.bit_length(), 1)))])
     search = F.aggregate(
         widths, F.lit(0), lambda at, w: at + F.when(F.col("_num") >= F.get("_cuts", at + w - 1), w).otherwise(0)
     )
@@ -98,10 +100,10 @@ def _slices(df: DataFrame, group: Sequence[str], order: str, hot: DataFrame) ->
 def _add_from_slices(rows: DataFrame, keys: Sequence[str], summary: DataFrame, value: str) -> DataFrame:
     """Left join of one ``value`` per slice.
 
-    Only slices of hot groups behind the first one have something to add. They number
+    Only slices of hot groups behind the first one have a value. They number
     at most rows / rows_per_task, so they are broadcast and ``rows`` is not shuffled again.
     """
-    small, names = _renamed(summary.filter(F.col(_SLICE) > 0), keys, value)
+    small, names = _renamed(summary.filter(F.col(value).isNotNull()), keys, value)
     return rows.join(F.broadcast(small), _same(keys, names), "left").drop(*names)
 
 
@@ -218,7 +220,7 @@ def sessions(df: DataFrame, group: Sequence[str], ts: str, gap: str,
     last = F.max("_last").over(before)
     grown = F.when(F.col("_first") < last + F.expr(f"interval {gap}"), 1).otherwise(0)
     slices = slices.withColumn("_grown", grown)
-    shift = F.coalesce(F.sum(F.col("_runs") - F.col("_grown")).over(before), F.lit(0)) - F.col("_grown")
+    shift = F.sum(F.col("_runs") - F.col("_grown")).over(before) - F.col("_grown")
     moved = _add_from_slices(runs, keys, slices.select(*keys, shift.alias("_shift")), "_shift")
     moved = moved.withColumn("sid", F.col("_local") + F.coalesce("_shift", F.lit(0)))
     whole = moved.groupBy(*group, "sid").agg(
