@@ -103,6 +103,8 @@ def _table_decorator(name_of: Callable, input: AssetNode | Sequence[AssetNode],
                      format: TableFormat = TableFormat.PARQUET, partition_by: Sequence[str] = ()) -> Callable:
     rows = None if output is None else as_row_type(output)
     keys = list(partition_by) or (list(rows.partition_by) if rows else [])
+    if keys and rows is None:
+        raise TypeError("a partitioned table needs a declared output: partition values are text in its paths")
     upstream = [input] if isinstance(input, AssetNode) else list(input)
 
     def decorate(f: Callable) -> TableAsset:

@@ -53,7 +53,7 @@ class _Keyed:
 
     def objects(self, spark: SparkSession, prefix: str | None = None) -> DataFrame:
         """``key, etag, size, modified, body`` of the current objects below a key prefix."""
-        return ops.list_all(self.bucket._current(spark), self._full(prefix))
+        return ops.list_all(self.bucket._current(spark, self._full(prefix)), self._full(prefix))
 
     def list(self, spark: SparkSession, prefix: str = "", limit: int | None = None, next_token: str | None = None) -> DataFrame:
         """One page of object references in key order."""
@@ -62,7 +62,8 @@ class _Keyed:
 
     def get(self, spark: SparkSession, keys: str | DataFrame, strict: bool = True) -> DataFrame:
         """The objects with these keys; a missing one is an error unless ``strict`` is off."""
-        return ops.get(self.bucket._current(spark), self._keys(spark, keys), strict)
+        current = self.bucket._current(spark, self._full(keys) if isinstance(keys, str) else self._full(""))
+        return ops.get(current, self._keys(spark, keys), strict)
 
     def put(self, spark: SparkSession, key: str | DataFrame, body: bytes | str | None = None) -> int:
         """Write one object, or every ``key``/``body`` row of a DataFrame; returns the log version.
@@ -155,13 +156,17 @@ class Bucket(_Keyed):
         entry.write.mode("errorifexists").parquet(f"{self.log_path}/version={version}")
         return version
 
-    def _current(self, spark: SparkSession) -> DataFrame:
+    def _current(self, spark: SparkSession, prefix: str = "") -> DataFrame:
+        """Objects with at least those below a key prefix; only its folder is listed."""
         columns = ["key", "etag", "size", "modified", "body"]
         log = self._log(spark)
+        if log is not None:
+            log = log.filter(F.col("key").startswith(prefix))
+        folder = prefix.rpartition("/")[0]
         try:
             # A file's etag is taken from its size and time: its bytes stay unread until asked for.
             stamp = F.md5(F.concat_ws("-", "key", "size", F.unix_micros("modified")).cast("binary"))
-            files = scan_files(spark, self.root).withColumn("etag", stamp).select(*columns)
+            files = scan_files(spark, self.root, folder).withColumn("etag", stamp).select(*columns)
         except AnalysisException:
             files = spark.createDataFrame([], LOG_SCHEMA).select(*columns)
         if log is None:

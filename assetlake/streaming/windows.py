@@ -17,7 +17,12 @@ def event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
 
 
 def windowed(df: DataFrame, window: Column, by: Sequence[str], *aggregates: Column) -> DataFrame:
-    """Aggregates per window and group, with the window as ``start`` and ``end``."""
+    """Aggregates per window and group, with the window as ``start`` and ``end``.
+
+    Session windows are merged in each task before the shuffle, so that a busy group
+    sends its sessions and not its rows.
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     grouped = df.groupBy(window.alias("_window"), *by).agg(*aggregates)
     return grouped.select(F.col("_window.start").alias("start"), F.col("_window.end").alias("end"), *[c for c in grouped.columns if c != "_window"])
 

@@ -11,16 +11,21 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from oracle import connect, expected_rows, expected_types, rows_of, type_names  # noqa: E402
 
+from pyspark.sql import SparkSession  # noqa: E402
+
 import __spark_entry__ as entry  # noqa: E402
 from assetlake.session import session  # noqa: E402
 
 
 def main() -> int:
     sf_dir, names = sys.argv[1], sys.argv[2:]
-    spark = session(
-        "check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
-        spark__driver__memory="8g", spark__ui__showConsoleProgress="false",
-    )
+    if os.environ.get("PLAIN_SESSION"):  # as a driver with its own settings would start it
+        spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    else:
+        spark = session(
+            "check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+            spark__driver__memory="8g", spark__ui__showConsoleProgress="false",
+        )
     spark.sparkContext.setLogLevel("OFF")
     con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()

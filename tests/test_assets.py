@@ -82,6 +82,11 @@ def test_shared_upstream_is_computed_once(spark, tmp_path):
         plan_order([top])
 
 
+def test_partitioned_table_needs_its_types():
+    with pytest.raises(TypeError, match="declared output"):
+        source("src", load=lambda s: s.range(1)).table(partition_by=["id"])(lambda df: df)
+
+
 def test_rows_that_break_the_declaration_are_set_aside(spark, tmp_path):
     class Positive(NamedTuple):
         id: int

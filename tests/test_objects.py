@@ -132,3 +132,10 @@ def test_manifest(spark, tmp_path):
     spark.range(10).repartition(2).write.parquet(path)
     files = manifest(spark, path).collect()
     assert len(files) == 2 and sum(r["n"] for r in files) == 10 and all(r["size"] > 0 for r in files)
+
+
+def test_only_the_folder_of_a_prefix_is_listed(spark, bucket):
+    plan = (bucket / "x" / "y").objects(spark)._jdf.queryExecution().executedPlan().toString()
+    assert f"{bucket.root}/x/y" in plan
+    assert keys(bucket.objects(spark, "x/y/h")) == ["x/y/h+1 %.txt"]
+    assert keys(bucket.objects(spark, "absent/")) == []

@@ -83,3 +83,9 @@ def test_slices_refuse_text_order(skewed):
     text = skewed.withColumn("t", F.col("event_id").cast("string"))
     with pytest.raises(TypeError):
         ordered.number_rows(text, ["k"], ["t"], rows_per_task=SMALL)
+
+
+def test_large_numbers_do_not_overflow(spark):
+    rows = spark.range(1_100_000).select(F.lit("hot").alias("k"), (F.col("id") * 7_919 % 1_100_000).alias("at"))
+    numbered = ordered.number_rows(rows, ["k"], ["at"], rows_per_task=1_000_000)
+    assert numbered.filter(F.col("seq") != F.col("at") + 1).count() == 0 and numbered.count() == 1_100_000
