@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetlake.operators.ordered import order_number
-from assetlake.session import cut
 
 
 def compact(spark: SparkSession, source: str, target: str, max_records: int = 5_000_000, fmt: str = "parquet") -> str:
@@ -93,10 +92,9 @@ def layout_zorder(df: DataFrame, columns: Sequence[str], partitions: int | None
     fractions = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
     numbers = {c: order_number(F.col(c), df.schema[c].dataType) for c in columns}
     named = df.select(*[n.alias(f"n{i}") for i, n in enumerate(numbers.values())])
-    bounds = cut(named.agg(*[
-        F.expr(f"percentile_approx(n{i}, array({fractions}), 10000)").alias(f"_cuts{i}") for i in range(len(columns))
-    ]))
-    row = bounds.first()  # one row of bounds, whatever the size of the table
+    row = named.agg(*[
+        F.expr(f"percentile_approx(n{i}, array({fractions}), 10000)") for i in range(len(columns))
+    ]).first()  # one row of bounds, whatever the size of the table
     widths = F.lit([2**i for i in reversed(range(bits))])
     ranks = []
     for i, number in enumerate(numbers.values()):

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetlake.plans.assets import Namespace, SourceAsset, TableAsset, backfill, materialize, source
+from assetlake.plans.assets import RUN_LOG, Namespace, SourceAsset, TableAsset, backfill, materialize, source
+from assetlake.plans.runlog import read_runs
 from assetlake.queries import query
 from assetlake.session import work_path
 from assetlake.sources.files import manifest
@@ -102,6 +103,27 @@ def materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.read(spark, root, "dev")
 
 
+@query("asset_sql", f"select year, sum(revenue) as revenue, count(*) as nations from ({NATION_YEAR_SQL}) group by year")
+def asset_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL text over a materialized asset, under its view name."""
+    materialize(spark, work_path(spark, "assets"), [revenue_graph(sf_dir)["nation_year"]])
+    return spark.sql("""
+        select year, cast(sum(revenue) as decimal(38,2)) as revenue, count(*) as nations
+        from sales__mart__nation_year group by year
+    """)
+
+
+@query("run_log", f"""
+    select 'sales.mart.order_revenue' as asset, 'main' as branch, count(distinct l_orderkey) as rows from lineitem
+    union all select 'sales.mart.nation_year', 'main', count(*) from ({NATION_YEAR_SQL})
+""")
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run says it has written, counted while it wrote."""
+    root = work_path(spark, "assets")
+    materialize(spark, root, [revenue_graph(sf_dir)["nation_year"]])
+    return read_runs(spark, f"{root}/{RUN_LOG}").select("asset", "branch", "rows")
+
+
 @query("backfill", NATION_YEAR_SQL)
 def backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two years recomputed in place; the table then equals a full run."""

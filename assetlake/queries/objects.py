@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlake.functions.text import split_lines
+from assetlake.functions.text import decode_utf8, not_blank, split_lines
 from assetlake.operators import objects as ops
 from assetlake.operators.objects import latest
 from assetlake.queries import query
@@ -13,6 +13,8 @@ from assetlake.session import work_path
 from assetlake.sources.buckets import Bucket
 from assetlake.sources.files import read_lines
 from assetlake.sources.formats import TableFormat, read_table, snapshot_sink, write_table
+from assetlake.streaming.events import file_events, run_subscriptions
+from assetlake.streaming.queues import write_batch
 from assetlake.tables import table
 
 EARLY = "1997-01-01 00:00:00"
@@ -126,17 +128,59 @@ def object_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.changes(inventory(EARLY), inventory(LATE)).select("key", "scope", "etag", "size")
 
 
-@query("gz_text_scan", """
-    select lang, unnest(string_split(text, chr(10))) as line from documents
-""")
-def gz_text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines written as gzip files in one folder per language, then read from all of them."""
+def line_folders(spark: SparkSession, sf_dir: str, compression: str) -> str:
+    """Text files with the lines of all documents, one folder per language."""
     root = work_path(spark, "logs")
     lines = split_lines(table(spark, sf_dir, "documents").select("lang", "text"), "text").select("lang", "line")
-    write_lines = lines.hint("rebalance", F.col("lang")).write.partitionBy("lang").option("lineSep", "\n")
-    write_lines.text(root, compression="gzip")
-    back = read_lines(spark, root, root)
-    return back.select(F.regexp_extract("key", "^lang=([^/]*)/", 1).alias("lang"), "line")
+    lines.hint("rebalance", F.col("lang")).write.partitionBy("lang").text(root, compression=compression, lineSep="\n")
+    return root
+
+
+def language(key: str) -> Column:
+    return F.regexp_extract(key, "^lang=([^/]*)/", 1).alias("lang")
+
+
+@query("gz_text_scan", "select lang, unnest(string_split(text, chr(10))) as line from documents")
+def gz_text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written as gzip files, then read from all folders."""
+    root = line_folders(spark, sf_dir, "gzip")
+    return read_lines(spark, root, root).select(language("key"), "line")
+
+
+@query("folder_scan", """
+    select lang, line from (select lang, unnest(string_split(text, chr(10))) as line from documents where lang = 'de')
+    where trim(line) <> ''
+""")
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole files of one folder of a bucket: bytes to text to lines."""
+    folder = Bucket("logs", line_folders(spark, sf_dir, "none")) / "lang=de"
+    texts = folder.binary_files(spark).select("key", decode_utf8(F.col("body")).alias("text"))
+    return split_lines(texts, "text").filter(not_blank(F.col("line"))).select(language("key"), "line")
+
+
+@query("folder_list", """
+    select 'en/' || lpad(cast(doc_id as varchar), 12, '0') as key, octet_length(encode(text)) as size from documents
+    where lang = 'en' order by key limit 100
+""")
+def folder_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First page of a folder, in the default page size."""
+    bucket = Bucket("texts", work_path(spark, "bucket"))
+    key = F.concat_ws("/", "lang", F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    bucket.put(spark, table(spark, sf_dir, "documents").select(key.alias("key"), F.col("text").alias("body")))
+    return (bucket / "en").list(spark).select("key", "size")
+
+
+@query("file_event_stream", """
+    select lang, sum(octet_length(encode(line)) + 1)::bigint as bytes
+    from (select lang, unnest(string_split(text, chr(10))) as line from documents) group by lang
+""")
+def file_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that arrived per folder, from the events of new files."""
+    bucket, out = Bucket("logs", line_folders(spark, sf_dir, "none")), work_path(spark, "events")
+    bucket.on("create")(lambda events, batch_id: write_batch(events.select("key", "size"), out, batch_id))
+    run_subscriptions(file_events(spark, bucket), bucket, work_path(spark, "checkpoint")).awaitTermination()
+    arrived = spark.read.schema("key string, size long").parquet(f"{out}/*")
+    return arrived.groupBy(language("key")).agg(F.sum("size").alias("bytes"))
 
 
 def _round_trip(spark: SparkSession, sf_dir: str, name: str, fmt: TableFormat) -> DataFrame:

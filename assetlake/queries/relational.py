@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assetlake.operators.ordered import as_of_join, rank_rows, sessions, with_frames
+from assetlake.operators.ordered import as_of_join, number_rows, rank_rows, sessions, with_frames
 from assetlake.queries import query
 from assetlake.tables import register_views, table
 
@@ -284,6 +284,60 @@ def rel_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", F.col("sid").cast("bigint").alias("sid"), "n")
 
 
+# Five event types share all events: the groups are cut into slices, as a hot key would be.
+ROWS_PER_SLICE = 1_000
+
+
+@query("large_group_numbers", """
+    select event_id, row_number() over (partition by event_type order by ts, event_id) as seq from events
+""")
+def large_group_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+    return number_rows(events, ["event_type"], ["ts", "event_id"], "seq", ROWS_PER_SLICE).select("event_id", "seq")
+
+
+@query("large_group_frames", """
+    select event_id, lag(event_id) over w as prev, sum(cast(value as decimal(18,2))) over (
+        partition by event_type order by ts, event_id rows between 2 preceding and current row) as mov
+    from events window w as (partition by event_type order by ts, event_id)
+""")
+def large_group_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def looking_back(group: list[str], order: list[str]) -> dict:
+        w = Window.partitionBy(*group).orderBy(*order)
+        moving = F.sum(F.col("value").cast(MONEY)).over(w.rowsBetween(-2, 0))
+        return {"prev": F.lag("event_id").over(w), "mov": moving.cast("decimal(38,2)")}
+
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    framed = with_frames(events, ["event_type"], ["ts", "event_id"], 2, looking_back, ROWS_PER_SLICE)
+    return framed.select("event_id", "prev", "mov")
+
+
+@query("large_group_sessions", """
+    select event_type, cast(sid as bigint) as sid, min(ts) as first_at, max(ts) as last_at, count(*) as n from (
+        select *, sum(b) over (partition by event_type order by ts, event_id) sid from (
+            select *, case when ts - lag(ts) over (partition by event_type order by ts, event_id) < interval '20' minute
+                then 0 else 1 end b from events)) group by 1, 2
+""")
+def large_group_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sessions(table(spark, sf_dir, "events"), ["event_type"], "ts", "20 minutes", ROWS_PER_SLICE)
+    return found.select(
+        "event_type", F.col("sid").cast("bigint").alias("sid"), F.col("start").alias("first_at"), F.col("end").alias("last_at"), "n"
+    )
+
+
+@query("large_group_asof", """
+    select e.event_id, v.event_id as earlier from (select *, 1 as k from events where event_type = 'purchase') e
+    asof left join (select *, 1 as k from events where event_type = 'view') v on e.k = v.k and e.ts >= v.ts
+""")
+def large_group_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the last view of anybody: one key for all rows."""
+    events = table(spark, sf_dir, "events").select(F.lit(1).alias("k"), "event_id", "event_type", "ts")
+    bought = events.filter("event_type = 'purchase'").drop("event_type")
+    seen = events.filter("event_type = 'view'").select("k", F.col("ts").alias("at"), F.col("event_id").alias("earlier"))
+    joined = as_of_join(bought, seen, ["k"], "ts", "at", ["earlier"], ["earlier"], ROWS_PER_SLICE)
+    return joined.select("event_id", "earlier")
+
+
 @query("rel_scalar_string", """
     select doc_id, upper(lang) as lang, length(text) as chars, n_chars, substr(text, 1, 10) as head,
         replace(source, '_', '-') as src, concat_ws('/', lang, source) as path,
