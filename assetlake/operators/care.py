@@ -69,8 +69,14 @@ def file_stats(spark: SparkSession, path: str, columns: Sequence[str], fmt: str
 
 
 def layout_sort(df: DataFrame, columns: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Cluster rows along the columns: files then cover narrow ranges of them."""
-    ranged = df.repartitionByRange(partitions, *columns) if partitions else df.repartitionByRange(*columns)
+    """Cluster rows along the columns: files then cover narrow ranges of them.
+
+    A hash of the row is the last range key, so that rows which share one very common
+    value of the columns are spread over several partitions.
+    """
+    hashable = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    keys = [*columns, F.xxhash64(*hashable)]
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
     return ranged.sortWithinPartitions(*columns)
 
 

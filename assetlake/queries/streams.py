@@ -204,7 +204,8 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per user and event type out of the whole stream."""
     path = work_path(spark, "dedup")
-    unique = w.drop_repeats(event_stream(spark, sf_dir).select("user_id", "event_type"), ["user_id", "event_type"])
+    events = event_stream(spark, sf_dir).select("user_id", "event_type", "event_id")
+    unique = w.drop_repeats(events, ["user_id", "event_type"], spread=4).select("user_id", "event_type")
     w.latest_windows(unique, path, work_path(spark, "checkpoint"), "append").awaitTermination()
     return spark.read.schema(unique.schema).parquet(f"{path}/*")
 

@@ -39,7 +39,8 @@ _CSV = {
 }
 
 _WRITE_OPTIONS: dict[TableFormat, Mapping[str, str]] = {
-    TableFormat.CSV: {**_CSV, "emptyValue": '""', "lineSep": "\n"},
+    # A CSV file with line breaks inside its values is read by one task, so files are kept small.
+    TableFormat.CSV: {**_CSV, "emptyValue": '""', "lineSep": "\n", "maxRecordsPerFile": "1000000"},
     TableFormat.JSON: {"ignoreNullFields": "false", **_TIMES},
 }
 

@@ -45,8 +45,22 @@ def read_windows(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return newest.select(*keys, "_newest.*")
 
 
-def drop_repeats(df: DataFrame, keys: Sequence[str], event_time: str | None = None, delay: str | None = None) -> DataFrame:
-    """First occurrence of each key; with a delay the state is dropped behind the watermark."""
-    if delay is None:
-        return df.dropDuplicates(list(keys))
-    return df.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+def drop_repeats(df: DataFrame, keys: Sequence[str], event_time: str | None = None, delay: str | None = None,
+                 spread: int = 1) -> DataFrame:
+    """One occurrence of each key; with a delay the state is dropped behind the watermark.
+
+    ``spread`` is for streams with very common keys: repeats are first dropped in that many
+    parts of a key, chosen by the other columns, and then over all parts. A common key
+    is then worked on by ``spread`` tasks, at the price of up to as many state entries.
+    """
+    if delay is not None:
+        df = df.withWatermark(event_time, delay)
+
+    def unique(rows: DataFrame, columns: list[str]) -> DataFrame:
+        return rows.dropDuplicates(columns) if delay is None else rows.dropDuplicatesWithinWatermark(columns)
+
+    others = [c for c in df.columns if c not in keys]
+    if spread > 1 and others:
+        part = F.pmod(F.xxhash64(*others), F.lit(spread))
+        df = unique(df.withColumn("_part", part), [*keys, "_part"]).drop("_part")
+    return unique(df, list(keys))

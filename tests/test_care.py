@@ -43,6 +43,12 @@ def test_layouts_narrow_the_files(spark, tmp_path):
     assert share_of_files(spark, z, "x") < 0.6 and share_of_files(spark, z, "y") < 0.6
 
 
+def test_a_common_value_is_spread_over_partitions(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("v"), "id")
+    sizes = care.layout_sort(rows, ["v"], 8).groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+    assert sizes < 8_000
+
+
 def test_constraints_count_unknown_as_broken(spark):
     df = spark.createDataFrame([(1, "a"), (None, "b"), (3, None)], "n int, s string")
     rules = {"n": care.between("n", 0, 2), "s": care.allowed("s", ["a", "b"])}

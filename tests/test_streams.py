@@ -178,12 +178,13 @@ def test_append_mode_holds_back_open_windows(spark, sf_dir, tmp_path):
     assert rows_of(closed) <= all_windows and 0 < closed.count() < sum(all_windows.values())
 
 
-def test_repeats_within_the_watermark(spark, tmp_path):
+@pytest.mark.parametrize("spread", [1, 3])
+def test_repeats_within_the_watermark(spark, tmp_path, spread):
     source, path = str(tmp_path / "in"), str(tmp_path / "out")
     rows = [("a", 0), ("a", 5), ("b", 10), ("a", 20)]
     df = spark.createDataFrame(rows, "id string, s long").select("id", F.timestamp_seconds("s").alias("ts"))
     df.coalesce(1).write.parquet(source)
     stream = spark.readStream.schema(df.schema).parquet(source)
-    unique = w.drop_repeats(stream, ["id"], "ts", "1 hour")
+    unique = w.drop_repeats(stream, ["id"], "ts", "1 hour", spread)
     w.latest_windows(unique, path, str(tmp_path / "cp"), "append").awaitTermination()
     assert sorted(r["id"] for r in spark.read.schema(df.schema).parquet(f"{path}/*").collect()) == ["a", "b"]
