@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def map_texts(
 
 def runs(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
     """(keys, texts) of a batch whose columns are those two, a bounded number of characters at a time."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
     start, total = 0, 0
     for i, size in enumerate(sizes):
         if total and total + size > CHUNK_CHARS:
