@@ -65,6 +65,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.fresh: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -80,6 +83,20 @@ class Encoder:
                 parts.append(chunk)
         return parts
 
+    def _new(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words. Plain words go through the tokenizer as one text and are told apart by their last tokens."""
+        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        for start in range(0, len(plain), 1_000):
+            batch = plain[start : start + 1_000]
+            ids = np.array(self.tokenizer.encode(" ".join(batch), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            assert len(ends) == len(batch)
+            starts = np.concatenate(([0], ends[:-1]))
+            yield from zip(batch, (ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())), strict=True)
+        other = [w for w in words if not _PLAIN.fullmatch(w)]
+        found = self.tokenizer.encode_batch(other, add_special_tokens=False)
+        yield from ((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(other, found, strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         out: list[bytes | None] = []
@@ -100,12 +117,8 @@ class Encoder:
                         missing.add(w)
                     else:
                         fresh[w] = found
-        new = list(missing)
-        for start in range(0, len(new), 10_000):
-            batch = new[start : start + 10_000]
-            for w, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, dtype="<u4").tobytes()
-                (fresh if len(w) <= CACHE_CHARS else long)[w] = ids
+        for w, ids in self._new(sorted(missing)):
+            (fresh if len(w) <= CACHE_CHARS else long)[w] = ids
         for i, words in later:
             out[i] = b"".join([fresh[w] if w in fresh else long[w] for w in words])
         if len(fresh) > CACHE_WORDS:

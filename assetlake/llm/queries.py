@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assetlake.llm.packing import pack
 from assetlake.llm.secrets import scan_secrets
 from assetlake.llm.tokens import count_tokens
+from assetlake.llm.toxicity import learn, score_documents
 from assetlake.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +34,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_secret_scans")
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
