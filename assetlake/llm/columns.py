@@ -70,3 +70,27 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def alnum_words(text: Column) -> Column:
+    """Words of digits, letters and non-ASCII characters, A-Z in lower case; null has none."""
+    return F.coalesce(F.array_remove(F.split(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), ""), F.array())
+
+
+def computed(value: Column) -> Column:
+    """``value`` as a generated column, for ``select``: it is computed once a row.
+
+    An alias may be put in place wherever it is used, also inside lambdas and filters, and be computed again there.
+    """
+    return F.explode(F.array(value))
+
+
+def shingle_hashes(words: Column, length: int) -> Column:
+    """A 64-bit hash for each run of ``length`` words, in order; none for fewer words."""
+    starts = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - (length - 1))).otherwise(F.array())
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, length)))
+
+
+def small_enough(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

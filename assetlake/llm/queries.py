@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assetlake.llm.decontaminate import decontaminate
+from assetlake.llm.licenses import TEMPLATES, scan_licenses
 from assetlake.llm.packing import pack
 from assetlake.llm.secrets import scan_secrets
 from assetlake.llm.tokens import count_tokens
@@ -45,3 +47,48 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
+
+
+_ALNUM = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+_TEMPLATE_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+
+
+@query("op6_license_scans", f"""
+    with t as (select template_id, {_ALNUM} as w from (values {_TEMPLATE_ROWS}) v(template_id, text)),
+    ts as (select distinct template_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') as s, len(w) - 4 as n
+        from (select template_id, w, unnest(range(1, len(w) - 3)) as i from t)),
+    sizes as (select template_id, count(*) as n from ts group by 1),
+    d as (select doc_id, {_ALNUM} as w from documents),
+    ds as (select doc_id, i - 1 as pos, list_aggregate(w[i:i + 4], 'string_agg', ' ') as s
+        from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5)),
+    hits as (select ds.doc_id, ts.template_id, ds.pos, ts.s, sizes.n from ds join ts using (s) join sizes using (template_id)),
+    regions as (select doc_id, template_id, n, s, pos // n + unnest([-2, -1, 0, 1]) as k, pos from hits),
+    held as (select doc_id, template_id, k, n from regions
+        where k >= 0 and pos >= (k - 1) * n and pos < (k + 3) * n group by 1, 2, 3, 4 having count(distinct s) >= 0.8 * n),
+    found as (select doc_id, count(distinct template_id) as n, string_agg(distinct template_id, ',' order by template_id) as ids
+        from held group by 1)
+    select d.doc_id, coalesce(n, 0) as n_licenses, coalesce(ids, '') as licenses from d left join found using (doc_id)
+""")
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op7_benchmark_decontamination", f"""
+    with d as (select doc_id, {_ALNUM} as w from documents),
+    b as (select item_id, {_ALNUM} as w from benchmark),
+    wins as (select distinct item_id, w[i:i + 9] as win from
+        (select item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) as i from b where len(w) > 0)),
+    sizes as (select distinct len(win) as n from wins),
+    places as (select doc_id, i, n, w[i:i + n - 1] as win from
+        (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes)),
+    found as (select p.doc_id, p.i, p.n, wins.item_id from places p join wins using (win)),
+    hit as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(i, i + n)) as x from found) group by 1),
+    items as (select doc_id, count(distinct item_id) as n_items,
+        string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from found group by 1)
+    select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+        sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+    from d left join hit using (doc_id) left join items using (doc_id)
+""")
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
