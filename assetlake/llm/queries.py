@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from assetlake.llm.decontaminate import decontaminate
+from assetlake.llm.jaccard import near_duplicates
 from assetlake.llm.licenses import TEMPLATES, scan_licenses
 from assetlake.llm.packing import pack
 from assetlake.llm.secrets import scan_secrets
@@ -92,3 +93,8 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_ngram_jaccard_join")
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
