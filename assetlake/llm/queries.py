@@ -13,6 +13,8 @@ from assetlake.llm.packing import pack
 from assetlake.llm.secrets import scan_secrets
 from assetlake.llm.tokens import count_tokens
 from assetlake.llm.toxicity import learn, score_documents
+from assetlake.llm.warc import page_records, read_warc, write_warc
+from assetlake.session import work_path
 from assetlake.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +100,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query("op3_ngram_jaccard_join")
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_warc")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return page_records(read_warc(spark, path))
