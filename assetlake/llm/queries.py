@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assetlake.llm.decontaminate import decontaminate
 from assetlake.llm.jaccard import near_duplicates
+from assetlake.llm.lattice import score_documents as lattice_scores
 from assetlake.llm.licenses import TEMPLATES, scan_licenses
 from assetlake.llm.packing import pack
 from assetlake.llm.secrets import scan_secrets
@@ -107,3 +108,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     return page_records(read_warc(spark, path))
+
+
+@query("op10_lm_scoring")
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(table(spark, sf_dir, "documents"))
