@@ -113,3 +113,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         F.sha2(F.concat_ws(",", F.sort_array(items)), 256).alias("items_sha256"),
         F.col("n_hit").isNotNull().alias("contaminated"),
     )
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of the benchmark occurs."""
+    found = occurrences(docs, benchmark, window)
+    if found is None:
+        return docs
+    marked = store(found.select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct(), "contaminated")
+    same = docs["doc_id"].eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs["text"]) == F.col("_hit_hash"))
+    return docs.join(small_enough(marked, BROADCAST_ROWS), same, "left_anti")

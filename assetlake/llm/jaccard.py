@@ -369,3 +369,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
     return out.select(F.col("id").cast(kind).alias(key), "n_shingles", component.alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: of each component the document that names it stays.
+
+    Of rows that repeat id and text one stays; rows without id stay.
+    """
+    found = store(near_duplicates(docs).select("doc_id", "component_id"), "duplicates")
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(small_enough(gone, BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    again = small_enough(store(again, "repeated"), BROADCAST_ROWS)
+    once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))

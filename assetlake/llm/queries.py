@@ -13,6 +13,7 @@ from assetlake.llm.licenses import TEMPLATES, scan_licenses
 from assetlake.llm.packing import pack
 from assetlake.llm.secrets import scan_secrets
 from assetlake.llm.tokens import count_tokens
+from assetlake.llm.topk import top_k
 from assetlake.llm.toxicity import learn, score_documents
 from assetlake.llm.warc import page_records, read_warc, write_warc
 from assetlake.session import work_path
@@ -113,3 +114,17 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_lm_scoring")
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op4_exact_topk", """
+    with q as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as q from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and vec_id is not null),
+    flat as (select vec_id, unnest(range(1, len(q) + 1)) as i, unnest(q) as x from q),
+    scores as (select a.vec_id as query_id, b.vec_id as vec_id, sum(a.x * b.x)::bigint as score
+        from flat a join flat b on a.i = b.i and a.vec_id <> b.vec_id where a.vec_id % 20 = 0 group by 1, 2)
+    select query_id, rank::int as rank, vec_id, score from
+        (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores) where rank <= 20
+""")
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"))
