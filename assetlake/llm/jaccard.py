@@ -8,10 +8,11 @@ The join is exact and never lists the pairs of a group of copies:
    all sets (most elements first), each set gives the first one more than that as keys: linked sets share a key.
    The number of blocks belongs to a size class; a set also gives keys for the class below if a partner can be there.
 3. *Neighbourhoods.* Sets that share keys gather round the set with which they share most, and a neighbourhood
-   is split into chunks of bounded size. Chunks are compared if some of their sets share a key.
+   is split into chunks of bounded size. A set also visits the other chunks in which a set shares a key with it
+   (of two chunks, the smaller one's sets visit the larger one).
 4. *Count-vector R-tree.* Shingles are hashed into ``GROUPS`` groups; a set's group counts are a point. An R-tree
    over the points of a chunk bounds the overlap of a query and everything below a node by the sum of coordinate
-   minima; pairs whose bound is enough are verified on the sets. Pairs that are connected already are skipped.
+   minima; pairs whose bound is enough are verified on the sets, members of a chunk and its visitors. Pairs that are connected already are skipped.
 5. Links found in all tasks, a spanning forest from each, are joined to components.
 
 Defined cases: null and empty texts have an empty set and link with nothing; a text of fewer than five words is
@@ -52,7 +53,8 @@ def sets_of(texts: list[str]) -> Iterator[np.ndarray]:
         if size > _BATCH_BYTES:
             yield from shingle_sets(batch)
             batch, size = [], 0
-    yield from shingle_sets(batch)
+    if batch:
+        yield from shingle_sets(batch)
 
 
 def set_digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -177,6 +179,11 @@ def _shared(keys: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key bigint, id bigint, center bigint")
 
 
+def group_counts(shingles: np.ndarray) -> np.ndarray:
+    """The point of a set: how many of its shingles fall into each group."""
+    return np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+
+
 class CountTree:
     """An R-tree over group counts, packed bottom-up; nodes keep coordinate maxima and the range of sizes."""
 
@@ -232,57 +239,85 @@ def _links(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
-def join_chunks(left: list[np.ndarray], right: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(root, member) of a forest that connects what links of ``left`` and ``right`` (or ``left`` with itself) connect."""
-    sets = left + right
-    sizes = np.array([len(s) for s in sets])
-    points = np.stack([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS) for s in sets])
-    forest = Forest(len(sets))
-    for side in (range(len(left)), range(len(left), len(sets))):  # sets near one of a few leaders connect at once
-        leaders: list[int] = []
-        for i in side:
+class Chunk:
+    """The sets of a chunk: an R-tree over their points, and a forest of what is connected so far."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sets = sets
+        self.forest = Forest(len(sets))
+        self.tree = CountTree(np.stack([group_counts(s) for s in sets]), np.array([len(s) for s in sets]))
+        leaders: list[int] = []  # sets near one of a few leaders connect at once
+        for i in range(len(sets)):
             for leader in leaders:
                 if _links(sets[leader], sets[i]):
-                    forest.link(leader, i)
+                    self.forest.link(leader, i)
                     break
             else:
                 if len(leaders) < 3:
                     leaders.append(i)
-    tree = CountTree(points[: len(left)], sizes[: len(left)])
-    for i in range(len(left), len(sets)) if right else range(len(left)):
-        for j in tree.search(points[i], int(sizes[i])).tolist():
-            if (right or j < i) and forest.root(i) != forest.root(j) and _links(sets[i], sets[j]):
-                forest.link(i, j)
-    return [(r, i) for i in range(len(sets)) if (r := forest.root(i)) != i]
+        for i in range(len(sets)):
+            for j in self.tree.search(group_counts(sets[i]), len(sets[i])).tolist():
+                if j < i and self.forest.root(i) != self.forest.root(j) and _links(sets[i], sets[j]):
+                    self.forest.link(i, j)
+
+    def visit(self, shingles: np.ndarray) -> int | None:
+        """A member that the visitor is connected with; members it connects are connected from then on."""
+        found = None
+        for j in self.tree.search(group_counts(shingles), len(shingles)).tolist():
+            if (found is None or self.forest.root(found) != self.forest.root(j)) and _links(self.sets[j], shingles):
+                if found is None:
+                    found = j
+                else:
+                    self.forest.link(found, j)
+        return found
+
+    def edges(self) -> list[tuple[int, int]]:
+        return [(r, i) for i in range(len(self.sets)) if (r := self.forest.root(i)) != i]
 
 
 def _compare(members: DataFrame) -> DataFrame:
-    """Links (u, v) within each comparison, from (comparison, side, id, text) rows dealt and sorted by the first three."""
-
-    def found(ids: list[list[int]], texts: list[list[str]]) -> Iterator[pa.RecordBatch]:
-        left, right = (list(sets_of(t)) for t in texts)
-        if not left:
-            return
-        names = ids[0] + ids[1]
-        pairs = [(names[a], names[b]) for a, b in join_chunks(left, right)]
+    """Links (u, v) within each chunk, from (chunk, side, id, text) rows: its members (side 0) and then its visitors.
+
+    Members are held, their number is bounded; visitors pass by.
+    """
+
+    def links(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         if pairs:
             u, v = zip(*pairs, strict=True)
             yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, texts = None, [[], []], [[], []]
+        now, ids, texts, chunk = None, [], [], None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            own = chunk or (Chunk(list(sets_of(texts))) if ids else None)
+            if own is not None:
+                yield from links([(ids[a], ids[b]) for a, b in own.edges()])
+
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                for at, side, i, text in zip(*(c.to_pylist() for c in batch.slice(low, 500).columns), strict=True):
-                    if at != now:
-                        yield from found(ids, texts)
-                        now, ids, texts = at, [[], []], [[], []]
-                    ids[side].append(i)
-                    texts[side].append(text)
-        yield from found(ids, texts)
+            for low in range(0, batch.num_rows, 200):
+                at, side, names, bodies = (c.to_pylist() for c in batch.slice(low, 200).columns)
+                passing = sets_of([t if s else "" for s, t in zip(side, bodies, strict=True)])
+                pairs = []
+                for c, s, i, text, shingles in zip(at, side, names, bodies, passing, strict=True):
+                    if c != now:
+                        yield from close()
+                        now, ids, texts, chunk = c, [], [], None
+                    if not s:
+                        ids.append(i)
+                        texts.append(text)
+                        continue
+                    if chunk is None and ids:
+                        chunk = Chunk(list(sets_of(texts)))
+                        texts = []
+                    found = chunk.visit(shingles) if chunk is not None else None
+                    if found is not None:
+                        pairs.append((ids[found], i))
+                yield from links(pairs)
+        yield from close()
 
-    dealt = members.repartition("comparison").sortWithinPartitions("comparison", "side", "id")
-    return dealt.select("comparison", "side", "id", "text").mapInArrow(run, "u bigint, v bigint")
+    dealt = members.repartition("chunk").sortWithinPartitions("chunk", "side", "id")
+    return dealt.select("chunk", "side", "id", "text").mapInArrow(run, "u bigint, v bigint")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -342,21 +377,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sizes = homes.groupBy("hub").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("shingles"))
     parts = F.ceil(F.greatest(F.col("sets") / CHUNK_SETS, F.col("shingles") / CHUNK_SHINGLES))
     sizes = store(sizes.select("hub", parts.alias("parts")), "sizes")
-    chunks = store(homes.join(sizes, "hub").select("rep", F.xxhash64("hub", F.pmod(F.xxhash64("rep"), "parts")).alias("chunk")), "chunks")
-
-    # Chunks to compare: each with itself, and those that hold sets with a common key.
-    by_row = reps.join(chunks, "rep").select("id", "chunk")
-    per_key = shared.select("key", "id").join(store(by_row, "row_chunks"), "id").groupBy("key").agg(F.sort_array(F.collect_set("chunk")).alias("c"))
-    others = per_key.where(F.size("c") > 1).select(F.explode(F.flatten(F.transform("c", lambda x, i: F.transform(
-        F.slice("c", i + 2, F.size("c")), lambda y: F.struct(x.alias("left"), y.alias("right"))
-    )))).alias("p")).select("p.*").distinct()
-    several = chunks.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1")
-    compare = several.select(F.col("chunk").alias("left"), F.col("chunk").alias("right")).unionAll(others)
-    compare = store(compare.withColumn("comparison", F.xxhash64("left", "right")), "compare")
-    sides = compare.select("comparison", F.lit(0).alias("side"), F.col("left").alias("chunk")).unionAll(
-        compare.where("`left` <> `right`").select("comparison", F.lit(1).alias("side"), F.col("right").alias("chunk"))
-    )
-    roles = store(sides.join(chunks, "chunk").select("comparison", "side", F.col("rep").alias("id")), "roles")
+    chunks = homes.join(sizes, "hub").select("rep", F.xxhash64("hub", F.pmod(F.xxhash64("rep"), "parts")).alias("chunk"))
+    chunks = store(chunks, "chunks")
+    chunks = store(chunks.join(chunks.groupBy("chunk").agg(F.count("*").alias("size")), "chunk"), "chunks")
+
+    # A set visits the larger ones of the chunks in which a set has a key of it. A key keeps its chunks, not its sets.
+    by_row = store(reps.join(chunks, "rep").select("id", "rep", F.struct("size", "chunk").alias("chunk")), "row_chunks")
+    located = shared.select("key", "id").join(by_row, "id").select("key", "rep", "chunk")
+    per_key = located.groupBy("key").agg(F.collect_set("chunk").alias("all")).where(F.size("all") > 1)
+    larger = F.filter("all", lambda c: c > F.col("chunk"))
+    visits = located.join(per_key, "key").select("rep", F.explode(larger).alias("to")).select("rep", F.col("to.chunk").alias("chunk"))
+    visits = store(visits.distinct(), "visits")
+    used = chunks.where("size > 1").select("chunk").unionAll(visits.select("chunk")).distinct()
+    roles = chunks.join(used, "chunk", "left_semi").select("chunk", F.lit(0).alias("side"), F.col("rep").alias("id"))
+    roles = store(roles.unionAll(visits.select("chunk", F.lit(1).alias("side"), F.col("rep").alias("id"))), "roles")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null")
     texts = texts.join(small_enough(roles.select("id").distinct(), BROADCAST_ROWS), "id", "left_semi")
     links = _compare(texts.join(roles, "id"))

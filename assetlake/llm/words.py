@@ -62,7 +62,7 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     hashes, counts = word_hashes(texts)
     n = len(hashes)
     rolled = np.zeros(max(0, n - size + 1), dtype=np.uint64)
-    for i in range(size):
+    for i in range(size if len(rolled) else 0):
         rolled += mix(hashes[i : n - size + 1 + i] ^ _PLACE[i]) * _PLACE[size + i]
     rolled = mix(rolled)
     out, start = [], 0
