@@ -9,7 +9,7 @@ into several members. The files are plain ``.warc.gz`` content.
 Reader. Archives are read with Spark's binary file source, so a file may have up to 2 GiB; the writer's
 ``RECORDS_PER_FILE`` keeps files far below. Each member is unpacked and checked (gzip's CRC and length, version line, header
 block, content length, the end of the record, the payload's digest). After a failed check the reader looks for the next valid
-gzip member or, in plain archives, the next version line at the start of a line, reads on from there and reports the bytes between as a gap.
+gzip member or, in plain archives, the next version line, reads on from there and reports the bytes between as a gap.
 
 Defined cases: null html is an empty payload; payloads are compared by SHA-1 and length; rows that share an id
 and a payload are equal records, all responses if the id is the payload's largest; a null id is
@@ -36,7 +36,6 @@ _MEMBER_BYTES = 8 << 20
 _FEED = 16_384
 _GZIP = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
-_VERSION_LINE = re.compile(rb"(?:\A|\n)(WARC/\d\.\d\r?\n)")
 
 RECORD_SCHEMA = (
     "path string, kind string, offset bigint, length bigint, reason string, record_type string, record_id string, "
@@ -235,6 +234,20 @@ def _salvage_members(data: bytes) -> Iterator[dict]:
         at = end
 
 
+def _next_version(data: bytes, start: int) -> int:
+    """Where the next version line is that starts a line, or that a whole record follows (after a record that was cut off)."""
+    for found in _VERSION.finditer(data, start):
+        at = found.start()
+        if data[at - 1 : at] == b"\n":
+            return at
+        try:
+            _parse(data, at)
+            return at
+        except _Failed:
+            pass
+    return len(data)
+
+
 def _salvage_plain(data: bytes) -> Iterator[dict]:
     at = 0
     while at < len(data):
@@ -242,8 +255,7 @@ def _salvage_plain(data: bytes) -> Iterator[dict]:
             headers, block, end = _parse(data, at)
             row = _row(headers, block, at, end - at)
         except _Failed as failed:
-            later = _VERSION_LINE.search(data, at + 1)
-            end = later.start(1) if later else len(data)
+            end = _next_version(data, at + 1)
             row = _gap(at, end - at, failed.reason)
         yield row
         at = end
