@@ -386,8 +386,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     located = shared.select("key", "id").join(by_row, "id").select("key", "rep", "chunk")
     per_key = located.groupBy("key").agg(F.collect_set("chunk").alias("all")).where(F.size("all") > 1)
     larger = F.filter("all", lambda c: c > F.col("chunk"))
-    visits = located.join(per_key, "key").select("rep", F.explode(larger).alias("to")).select("rep", F.col("to.chunk").alias("chunk"))
-    visits = store(visits.distinct(), "visits")
+    # Most keys of a set name the same chunks: they are put together for each set before they become rows.
+    targets = located.join(per_key, "key").select("rep", larger.alias("to")).groupBy("rep").agg(F.collect_set("to").alias("to"))
+    targets = targets.select("rep", F.explode(F.array_distinct(F.flatten("to"))).alias("to"))
+    visits = store(targets.select("rep", F.col("to.chunk").alias("chunk")), "visits")
     used = chunks.where("size > 1").select("chunk").unionAll(visits.select("chunk")).distinct()
     roles = chunks.join(used, "chunk", "left_semi").select("chunk", F.lit(0).alias("side"), F.col("rep").alias("id"))
     roles = store(roles.unionAll(visits.select("chunk", F.lit(1).alias("side"), F.col("rep").alias("id"))), "roles")

@@ -241,6 +241,22 @@ def train_lattice(counts: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndar
     return logs
 
 
+def _head(counts: DataFrame) -> list:
+    """The most frequent words, at most ``HEAD``: all above a count that a small histogram of counts gives.
+
+    A sorted limit would send ``HEAD`` rows from every task to the driver.
+    """
+    level = F.floor(F.log2("c") * 16)
+    bars = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()  # at most 16 * 64 rows
+    taken, lowest = 0, None
+    for bar in sorted(bars, key=lambda b: -b["level"]):
+        taken += bar["n"]
+        if taken > HEAD:
+            break
+        lowest = bar["level"]
+    return [] if lowest is None else counts.where(level >= lowest).collect()
+
+
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
     """For every row: ``key``, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark, path = docs.sparkSession, model or default_model()
@@ -257,7 +273,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
     terms = Terms(sums["total"] or 0, sums["distinct"], once / (once + 2 * twice) if once else 0.5)
     logs = train_lattice(counts.repartition("word"), path)
     own = lattice_of(path, logs)
-    top = counts.where(F.length("word") > 0).orderBy(F.col("c").desc(), "word").limit(HEAD).collect()
+    top = _head(counts.where(F.length("word") > 0))
     known = {bytes(r["word"]): (terms.base(r["c"]), terms.score(r["c"], own.word(bytes(r["word"])))) for r in top}
     head, shared = context.broadcast(known), context.broadcast(logs)
     ends = sums["ends"] or 0
