@@ -12,6 +12,9 @@ from assetlake.schema import RowType, as_row_type, nullable, split_rows, violati
 
 _CORRUPT = "_corrupt_record"
 
+#: The default formats cut timestamps to milliseconds.
+FULL_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 
 def parse_json(body: Column, schema: RowType | T.StructType | type | str) -> Column:
     """Struct of the declared fields; a record that does not parse gives nulls."""
@@ -31,8 +34,9 @@ def check_json(df: DataFrame, body: str, schema: RowType | T.StructType | type |
     value = F.col(out)
     why = (
         F.when(F.col(body).isNull(), "no body")
-        .when(~F.ltrim(F.col(body)).startswith("{"), "not a JSON object")
+        .when(~F.col(body).rlike(r"^\s*\{"), "not a JSON object")
         .when(value[_CORRUPT].isNotNull(), "malformed or wrong type")
+        .when(_has_tail(F.col(body)), "text after the record")
         .otherwise(violation(row, lambda name: value[name]))
     )
     if strict:
@@ -43,6 +47,16 @@ def check_json(df: DataFrame, body: str, schema: RowType | T.StructType | type |
     return parsed.withColumns({reason: why, out: fields})
 
 
+def _has_tail(body: Column) -> Column:
+    """Whether text follows the first record. Spark's parsers stop there; no tail closes both of these wrappers."""
+    listed = F.from_json(F.concat(F.lit("["), body, F.lit("]")), T.ArrayType(T.StructType()))
+    held = F.from_json(
+        F.concat(F.lit('{"v":'), body, F.lit("}")), T.StructType([T.StructField("v", T.StringType()), T.StructField(_CORRUPT, T.StringType())]),
+        {"columnNameOfCorruptRecord": _CORRUPT},
+    )
+    return ~F.coalesce((F.size(listed) == 1) & held[_CORRUPT].isNull() & held["v"].isNotNull(), F.lit(False))
+
+
 def decode_json(df: DataFrame, body: str, schema: RowType | T.StructType | type | str, out: str = "record",
                 strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(good, bad) rows; with ``strict`` a broken record fails the query instead."""
@@ -51,7 +65,7 @@ def decode_json(df: DataFrame, body: str, schema: RowType | T.StructType | type
 
 def encode_json(*columns: str | Column) -> Column:
     """JSON object of the columns; nulls are written, not left out."""
-    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false", **FULL_TIMES})
 
 
 def infer_json(spark: SparkSession, paths: str | Sequence[str], recursive: bool = True) -> DataFrame:

@@ -26,4 +26,4 @@ def split_lines(df: DataFrame, text: str, line: str = "line", pos: str = "pos")
 
 
 def not_blank(line: Column) -> Column:
-    return F.trim(line) != ""
+    return line.rlike(r"\S")

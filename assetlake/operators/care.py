@@ -8,17 +8,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetlake.operators.ordered import order_number
+from assetlake.session import with_conf
 
+_LAYOUT_BITS = 63
 
-def compact(spark: SparkSession, source: str, target: str, max_records: int = 5_000_000, fmt: str = "parquet") -> str:
+
+def order_number(column: Column, data_type: T.DataType) -> Column:
+    """A number that never falls while ``column`` rises; ties are allowed. It only shapes layouts."""
+    if isinstance(data_type, T.NumericType):
+        return column.cast("double")
+    if isinstance(data_type, T.DateType):
+        return F.unix_date(column).cast("double")
+    if isinstance(data_type, T.TimestampType):
+        return F.unix_micros(column).cast("double")
+    if isinstance(data_type, T.TimestampNTZType):
+        seconds = F.hour(column) * 3_600 + F.minute(column) * 60 + F.second(column)
+        return F.unix_date(column.cast("date")).cast("double") * 86_400 + seconds
+    raise TypeError(f"no layout along a column of type {data_type.simpleString()}")
+
+
+def compact(spark: SparkSession, source: str, target: str, target_bytes: int = 256 << 20, fmt: str = "parquet") -> str:
     """Rewrite many small files as few; the content does not change.
 
-    The rebalance hint lets AQE form partitions of the advisory size, whatever the
-    number and size of the input files.
+    Nothing is shuffled: each task reads whole small files up to ``target_bytes`` and writes one, so a layout inside
+    the files stays as it is.
     """
-    rows = spark.read.format(fmt).load(source)
-    rows.hint("rebalance").write.format(fmt).option("maxRecordsPerFile", max_records).mode("errorifexists").save(target)
+    packing = {
+        "spark.sql.files.maxPartitionBytes": str(target_bytes), "spark.sql.files.openCostInBytes": "65536", "spark.sql.files.minPartitionNum": "1",
+    }
+    with with_conf(spark, packing):
+        spark.read.format(fmt).load(source).write.format(fmt).mode("errorifexists").save(target)
     return target
 
 
@@ -94,6 +113,8 @@ def layout_zorder(df: DataFrame, columns: Sequence[str], partitions: int | None
     interleaved and the rows clustered by the result. Quantiles keep the buckets
     even where values are skewed. The bounds are 2**bits numbers per column.
     """
+    if bits * len(columns) > _LAYOUT_BITS:
+        raise ValueError(f"{len(columns)} columns of {bits} bits do not fit {_LAYOUT_BITS}; lower bits")
     buckets = 2**bits
     fractions = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
     numbers = {c: order_number(F.col(c), df.schema[c].dataType) for c in columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetlake.session import cut
+from assetlake.session import cut, stored
 
 
 def impact(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -17,7 +17,8 @@ def impact(edges: DataFrame, roots: DataFrame) -> DataFrame:
     earlier round. Cycles end by themselves; the roots are not part of the result
     unless an edge leads back to them.
     """
-    links = edges.select("src", "dst")
+    # Every round reads the edges again, so what they are made of is computed once.
+    links = stored(edges.select("src", "dst").distinct(), "edges")
     frontier = roots.select("node").distinct()
     seen: DataFrame | None = None
     depth = 0
@@ -49,6 +50,8 @@ def ancestors(commits: DataFrame, heads: DataFrame) -> DataFrame:
         if further.isEmpty():
             return reach
         reach = reach.unionByName(further)
+        if jump.isEmpty():
+            return reach
         onward = jump.select(F.col("commit_id").alias("parent"), F.col("parent").alias("_next"))
         jump = cut(jump.join(onward, "parent").select("commit_id", F.col("_next").alias("parent")))
         step *= 2

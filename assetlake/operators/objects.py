@@ -82,7 +82,8 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """
     old = before.select("key", F.col("etag").alias("_etag"), F.lit(True).alias("_had"))
     new = after.select("key", "etag", "size", F.lit(True).alias("_has"))
-    both = old.join(new, "key", "full_outer").filter(
+    old, new = (df.withColumn("_key", F.struct("key")).drop("key") for df in (old, new))  # null keys are equal, too
+    both = old.join(new, "_key", "full_outer").select("_key.key", "_etag", "_had", "etag", "size", "_has").filter(
         F.col("_had").isNull() | F.col("_has").isNull() | ~F.col("etag").eqNullSafe(F.col("_etag"))
     )
     scope = F.when(F.col("_has").isNull(), "delete").otherwise("create")

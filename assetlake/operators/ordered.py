@@ -1,164 +1,100 @@
 """Ordered work inside groups, also where one group holds a large share of all rows.
 
-A window puts a whole group into one task. The functions here first count the
-groups. If none is too large they use a plain window. Otherwise they cut the
-large groups into slices along the order column, work inside the slices and
-carry a small summary per slice over to the next one. Results are the same.
+A window puts a whole group into one task. Here the rows are dealt by ranges of (group, order): Spark samples
+the bounds, takes any type that can be ordered, and cuts a large group into as many ranges as it needs. Work is
+done inside each range, one small summary per range and group is carried over to the next one, and no
+group is ever in one task, whatever its size. There is one way for all groups and no threshold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from assetlake.session import cut
+from assetlake.session import stored
 
-ROWS_PER_TASK = 5_000_000
-"""A group above this size is sliced."""
+_PART, _KEY = "_part", "_group"
 
-_MOST_HOT_GROUPS = 10_000
-_BOUNDS = 4_095
-_ACCURACY = 4_096
-_SLICE = "_slice"
-_IS_HOT = "_hot"
 
+def _dealt(df: DataFrame, group: Sequence[str], order: Sequence[str], parts: int | None) -> DataFrame:
+    """``df`` dealt by ranges, with the range's number and the group as one value (nulls in it are equal).
 
-def order_number(column: Column, data_type: T.DataType) -> Column:
-    """A number that never falls while ``column`` rises; ties are allowed.
-
-    Timestamps go to whole seconds of their wall clock, which needs no time zone.
+    Sampled bounds differ from one evaluation to the next, so the rows are stored before two branches use them.
     """
-    if isinstance(data_type, T.NumericType):
-        return column.cast("double")
-    day = F.unix_date(column.cast("date")).cast("double")
-    if isinstance(data_type, T.DateType):
-        return day
-    if isinstance(data_type, T.TimestampType):
-        return F.unix_seconds(column).cast("double")
-    if isinstance(data_type, T.TimestampNTZType):
-        return day * 86_400 + F.hour(column) * 3_600 + F.minute(column) * 60 + F.second(column)
-    raise TypeError(f"cannot slice along a column of type {data_type.simpleString()}")
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(parts, *group, *order).withColumn(_PART, F.spark_partition_id())
+    return stored(rows, "ranges").withColumn(_KEY, F.struct(*group))
 
 
-def _renamed(df: DataFrame, columns: Sequence[str], *others: str) -> tuple[DataFrame, list[str]]:
-    """``df`` with its key columns under names that no other side of a join has."""
-    names = [f"_key{i}" for i in range(len(columns))]
-    return df.select(*[F.col(c).alias(n) for c, n in zip(columns, names)], *others), names
+def _inside(order: Sequence[str | Column]) -> Window:
+    return Window.partitionBy(_PART, _KEY).orderBy(*order)
 
 
-def _same(columns: Sequence[str], names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(columns, names)])
+def _earlier() -> Window:
+    return Window.partitionBy(_KEY).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def hot_groups(df: DataFrame, group: Sequence[str], order: str, rows_per_task: int) -> DataFrame | None:
-    """Groups above ``rows_per_task`` with the order values that cut them evenly, or None.
+def _numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], parts: int | None) -> DataFrame:
+    """The dealt rows with ``_local`` (their number in range and group) and ``_before`` (the group's rows in earlier ranges)."""
+    rows = _dealt(df, group, order, parts)
+    sizes = rows.groupBy(_PART, _KEY).agg(F.count("*").alias("_n"))
+    offsets = sizes.select(_PART, _KEY, F.coalesce(F.sum("_n").over(_earlier()), F.lit(0)).alias("_before"))
+    return rows.withColumn("_local", F.row_number().over(_inside(order))).join(offsets, [_PART, _KEY])
 
-    A hot group also holds at least one row in 10,000, so there are at most
-    10,000 of them, and their bounds number at most rows / ``rows_per_task``.
-    That makes the result small enough to broadcast at any table size.
-    """
-    counts = df.groupBy(*group).agg(F.count("*").alias("_n"))
-    total = df.agg((F.count("*") / F.lit(_MOST_HOT_GROUPS)).alias("_floor"))
-    hot = counts.filter(F.col("_n") > F.greatest(F.lit(float(rows_per_task)), total.scalar()))
-    if hot.isEmpty():
-        return None
-    number = order_number(F.col(order), df.schema[order].dataType)
-    rows = df.select(*group, number.alias("_num"))
-    keys, names = _renamed(hot, group)
-    rows = rows.join(F.broadcast(keys), _same(group, names), "left_semi")
-    fractions = ", ".join(f"{i / (_BOUNDS + 1)}D" for i in range(1, _BOUNDS + 1))
-    cuts = rows.groupBy(*group).agg(
-        F.expr(f"percentile_approx(_num, array({fractions}), {_ACCURACY})").alias("_cuts"), F.count("*").alias("_n")
-    )
-    step = F.greatest(F.lit(1), F.floor(F.lit(float((_BOUNDS + 1) * rows_per_task)) / F.col("_n"))).cast("int")
-    thinned = F.filter("_cuts", lambda x, i: (i + 1) % step == 0)
-    # The bounds differ between runs, so they are fixed before two branches of a plan use them.
-    return cut(cuts.select(*group, F.array_distinct(thinned).alias("_cuts")))
-
-
-def _slices(df: DataFrame, group: Sequence[str], order: str, hot: DataFrame) -> DataFrame:
-    """Add the slice number: how many bounds of its group lie below or at a row (0 if not hot)."""
-    small, names = _renamed(hot, group, "_cuts")
-    number = order_number(F.col(order), df.schema[order].dataType)
-    found = df.join(F.broadcast(small), _same(group, names), "left").withColumn("_num", number)
-    # Binary search with as many steps as the longest list of bounds asks for.
-    longest = hot.agg(F.max(F.size("_cuts"))).first()[0] or 0
-    widths = F.lit([2**i for i in reversed(range(max(longest.bit_length(), 1)))])
-    search = F.aggregate(
-        widths, F.lit(0), lambda at, w: at + F.when(F.col("_num") >= F.get("_cuts", at + w - 1), w).otherwise(0)
-    )
-    is_hot = F.col("_cuts").isNotNull()
-    found = found.withColumns({_SLICE: F.when(is_hot, search).otherwise(0), _IS_HOT: is_hot})
-    return found.drop("_cuts", "_num", *names)
 
-
-def _add_from_slices(rows: DataFrame, keys: Sequence[str], summary: DataFrame, value: str) -> DataFrame:
-    """Left join of one ``value`` per slice.
-
-    Only slices of hot groups behind the first one have a value. They number
-    at most rows / rows_per_task, so they are broadcast and ``rows`` is not shuffled again.
-    """
-    small, names = _renamed(summary.filter(F.col(value).isNotNull()), keys, value)
-    return rows.join(F.broadcast(small), _same(keys, names), "left").drop(*names)
-
-
-def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "seq",
-                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "seq", parts: int | None = None) -> DataFrame:
     """Position of each row in its group, from 1, by ``order`` (which must be unique in a group)."""
-    hot = hot_groups(df, group, order[0], rows_per_task)
-    if hot is None:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
-    sliced = _slices(df, group, order[0], hot)
-    keys = [*group, _SLICE]
-    sizes = sliced.filter(_IS_HOT).groupBy(*keys).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, F.sum("_n").over(before).alias("_before"))
-    local = sliced.withColumn("_local", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    position = F.col("_local") + F.coalesce("_before", F.lit(0))
-    return _add_from_slices(local, keys, offsets, "_before").select(*df.columns, position.cast("bigint").alias(out))
+    position = (F.col("_before") + F.col("_local")).cast("bigint")
+    return _numbered(df, group, order, parts).select(*df.columns, position.alias(out))
 
 
 def with_frames(df: DataFrame, group: Sequence[str], order: Sequence[str], preceding: int,
-                columns: Callable[[Sequence[str], Sequence[str]], dict[str, Column]],
-                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                columns: Callable[[Sequence[str], Sequence[str]], dict[str, Column]], parts: int | None = None) -> DataFrame:
     """Window columns that look back at most ``preceding`` rows.
 
-    ``columns(group, order)`` returns the window expressions over the grouping
-    it is given. Large groups are numbered and cut into blocks; each block also
+    ``columns(group, order)`` returns the window expressions over the grouping it is given. Groups are numbered
+    and cut into blocks of an even share of all rows, but no fewer than ``preceding``; each block also
     gets the last rows of the block before it, which are dropped afterwards.
     """
-    hot = hot_groups(df, group, order[0], rows_per_task)
-    if hot is None:
-        return df.withColumns(columns(list(group), list(order)))
-    numbered = number_rows(df, group, order, "_row", rows_per_task)
-    block = F.floor((F.col("_row") - 1) / rows_per_task)
-    near_end = (F.col("_row") - 1) % rows_per_task >= rows_per_task - preceding
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = stored(number_rows(df, group, order, "_row", parts), "numbered")
+    size = max(preceding, -(-numbered.count() // parts), 1)
+    block = F.floor((F.col("_row") - 1) / size)
+    near_end = (F.col("_row") - 1) % size >= size - preceding
     blocks = F.when(near_end, F.array(block, block + 1)).otherwise(F.array(block))
     spread = numbered.select("*", F.posexplode(blocks).alias("_copy", "_block"))
     out = spread.withColumns(columns([*group, "_block"], list(order)))
     return out.filter("_copy = 0").drop("_copy", "_block", "_row")
 
 
-def rank_rows(df: DataFrame, group: Sequence[str], order: str, tie: Sequence[str], out: str = "rk",
-              rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """``rank()`` by ``order``; ``tie`` makes the row order unique while counting."""
-    hot = hot_groups(df, group, order, rows_per_task)
-    if hot is None:
-        return df.withColumn(out, F.rank().over(Window.partitionBy(*group).orderBy(order)).cast("bigint"))
-    numbered = number_rows(df, group, [order, *tie], "_row", rows_per_task)
-    keys = [*group, order]
-    firsts, names = _renamed(numbered.groupBy(*keys).agg(F.min("_row").alias(out)), keys, out)
-    return numbered.join(firsts, _same(keys, names), "left").select(*df.columns, out)
+def rank_rows(df: DataFrame, group: Sequence[str], order: str, tie: Sequence[str], out: str = "rk", parts: int | None = None) -> DataFrame:
+    """``rank()`` by ``order``; ``tie`` makes the row order unique while dealing, so equal values may be in many ranges."""
+    rows = _dealt(df, group, [order, *tie], parts)
+    local = rows.withColumn("_row", F.row_number().over(_inside([order, *tie]))).withColumn("_rank", F.rank().over(_inside([order])))
+    edges = local.groupBy(_PART, _KEY).agg(
+        F.count("*").alias("_n"), F.min_by(F.struct(order), "_row").alias("_first"), F.max_by(F.struct(order), "_row").alias("_last"),
+        F.max("_rank").alias("_last_rank"),
+    )
+    in_order = Window.partitionBy(_KEY).orderBy(_PART)
+    edges = edges.withColumn("_before", F.coalesce(F.sum("_n").over(_earlier()), F.lit(0)))
+    continued = F.coalesce(F.col("_first") == F.lag("_last").over(in_order), F.lit(False))
+    # The rank of a range's last value; unknown here if the value fills the range and began before it.
+    own = F.when((F.col("_last_rank") > 1) | ~continued, F.col("_before") + F.col("_last_rank"))
+    edges = edges.withColumn("_own", own).withColumn("_continued", continued)
+    edges = edges.select(
+        _PART, _KEY, "_before", "_first", F.when(F.col("_continued"), F.last("_own", ignorenulls=True).over(_earlier())).alias("_carried")
+    )
+    ranked = local.join(edges, [_PART, _KEY])
+    same = F.col("_carried").isNotNull() & (F.struct(order) == F.col("_first"))
+    rank = F.when(same, F.col("_carried")).otherwise(F.col("_before") + F.col("_rank"))
+    return ranked.select(*df.columns, rank.cast("bigint").alias(out))
 
 
 def as_of_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: str, right_at: str,
-               right_order: Sequence[str] = (), values: Sequence[str] = (),
-               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+               right_order: Sequence[str] = (), values: Sequence[str] = (), parts: int | None = None) -> DataFrame:
     """Each left row with the latest right row of its key at or before its time.
 
     Both sides are put in one ordered stream per key, and the last right row is
@@ -175,55 +111,37 @@ def as_of_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: st
                             F.struct(*kept).alias("_left"))
     right_rows = right.select(*on, F.col(right_at).alias("_at"), F.lit(0).alias("_side"),
                               *[F.col(c).alias(f"_o_{c}") for c in tie], payload.alias("_right"))
-    merged = left_rows.unionByName(right_rows, allowMissingColumns=True)
     order = ["_at", "_side", *[f"_o_{c}" for c in tie]]
-    hot = hot_groups(merged, on, "_at", rows_per_task)
-    keys = list(on) if hot is None else [*on, _SLICE]
-    rows = merged if hot is None else _slices(merged, on, "_at", hot)
-    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.select(*keys, "_left", F.last("_right", ignorenulls=True).over(so_far).alias("_found"))
-    found = found.filter(F.col("_left").isNotNull())
-    if hot is not None:
-        last = rows.filter(_IS_HOT).groupBy(*keys).agg(F.max("_right").alias("_last"))
-        before = Window.partitionBy(*on).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        carried = last.select(*keys, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-        joined = _add_from_slices(found, keys, carried, "_carried")
-        found = joined.select("_left", F.coalesce("_found", "_carried").alias("_found"))
-    return found.select("_left.*", *[F.col(f"_found.{v}").alias(v) for v in values])
-
-
-def sessions(df: DataFrame, group: Sequence[str], ts: str, gap: str,
-             rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    rows = _dealt(left_rows.unionByName(right_rows, allowMissingColumns=True), on, order, parts)
+    so_far = _inside(order).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.select(_PART, _KEY, "_left", F.last("_right", ignorenulls=True).over(so_far).alias("_found"))
+    last = rows.filter("_right is not null").groupBy(_PART, _KEY).agg(F.max_by("_right", F.struct(*order)).alias("_last"))
+    # Ranges that have only left rows of a key carry on what came before them.
+    ranges = rows.select(_PART, _KEY).distinct().join(last, [_PART, _KEY], "left")
+    carried = ranges.select(_PART, _KEY, F.last("_last", ignorenulls=True).over(_earlier()).alias("_carried"))
+    joined = found.filter("_left is not null").join(carried, [_PART, _KEY])
+    best = joined.select("_left", F.coalesce("_found", "_carried").alias("_found"))
+    return best.select("_left.*", *[F.col(f"_found.{v}").alias(v) for v in values])
+
+
+def sessions(df: DataFrame, group: Sequence[str], ts: str, gap: str, parts: int | None = None) -> DataFrame:
     """Rows of a group with less than ``gap`` between neighbours: number, start, end and size."""
-    hot = hot_groups(df, group, ts, rows_per_task)
-    rows = df.select(*group, ts)
-    keys = list(group)
-    if hot is not None:
-        rows, keys = _slices(rows, group, ts, hot), [*group, _SLICE]
-    ordered = Window.partitionBy(*keys).orderBy(ts)
+    rows = _dealt(df.select(*group, ts), group, [ts], parts)
+    ordered = _inside([ts])
     previous = F.lag(ts).over(ordered)
     joins = previous.isNotNull() & (F.col(ts) < previous + F.expr(f"interval {gap}"))
     flagged = rows.withColumn("_new", F.when(joins, 0).otherwise(1))
     numbered = flagged.withColumn("_local", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.groupBy(*keys, "_local").agg(
-        F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"),
-        *([F.bool_or(_IS_HOT).alias(_IS_HOT)] if hot is not None else []),
-    )
-    if hot is None:
-        return runs.select(*group, F.col("_local").alias("sid"), "start", "end", "n")
-    # Inside a hot group only the run at a slice's border can grow together with the slice before.
-    # How many runs came before, less those that did, is one number per slice.
-    slices = runs.filter(_IS_HOT).groupBy(*keys).agg(
+    runs = numbered.groupBy(_PART, _KEY, "_local").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"))
+    # Only the run at a range's border can grow together with the range before.
+    # How many runs came before, less those that did, is one number per range and group.
+    edges = runs.groupBy(_PART, _KEY).agg(
         F.max("_local").alias("_runs"), F.min("start").alias("_first"), F.max("end").alias("_last")
     )
-    before = Window.partitionBy(*group).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max("_last").over(before)
-    grown = F.when(F.col("_first") < last + F.expr(f"interval {gap}"), 1).otherwise(0)
-    slices = slices.withColumn("_grown", grown)
-    shift = F.sum(F.col("_runs") - F.col("_grown")).over(before) - F.col("_grown")
-    moved = _add_from_slices(runs, keys, slices.select(*keys, shift.alias("_shift")), "_shift")
-    moved = moved.withColumn("sid", F.col("_local") + F.coalesce("_shift", F.lit(0)))
-    whole = moved.groupBy(*group, "sid").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")
-    )
-    return whole.select(*group, "sid", "start", "end", "n")
+    last = F.max("_last").over(_earlier())
+    edges = edges.withColumn("_grown", F.when(F.col("_first") < last + F.expr(f"interval {gap}"), 1).otherwise(0))
+    shift = F.coalesce(F.sum(F.col("_runs") - F.col("_grown")).over(_earlier()), F.lit(0)) - F.col("_grown")
+    moved = runs.join(edges.select(_PART, _KEY, shift.alias("_shift")), [_PART, _KEY])
+    moved = moved.withColumn("sid", F.col("_local") + F.col("_shift"))
+    whole = moved.groupBy(_KEY, "sid").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+    return whole.select(f"{_KEY}.*", "sid", "start", "end", "n")

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetlake.functions.records import FULL_TIMES
 from assetlake.operators.objects import latest
 
 
@@ -49,14 +50,19 @@ def table_diff(before: DataFrame, after: DataFrame, key: str | Sequence[str], co
     ``compare="digest"`` sends a SHA-256 of the payload through the shuffle instead.
     """
     keys = _keys(key)
+    odd = set(before.columns) ^ set(after.columns)
+    if odd:
+        raise ValueError(f"the two states differ in the columns {sorted(odd)}")
 
     def side(df: DataFrame, name: str) -> DataFrame:
         if compare == "values":
             return _packed(df.select(*before.columns), keys, name)
-        text = F.to_json(F.struct(*_payload(before, keys)), {"ignoreNullFields": "false"})
+        text = F.to_json(F.struct(*_payload(before, keys)), {"ignoreNullFields": "false", **FULL_TIMES})
         return df.select(*keys, F.sha2(text, 256).alias(name))
 
-    both = side(before, "_old").join(side(after, "_new"), keys, "full_outer")
+    # As one value the keys are equal also where they are null.
+    keyed = lambda df: df.withColumn("_key", F.struct(*keys)).drop(*keys)
+    both = keyed(side(before, "_old")).join(keyed(side(after, "_new")), "_key", "full_outer").select("_key.*", "_old", "_new")
     change = (
         F.when(F.col("_old").isNull(), "added")
         .when(F.col("_new").isNull(), "removed")

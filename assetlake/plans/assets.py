@@ -197,11 +197,15 @@ def plan_order(targets: Sequence[AssetNode]) -> list[AssetNode]:
     return list(TopologicalSorter(links).static_order())
 
 
-def _write(spark: SparkSession, node: TableAsset, df: DataFrame, path: str, slots: list[Column] | None = None) -> tuple[Materialized, list[int]]:
-    """Conform, write, count; rows that break the declaration go to ``<path>__rejected``."""
+def _write(spark: SparkSession, node: TableAsset, df: DataFrame, path: str, run_id: str, slots: list[Column] | None = None) -> tuple[Materialized, list[int]]:
+    """Conform, write, count; rows that break the declaration go to ``<path>__rejected/run_id=...``.
+
+    A row with a reason is kept whatever its slot: the value of its partition column may be what is wrong. The
+    rejected rows of other runs stay.
+    """
     checked = check_rows(df, node.output) if node.output is not None else df.withColumn("_reason", F.lit(None).cast("string"))
     if slots is not None:
-        checked = checked.filter(reduce(lambda a, b: a | b, slots))
+        checked = checked.filter(reduce(lambda a, b: a | b, slots) | F.col("_reason").isNotNull())
     good = F.col("_reason").isNull()
     per_slot = [F.count_if(good & s).alias(f"slot{i}") for i, s in enumerate(slots or [])]
     watched, seen = observed(checked, node.name, F.count_if(~good).alias("bad"), *per_slot)
@@ -209,7 +213,7 @@ def _write(spark: SparkSession, node: TableAsset, df: DataFrame, path: str, slot
     counts = seen.get
     bad = counts["bad"]
     if bad:
-        write_table(checked.filter(~good), f"{path}__rejected", mode="overwrite")
+        write_table(checked.filter(~good), f"{path}__rejected/run_id={quote(run_id, safe='')}", mode="overwrite")
     result = Materialized(node.name, path, counts["rows"] - bad, bad)
     return result, [counts[f"slot{i}"] for i in range(len(per_slot))]
 
@@ -230,7 +234,7 @@ def materialize(spark: SparkSession, root: str, assets: Sequence[AssetNode] | Na
     for node in plan_order(assets):
         df = node.compute(spark, [frames[up] for up in node.upstream])
         if isinstance(node, TableAsset):
-            result, _ = _write(spark, node, df, node.path(root, branch))
+            result, _ = _write(spark, node, df, node.path(root, branch), run_id)
             done.append(result)
             digest = schema_hash(df)
             append_run(spark, join_path(root, RUN_LOG), run_id, node.name, branch, result.path, result.rows, digest, None)
@@ -257,7 +261,8 @@ def backfill(spark: SparkSession, root: str, asset: TableAsset, slots: Sequence[
     df = asset.compute(spark, inputs)
     conditions = [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in slot.items()]) for slot in slots]
     path = asset.path(root, branch)
-    result, counts = _write(spark, asset, df, path, conditions)
+    run_id = run_id or uuid.uuid4().hex
+    result, counts = _write(spark, asset, df, path, run_id, conditions)
     rest = [c for c in (asset.output.schema.names if asset.output else df.columns) if c not in asset.partition_by]
     schema = asset.read(spark, root, branch).select(*rest).schema
     for slot, rows in zip(slots, counts):
@@ -266,7 +271,7 @@ def backfill(spark: SparkSession, root: str, asset: TableAsset, slots: Sequence[
             folder = "/".join(f"{c}={_partition_value(slot[c])}" for c in asset.partition_by)
             write_table(spark.createDataFrame([], schema), f"{path}/{folder}", asset.format)
     names = [",".join(f"{c}={v}" for c, v in slot.items()) for slot in slots]
-    append_run(spark, join_path(root, RUN_LOG), run_id or uuid.uuid4().hex, asset.name, branch, path, result.rows, schema_hash(df), names)
+    append_run(spark, join_path(root, RUN_LOG), run_id, asset.name, branch, path, result.rows, schema_hash(df), names)
     return result
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assetlake.session import is_missing_path
 from assetlake.functions.paths import join_path
 from assetlake.operators.graph import ancestors
 from assetlake.operators.versions import branch_merge
@@ -49,7 +50,9 @@ class Lake:
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(join_path(self.root, "_meta", name))
-        except AnalysisException:
+        except AnalysisException as error:
+            if not is_missing_path(error):
+                raise
             return self.spark.createDataFrame([], schema)
 
     def commits(self) -> DataFrame:

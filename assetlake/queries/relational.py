@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from assetlake.operators.ordered import as_of_join, number_rows, rank_rows, sessions, with_frames
 from assetlake.queries import query
+from assetlake.session import stored, with_conf
 from assetlake.tables import register_views, table
 
 MONEY = "decimal(18,2)"
@@ -32,10 +33,18 @@ def rel_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("rel_approx_distinct")
+@query("rel_approx_distinct", """
+    select l_returnflag, count(distinct l_partkey) as parts, true as within_5pct from lineitem group by 1
+""")
 def rel_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"))
+    # The sketch is checked against the exact count, so both are computed here.
+    pairs = lines.groupBy("l_returnflag", "l_partkey").agg(F.hll_sketch_agg("l_partkey").alias("sketch"))
+    both = pairs.groupBy("l_returnflag").agg(
+        F.count("l_partkey").alias("parts"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("about")
+    )
+    close = F.abs(F.col("about") - F.col("parts")) <= 0.05 * F.col("parts")
+    return both.select("l_returnflag", "parts", close.alias("within_5pct"))
 
 
 @query("rel_cube", """
@@ -142,14 +151,13 @@ def rel_setops(spark: SparkSession, sf_dir: str) -> DataFrame:
     select 'empty', o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)
 """)
 def rel_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Distinct keys first: an order with very many lines then counts once in the join,
-    # and the join reuses the partitioning of the distinct.
+    # One pass over the lines: an order with very many lines counts once in the join,
+    # and the join reuses the partitioning of the grouping.
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    large = lines.filter("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    used = lines.select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    having = orders.join(large, "o_orderkey", "left_semi").select(F.lit("large").alias("kind"), "o_orderkey")
-    empty = orders.join(used, "o_orderkey", "left_anti").select(F.lit("empty").alias("kind"), "o_orderkey")
-    return having.unionByName(empty)
+    used = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_or(F.col("l_quantity") > 49).alias("large"))
+    found = orders.join(used, "o_orderkey", "left")
+    kind = F.when(F.col("large"), "large").when(F.col("large").isNull(), "empty")
+    return found.select(kind.alias("kind"), "o_orderkey").where("kind is not null")
 
 
 @query("rel_asof", """
@@ -237,11 +245,20 @@ def rel_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def rel_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters said up to each turn, walked turn by turn."""
-    register_views(spark, sf_dir, ("conversations",))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql("""
+    return conversation_sizes(spark, table(spark, sf_dir, "conversations"))
+
+
+def conversation_sizes(spark: SparkSession, conversations: DataFrame) -> DataFrame:
+    conversations.createOrReplaceTempView("conversations")
+    levels = (conversations.agg(F.max("turn")).first()[0] or 0) + 2
+    with with_conf(spark, {"spark.sql.cteRecursionRowLimit": "-1"}):  # evaluated inside, as the limit is read then
+        return stored(_walked(spark, levels), "turns")
+
+
+def _walked(spark: SparkSession, levels: int) -> DataFrame:
+    return spark.sql(f"""
         with recursive turns as (select conv_id, turn, cast(length(text) as bigint) as size from conversations),
-        r(conv_id, turn, chars) as (
+        r(conv_id, turn, chars) max recursion level {levels} as (
             select conv_id, turn, size from turns where turn = 0
             union all select t.conv_id, t.turn, r.chars + t.size from r
             join turns t on t.conv_id = r.conv_id and t.turn = r.turn + 1)
@@ -284,16 +301,21 @@ def rel_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", F.col("sid").cast("bigint").alias("sid"), "n")
 
 
-# Five event types share all events: the groups are cut into slices, as a hot key would be.
-ROWS_PER_SLICE = 1_000
-
-
 @query("large_group_numbers", """
     select event_id, row_number() over (partition by event_type order by ts, event_id) as seq from events
 """)
 def large_group_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
-    return number_rows(events, ["event_type"], ["ts", "event_id"], "seq", ROWS_PER_SLICE).select("event_id", "seq")
+    return number_rows(events, ["event_type"], ["ts", "event_id"], "seq").select("event_id", "seq")
+
+
+@query("large_group_ranks", """
+    select event_id, rank() over (partition by event_type order by cast(ts as date)) as rk from events
+""")
+def large_group_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five groups hold all events, and all events of a day tie."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.to_date("ts").alias("day"))
+    return rank_rows(events, ["event_type"], "day", ["event_id"]).select("event_id", "rk")
 
 
 @query("large_group_frames", """
@@ -308,7 +330,7 @@ def large_group_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         return {"prev": F.lag("event_id").over(w), "mov": moving.cast("decimal(38,2)")}
 
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
-    framed = with_frames(events, ["event_type"], ["ts", "event_id"], 2, looking_back, ROWS_PER_SLICE)
+    framed = with_frames(events, ["event_type"], ["ts", "event_id"], 2, looking_back)
     return framed.select("event_id", "prev", "mov")
 
 
@@ -319,7 +341,7 @@ def large_group_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
                 then 0 else 1 end b from events)) group by 1, 2
 """)
 def large_group_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sessions(table(spark, sf_dir, "events"), ["event_type"], "ts", "20 minutes", ROWS_PER_SLICE)
+    found = sessions(table(spark, sf_dir, "events"), ["event_type"], "ts", "20 minutes")
     return found.select(
         "event_type", F.col("sid").cast("bigint").alias("sid"), F.col("start").alias("first_at"), F.col("end").alias("last_at"), "n"
     )
@@ -334,7 +356,7 @@ def large_group_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.lit(1).alias("k"), "event_id", "event_type", "ts")
     bought = events.filter("event_type = 'purchase'").drop("event_type")
     seen = events.filter("event_type = 'view'").select("k", F.col("ts").alias("at"), F.col("event_id").alias("earlier"))
-    joined = as_of_join(bought, seen, ["k"], "ts", "at", ["earlier"], ["earlier"], ROWS_PER_SLICE)
+    joined = as_of_join(bought, seen, ["k"], "ts", "at", ["earlier"], ["earlier"])
     return joined.select("event_id", "earlier")
 
 

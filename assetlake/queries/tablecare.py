@@ -25,7 +25,7 @@ def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines scattered over many small files, then rewritten as few."""
     scattered, dense = work_path(spark, "scattered"), work_path(spark, "dense")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    lines.repartition(32, "l_orderkey").write.parquet(scattered)
+    lines.repartition("l_orderkey").write.parquet(scattered)
     return spark.read.schema(lines.schema).parquet(care.compact(spark, scattered, dense))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlake.functions.paths import join_path
+from assetlake.session import is_missing_path
 from assetlake.operators import objects as ops
 from assetlake.sources.files import scan_files
 
@@ -141,7 +142,9 @@ class Bucket(_Keyed):
     def _log(self, spark: SparkSession) -> DataFrame | None:
         try:
             return spark.read.schema(LOG_SCHEMA).parquet(self.log_path)
-        except AnalysisException:
+        except AnalysisException as error:
+            if not is_missing_path(error):
+                raise
             return None
 
     def _append(self, rows: DataFrame) -> int:
@@ -167,7 +170,9 @@ class Bucket(_Keyed):
             # A file's etag is taken from its size and time: its bytes stay unread until asked for.
             stamp = F.md5(F.concat_ws("-", "key", "size", F.unix_micros("modified")).cast("binary"))
             files = scan_files(spark, self.root, folder).withColumn("etag", stamp).select(*columns)
-        except AnalysisException:
+        except AnalysisException as error:
+            if not is_missing_path(error):
+                raise
             files = spark.createDataFrame([], LOG_SCHEMA).select(*columns)
         if log is None:
             return files

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from assetlake.functions.paths import join_path
 from assetlake.functions.records import check_json, encode_json
 from assetlake.operators.ordered import number_rows
+from assetlake.session import is_missing_path
 from assetlake.schema import as_row_type
 
 MESSAGE_SCHEMA = "message_id string, group_id string, sent_at timestamp, body string"
@@ -82,7 +83,9 @@ class Queue:
         schema = "message_id string, at timestamp, deadline timestamp, deleted boolean"
         try:
             return spark.read.schema(schema).parquet(self.log_path)
-        except AnalysisException:
+        except AnalysisException as error:
+            if not is_missing_path(error):
+                raise
             return None
 
     def _note(self, ids: DataFrame, seconds: int | None, deleted: bool) -> None:
@@ -211,7 +214,9 @@ def fifo_sink(path: str) -> Callable[[DataFrame, int], None]:
         counts = f"{path}/counts"
         try:
             earlier = spark.read.schema("group_id string, n bigint, batch bigint").parquet(counts).filter(F.col("batch") < batch_id)
-        except AnalysisException:
+        except AnalysisException as error:
+            if not is_missing_path(error):
+                raise
             earlier = spark.createDataFrame([], "group_id string, n bigint, batch bigint")
         before = earlier.groupBy("group_id").agg(F.sum("n").alias("_before")).withColumnRenamed("group_id", "_group")
         joined = numbered.join(before, numbered["group_id"].eqNullSafe(before["_group"]), "left")

@@ -1,4 +1,4 @@
-"""The sliced way must give what the plain window gives, also with a third of the rows in one group."""
+"""Ranges must give what a plain window gives, also with a third of the rows in one group."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from assetlake.operators import ordered
 from assetlake.tables import table
 
-SMALL = 60
+MANY, ONE = 40, 1
 
 
 @pytest.fixture(scope="module")
@@ -22,20 +22,9 @@ def skewed(spark, sf_dir):
     return events.select(key.alias("k"), ts.alias("ts"), "event_id", "value").persist()
 
 
-def test_hot_group_is_found_and_sliced(skewed):
-    hot = ordered.hot_groups(skewed, ["k"], "ts", SMALL)
-    cuts = {r["k"]: r["_cuts"] for r in hot.collect()}
-    rows = skewed.filter("k = 0").count()
-    assert 0 in cuts and len(cuts[0]) >= rows // SMALL - 1
-    sliced = ordered._slices(skewed, ["k"], "ts", hot)
-    largest = sliced.filter("k = 0").groupBy("_slice").count().agg(F.max("count")).first()[0]
-    assert largest < rows / 2
-    assert ordered.hot_groups(skewed, ["k"], "ts", 10_000) is None
-
-
 def test_number_rows(skewed):
-    plain = ordered.number_rows(skewed, ["k"], ["ts", "event_id"])
-    sliced = ordered.number_rows(skewed, ["k"], ["ts", "event_id"], rows_per_task=SMALL)
+    plain = skewed.withColumn("seq", F.row_number().over(Window.partitionBy("k").orderBy("ts", "event_id")).cast("bigint"))
+    sliced = ordered.number_rows(skewed, ["k"], ["ts", "event_id"], parts=MANY)
     assert rows_of(sliced) == rows_of(plain)
 
 
@@ -45,20 +34,20 @@ def test_frames(skewed):
         return {"prev": F.lag("event_id", 2).over(w), "mov": F.sum("event_id").over(w.rowsBetween(-2, 0))}
 
     args = (skewed, ["k"], ["ts", "event_id"], 2, columns)
-    assert rows_of(ordered.with_frames(*args, rows_per_task=SMALL)) == rows_of(ordered.with_frames(*args))
+    assert rows_of(ordered.with_frames(*args, parts=MANY)) == rows_of(ordered.with_frames(*args))
 
 
 def test_ranks_with_ties(skewed):
     days = skewed.withColumn("day", F.to_date("ts"))
     args = (days, ["k"], "day", ["event_id"])
-    assert rows_of(ordered.rank_rows(*args, rows_per_task=SMALL)) == rows_of(ordered.rank_rows(*args))
+    assert rows_of(ordered.rank_rows(*args, parts=MANY)) == rows_of(ordered.rank_rows(*args))
 
 
 @pytest.mark.parametrize("gap", ["1 minute", "90 minutes", "3 days"])
 def test_sessions_equal_the_built_in_window(skewed, gap):
     keyed = skewed.filter("k is not null")
     plain = ordered.sessions(keyed, ["k"], "ts", gap)
-    sliced = ordered.sessions(keyed, ["k"], "ts", gap, rows_per_task=SMALL)
+    sliced = ordered.sessions(keyed, ["k"], "ts", gap, parts=MANY)
     built_in = keyed.groupBy("k", F.session_window("ts", gap).alias("w")).agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n")
     )
@@ -76,16 +65,43 @@ def test_as_of_join_against_all_pairs(spark, skewed):
     want = pairs.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("l.k", "id", "at", "seen", "value")
     want = rows_of(want)
     assert rows_of(ordered.as_of_join(*args)) == want
-    assert rows_of(ordered.as_of_join(*args, rows_per_task=SMALL)) == want
+    assert rows_of(ordered.as_of_join(*args, parts=MANY)) == want
+
+
+def test_text_order_and_a_hot_value(skewed):
+    text = skewed.withColumn("t", F.when(F.col("event_id") % 2 == 0, "same").otherwise(F.col("event_id").cast("string")))
+    plain = text.withColumn("seq", F.row_number().over(Window.partitionBy("k").orderBy("t", "event_id")).cast("bigint"))
+    assert rows_of(ordered.number_rows(text, ["k"], ["t", "event_id"], parts=MANY)) == rows_of(plain)
+    ranked = text.withColumn("rk", F.rank().over(Window.partitionBy("k").orderBy("t")).cast("bigint"))
+    assert rows_of(ordered.rank_rows(text, ["k"], "t", ["event_id"], parts=MANY)) == rows_of(ranked)
+
+
+def test_one_second_for_all_rows_is_spread(skewed):
+    same = skewed.select(F.lit(1).alias("k"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), "event_id")
+    dealt = ordered._dealt(same, ["k"], ["ts", "event_id"], MANY)
+    largest = dealt.groupBy("_part").count().agg(F.max("count")).first()[0]
+    assert largest < same.count() / 4
+    assert {r["rk"] for r in ordered.rank_rows(same, ["k"], "ts", ["event_id"], parts=MANY).collect()} == {1}
+
+
+def test_frames_longer_than_a_range(skewed):
+    def columns(group, order):
+        w = Window.partitionBy(*group).orderBy(*order)
+        return {"far": F.lag("event_id", 300).over(w), "mov": F.sum("event_id").over(w.rowsBetween(-300, 0))}
+
+    args = (skewed, ["k"], ["ts", "event_id"], 300, columns)
+    assert rows_of(ordered.with_frames(*args, parts=MANY)) == rows_of(skewed.withColumns(columns(["k"], ["ts", "event_id"])))
 
 
-def test_slices_refuse_text_order(skewed):
-    text = skewed.withColumn("t", F.col("event_id").cast("string"))
-    with pytest.raises(TypeError):
-        ordered.number_rows(text, ["k"], ["t"], rows_per_task=SMALL)
+def test_as_of_join_carries_maps(skewed):
+    left = skewed.select("k", F.col("event_id").alias("id"), "ts")
+    right = skewed.filter("event_id % 50 = 0").select("k", F.col("ts").alias("at"), "event_id", F.create_map(F.lit("v"), "event_id").alias("m"))
+    args = (left, right, ["k"], "ts", "at", ["event_id"], ["m"])
+    values = lambda df: rows_of(df.select("id", F.map_values("m").alias("m")))
+    assert values(ordered.as_of_join(*args, parts=MANY)) == values(ordered.as_of_join(*args, parts=ONE))
 
 
-def test_large_numbers_do_not_overflow(spark):
-    rows = spark.range(1_100_000).select(F.lit("hot").alias("k"), (F.col("id") * 7_919 % 1_100_000).alias("at"))
-    numbered = ordered.number_rows(rows, ["k"], ["at"], rows_per_task=1_000_000)
-    assert numbered.filter(F.col("seq") != F.col("at") + 1).count() == 0 and numbered.count() == 1_100_000
+def test_empty_table(spark, skewed):
+    none = skewed.limit(0)
+    assert ordered.number_rows(none, ["k"], ["ts"]).count() == 0
+    assert ordered.sessions(none, ["k"], "ts", "1 hour").count() == 0
