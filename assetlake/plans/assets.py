@@ -10,12 +10,14 @@ from graphlib import TopologicalSorter
 from typing import NamedTuple, get_type_hints
 from urllib.parse import quote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlake.functions.paths import join_path
 from assetlake.plans.runlog import append_run, observed, schema_hash
 from assetlake.schema import RowType, as_row_type, check_rows
+from assetlake.session import is_missing_path
 from assetlake.sources.formats import TableFormat, read_table, write_table
 
 Asset = NamedTuple
@@ -87,6 +89,16 @@ class TableAsset(AssetNode):
         return spark.read.format(self.format.value).load(path)
 
 
+def read_branch(spark: SparkSession, node: TableAsset, root: str, branch: str) -> DataFrame:
+    """The table as the branch sees it: its own rows if it was written there, else those of the default branch."""
+    try:
+        return node.read(spark, root, branch)
+    except AnalysisException as error:
+        if branch == DEFAULT_BRANCH or not is_missing_path(error):
+            raise
+        return node.read(spark, root, DEFAULT_BRANCH)
+
+
 def _wants_pandas(f: Callable) -> bool:
     """Whether a parameter is annotated as a pandas-on-Spark frame."""
     hints = [h for name, h in get_type_hints(f).items() if name != "return"]
@@ -219,9 +231,11 @@ def _write(spark: SparkSession, node: TableAsset, df: DataFrame, path: str, run_
 
 
 def materialize(spark: SparkSession, root: str, assets: Sequence[AssetNode] | Namespace, branch: str = DEFAULT_BRANCH,
-                run_id: str | None = None) -> list[Materialized]:
+                run_id: str | None = None, upstream: bool = True) -> list[Materialized]:
     """Write the assets (all tables of a namespace) and all tables upstream of them, each once.
 
+    Without ``upstream`` only the assets themselves are written; their inputs are read as the branch sees them.
+
     A table is computed from what was written for its inputs, so shared inputs are
     not recomputed and a failed run can be looked into. Every written table is also
     registered as the temporary view ``db__ns__table``.
@@ -232,6 +246,12 @@ def materialize(spark: SparkSession, root: str, assets: Sequence[AssetNode] | Na
     frames: dict[AssetNode, DataFrame] = {}
     done = []
     for node in plan_order(assets):
+        if isinstance(node, TableAsset) and not upstream and node not in assets:
+            if any(node in target.upstream for target in assets):
+                frames[node] = read_branch(spark, node, root, branch)
+            continue
+        if not upstream and node not in assets and not any(node in target.upstream for target in assets):
+            continue
         df = node.compute(spark, [frames[up] for up in node.upstream])
         if isinstance(node, TableAsset):
             result, _ = _write(spark, node, df, node.path(root, branch), run_id)
@@ -257,7 +277,7 @@ def backfill(spark: SparkSession, root: str, asset: TableAsset, slots: Sequence[
     for slot in slots:
         if set(slot) != set(asset.partition_by):
             raise ValueError(f"slot {slot} must name exactly the columns {asset.partition_by}")
-    inputs = [up.read(spark, root, branch) if isinstance(up, TableAsset) else up.frame(spark) for up in asset.upstream]
+    inputs = [read_branch(spark, up, root, branch) if isinstance(up, TableAsset) else up.frame(spark) for up in asset.upstream]
     df = asset.compute(spark, inputs)
     conditions = [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in slot.items()]) for slot in slots]
     path = asset.path(root, branch)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-
-
 import pyspark.pandas as ps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetlake.plans.assets import RUN_LOG, Namespace, SourceAsset, TableAsset, backfill, materialize, source
+from assetlake.plans.jobs import every, job
 from assetlake.plans.runlog import read_runs
 from assetlake.queries import query
 from assetlake.session import work_path
@@ -22,8 +21,6 @@ def _source(sf_dir: str, name: str) -> SourceAsset:
     return source(name, load=lambda spark: table(spark, sf_dir, name))
 
 
-
-
 MONEY = T.DecimalType(38, 2)
 
 
@@ -161,3 +158,54 @@ def sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL text over registered tables."""
     register_views(spark, sf_dir, ("customer", "nation"))
     return spark.sql("select n_name, count(*) as n from customer join nation on c_nationkey = n_nationkey group by n_name")
+
+
+@query("materialize_branch", f"select year, count(*) as nations, sum(revenue) as revenue from ({NATION_YEAR_SQL}) group by year")
+def materialize_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One more table on a branch; its input was written on the default branch only."""
+    root = work_path(spark, "lake")
+    nation_year = revenue_graph(sf_dir)["nation_year"]
+    materialize(spark, root, [nation_year])
+    rows = T.StructType.fromDDL("year long, nations long, revenue decimal(38,2)")
+
+    @Namespace("trial").table(input=nation_year, output=rows)
+    def per_year(yearly: DataFrame) -> DataFrame:
+        return yearly.groupBy("year").agg(F.count("*").alias("nations"), F.sum("revenue").cast(MONEY).alias("revenue"))
+
+    materialize(spark, root, [per_year], branch="trial", upstream=False)
+    return per_year.read(spark, root, "trial")
+
+
+@query("backfill_rejects", """
+    select o_orderstatus = 'F' or o_orderstatus = 'O' as kept, count(*) as n from orders
+    where o_orderstatus in ('F', 'O') or o_orderstatus = 'P' group by 1
+""")
+def backfill_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partition values that are no numbers are rejected, whatever slots are filled: no row gets lost."""
+    root = work_path(spark, "lake")
+    rows = T.StructType.fromDDL("o_orderkey long, slot int")
+    status = F.when(F.col("o_orderstatus") == "F", "1").when(F.col("o_orderstatus") == "O", "2").otherwise(F.col("o_orderstatus"))
+
+    @Namespace("care").table(input=_source(sf_dir, "orders"), output=rows, partition_by=["slot"])
+    def by_slot(orders: DataFrame) -> DataFrame:
+        return orders.select("o_orderkey", status.alias("slot"))
+
+    backfill(spark, root, by_slot, [{"slot": 1}, {"slot": 2}], run_id="run")
+    good = by_slot.read(spark, root).select(F.lit(True).alias("kept"))
+    bad = spark.read.parquet(f"{by_slot.path(root)}__rejected").select(F.lit(False).alias("kept"))
+    return good.unionByName(bad).groupBy("kept").agg(F.count("*").alias("n"))
+
+
+@job("daily_event_counts")
+def _daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = _daily_counts.period.window("ts")
+    return table(spark, sf_dir, "events").groupBy(days.alias("day")).agg(F.count("*").alias("n"))
+
+
+every(1, "day")(_daily_counts)
+
+
+@query("job_daily", "select cast(cast(ts as date) as timestamp) as day, count(*) as n from events group by 1")
+def job_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered job whose slots are those of its schedule."""
+    return _daily_counts(spark, sf_dir).select(F.col("day.start").alias("day"), "n")

@@ -91,6 +91,34 @@ def json_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tailed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event bodies, of which one type starts with a tab and three end in text that does not belong to the record."""
+    kind = F.col("event_type")
+    body = F.when(kind == "view", F.concat(F.lit("\t"), "props")).when(kind == "click", F.concat("props", F.lit(" junk")))
+    body = body.when(kind == "error", F.concat("props", "props")).when(kind == "purchase", F.concat("props", F.lit("]")))
+    return table(spark, sf_dir, "events").select("event_id", body.otherwise(F.col("props")).alias("body"))
+
+
+@query("json_strict", """
+    select event_id, json_valid(body) as good from (select event_id, case event_type when 'view' then chr(9) || props
+        when 'click' then props || ' junk' when 'error' then props || props when 'purchase' then props || ']' else props end as body from events)
+""")
+def json_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = check_json(tailed_events(spark, sf_dir), "body", Props)
+    return checked.select("event_id", F.col("_reason").isNull().alias("good"))
+
+
+@query("message_encode_time", """
+    select event_id, '{"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '"}' as body
+    from (select event_id, ts + to_microseconds(event_id % 1000) as ts from events)
+""")
+def message_encode_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timestamps keep their microseconds in messages."""
+    moved = F.col("ts").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("event_id") % 1000 / 1_000_000).cast("decimal(18,6)"))
+    events = table(spark, sf_dir, "events").select("event_id", moved.alias("ts"))
+    return events.select("event_id", encode_json("ts").alias("body"))
+
+
 @query("jsonl_etl", "select event_id, user_id, event_type, value from events")
 def jsonl_etl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as JSON lines, then taken through the whole job."""
