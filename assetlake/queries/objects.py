@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlake.functions.text import decode_utf8, not_blank, split_lines
+from assetlake.operators.filters import glob_filter as filter_globs
 from assetlake.operators import objects as ops
 from assetlake.operators.objects import latest
 from assetlake.queries import query
@@ -147,6 +148,16 @@ def gz_text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_lines(spark, root, root).select(language("key"), "line")
 
 
+@query("log_texts", """
+    select lang, line from (select lang, unnest(string_split(text, chr(10))) as line from documents where lang in ('de', 'fr'))
+""")
+def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gzip files below a prefix whose names match: the names are filtered before any file is opened."""
+    root = line_folders(spark, sf_dir, "gzip")
+    matching = filter_globs(read_lines(spark, root, root), "key", ["lang=d*/*.gz", "lang=f[!x]/*.gz"], distinct_keys=True)
+    return matching.select(language("key"), "line")
+
+
 @query("folder_scan", """
     select lang, line from (select lang, unnest(string_split(text, chr(10))) as line from documents where lang = 'de')
     where trim(line) <> ''

@@ -67,3 +67,14 @@ def test_three_way_merge_shuffles_each_version_once(spark, plan):
     sides = [spark.range(10).selectExpr("id as k", f"id * {i} as v") for i in (1, 2, 3)]
     text = plan_of(branch_merge(*sides, "k"))
     assert text.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in text
+
+
+def test_files_that_do_not_match_are_not_opened(spark, sf_dir):
+    from assetlake.queries.objects import log_texts
+
+    found = log_texts(spark, sf_dir)
+    found.collect()
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    read = scan.metrics().apply("numFiles").value()
+    languages = {r["lang"] for r in found.select("lang").distinct().collect()}
+    assert languages == {"de", "fr"} and 0 < read <= 8 * len(languages)
