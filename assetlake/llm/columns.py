@@ -9,10 +9,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlake.session import work_path
+from assetlake.session import with_conf, work_path
 
 #: Rows of text handled at once inside a task, in characters; a single longer text is handled alone.
 CHUNK_CHARS = 4_000_000
+#: Long texts make the usual 10,000 rows of a batch large, also outside the heap.
+_SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def ascii_lower(text: Column) -> Column:
@@ -68,7 +70,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: no lineage, survives lost executors."""
     spark: SparkSession = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    with with_conf(spark, _SMALL_BATCHES):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,13 +20,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import DataFrame
 
 from assetlake.llm.columns import map_texts
 
@@ -195,11 +194,16 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
     return "".join([*out, text[last:]])
 
 
-@F.arrow_udf(StringType())
-def _redacted(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else redact(t) for t in texts.to_pylist()], type=pa.string())
+def redacted_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs``, all columns, with secrets in ``text`` replaced; null stays null."""
+    at = docs.columns.index(text)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 200):
+                part = batch.slice(low, 200)
+                column = part.column(at)
+                clean = pa.array([None if t is None else redact(t) for t in column.to_pylist()], type=column.type)
+                yield part.set_column(at, part.schema.field(at), clean)
 
-def redacted(text: Column) -> Column:
-    """The column without secrets; null stays null."""
-    return _redacted(text)
+    return docs.mapInArrow(run, docs.schema)

@@ -26,11 +26,10 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from assetlake.llm.columns import crc32_of_id, map_texts, runs
+from assetlake.llm.columns import crc32_of_id, map_texts, runs, small_enough, store
 
 SAMPLE = 10_000
 ENTRIES, EXCEPTIONS = 2_000, 2_000
@@ -38,6 +37,7 @@ ENTRIES, EXCEPTIONS = 2_000, 2_000
 MIN_SUPPORT, MIN_WEIGHT = 8, 3.0
 STEM_CHARS = range(4, 9)
 THRESHOLD = 0.7
+BROADCAST_ROWS = 1_000_000
 HELD_OUT = (3, 1)
 
 # Letters of other scripts that look like Latin ones, and digits and signs written for letters.
@@ -260,11 +260,23 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text
     )
 
 
-def score_of(lexicon: Lexicon, text: Column) -> Column:
-    """The score as a column; null texts score as empty ones."""
+def harmless_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below the threshold; null texts score as empty ones.
 
-    @F.arrow_udf(DoubleType())
-    def scores(texts: pa.Array) -> pa.Array:
-        return pa.array([lexicon.score(t or "") for t in texts.to_pylist()], type=pa.float64())
+    Only ids and hashes of rejected texts come back from the tasks, so the rows themselves stay where they are.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_toxic_hash"), "text")
 
-    return scores(text)
+    def reject(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 200):
+                part = batch.slice(low, 200)
+                bad = [lexicon.score(t or "") >= threshold for t in part.column(2).to_pylist()]
+                if any(bad):
+                    yield part.select([0, 1]).filter(pa.array(bad))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    marked = rows.mapInArrow(reject, f"doc_id {kind}, _toxic_hash bigint").distinct().withColumnRenamed("doc_id", "_toxic_id")
+    marked = store(marked, "toxic")
+    same = docs["doc_id"].eqNullSafe(F.col("_toxic_id")) & (F.xxhash64(docs["text"]) == F.col("_toxic_hash"))
+    return docs.join(small_enough(marked, BROADCAST_ROWS), same, "left_anti")

@@ -13,15 +13,15 @@ from assetlake.llm.columns import store
 from assetlake.llm.decontaminate import clean_documents
 from assetlake.llm.jaccard import distinct_documents
 from assetlake.llm.packing import pack
-from assetlake.llm.secrets import redacted
-from assetlake.llm.toxicity import THRESHOLD, learn, score_of
+from assetlake.llm.secrets import redacted_documents
+from assetlake.llm.toxicity import harmless_documents, learn
 from assetlake.tables import table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
     lexicon = learn(docs, table(spark, sf_dir, "labels"))
-    return docs.where(score_of(lexicon, F.col("text")) < THRESHOLD)
+    return harmless_documents(docs, lexicon)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of every secret; ``n_chars`` follows the text."""
-    text = docs.withColumn("text", redacted(F.col("text")))
-    return text.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return redacted_documents(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
