@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -47,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get(_CHECKPOINT_DIR, None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError(f"set {_CHECKPOINT_DIR} to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="assetlake-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
