@@ -8,7 +8,9 @@ is harmless are exceptions: entries inside them do not count. The weights found,
 per word of the text, give the score by a logistic curve that is fitted to the same documents.
 
 Bounds: ``SAMPLE`` labelled rows of either class are used for learning (those with the smallest hashes of the
-id), ``ENTRIES`` entries and ``EXCEPTIONS`` exceptions are kept. Every text is scored whole.
+id), ``ENTRIES`` entries and ``EXCEPTIONS`` exceptions are kept. Every text is scored whole. In the fit of the curve a
+sampled row counts for all training labels of its class that it stands for, so that a score, and with it the fixed
+threshold, means the same whether the bound cuts a class or not.
 
 Defined cases: a null or empty text has the score of a text without any entry; labels that
 disagree count as toxic; null labels and ids teach nothing; without labels of both classes the score is the share of
@@ -123,11 +125,22 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, a + b * x + c * y))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of at most ``sample`` labelled rows of either class outside the held-out fold."""
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of all labelled ids outside the held-out fold."""
     modulus, rest = HELD_OUT
     known = labels.where(F.col("toxic").isin(0, 1) & (crc32_of_id(F.col("doc_id")) % modulus != rest))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def class_weights(labels: DataFrame, sample: int = SAMPLE) -> tuple[float, float]:
+    """For clean and toxic: how many training labels one sampled label stands for; 1 for a class within the bound."""
+    counts = {r["toxic"]: r["count"] for r in training_labels(labels).groupBy("toxic").count().collect()}
+    return tuple(max(1.0, counts.get(y, 0) / sample) for y in (0, 1))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(text, toxic) of at most ``sample`` labelled rows of either class outside the held-out fold."""
+    known = training_labels(labels)
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("toxic = 1").orderBy(*by_hash).limit(sample).unionAll(
         known.where("toxic = 0").orderBy(*by_hash).limit(sample)
@@ -184,14 +197,15 @@ def _choose(rows: list[tuple[str, int, int]], clean: int, toxic: int) -> dict[st
     return dict(sorted(kept.items(), key=lambda x: (-support[x[0]], x[0]))[:ENTRIES])
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression with a small ridge, by Newton steps."""
+def _curve(x: np.ndarray, y: np.ndarray, weights: tuple[float, float] = (1.0, 1.0)) -> tuple[float, float, float]:
+    """Logistic regression with a small ridge, by Newton steps; ``weights`` of the rows of class 0 and 1."""
     design = np.column_stack([np.ones(len(y)), x])
     beta, ridge = np.zeros(design.shape[1]), np.diag([1e-6, 1e-2, 1e-2])
+    w = np.where(y > 0, weights[1], weights[0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        slope = design.T @ (p - y) + ridge @ beta
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p) + 1e-9)[:, None]) + ridge, slope)
+        slope = design.T @ (w * (p - y)) + ridge @ beta
+        step = np.linalg.solve(design.T @ (design * (w * (p * (1 - p) + 1e-9))[:, None]) + ridge, slope)
         beta -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -203,8 +217,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     rows = training_rows(docs, labels, sample)
     classes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     clean, toxic = classes.get(0, 0), classes.get(1, 0)
+    weights = class_weights(labels, sample)
     if not clean or not toxic:
-        return Lexicon({}, curve=(math.log((toxic + 1) / (clean + 1)), 0.0, 0.0))
+        return Lexicon({}, curve=(math.log((toxic * weights[1] + 1) / (clean * weights[0] + 1)), 0.0, 0.0))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     telling = _candidates(rows).where((F.col("toxic") >= MIN_SUPPORT) & (odds >= MIN_WEIGHT))
     top = telling.orderBy(F.col("toxic").desc(), "entry").limit(10 * ENTRIES)
@@ -222,7 +237,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
 
     seen = rows.mapInArrow(features, "toxic int, x double, y double").toArrow()  # at most 2 * sample rows of numbers
     x = np.column_stack([seen.column(c).to_numpy() for c in ("x", "y")])
-    lexicon.curve = _curve(x, seen.column("toxic").to_numpy().astype(float))
+    lexicon.curve = _curve(x, seen.column("toxic").to_numpy().astype(float), weights)
     return lexicon
 
 

@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
+import pytest
 from common import documents, odd_rows, prose
 
-from assetlake.llm.toxicity import Lexicon, fold, learn, score_documents
+from assetlake.llm.toxicity import Lexicon, _curve, class_weights, fold, learn, score_documents
 from assetlake.tables import table
 
 
@@ -57,3 +59,25 @@ def test_no_labels_and_no_documents(spark):
     lexicon = learn(docs, labelled(spark, []))
     assert {r["score"] for r in score_documents(docs, lexicon).collect()} == {0.5}
     assert score_documents(documents(spark, []), lexicon).count() == 0
+
+
+def test_the_score_does_not_depend_on_the_bound_of_the_sample(spark):
+    """Of the toxic texts, half hold no entry: the score of a text without one is their share among such texts."""
+    rows = [(i, prose(i, 30) + (" you moron" if i % 12 == 0 else "")) for i in range(1_800)]
+    labels = labelled(spark, [(i, 1, int(i % 6 == 0)) for i, _ in rows])
+    docs = documents(spark, rows)
+    assert class_weights(labels) == (1.0, 1.0)
+    clean, toxic = class_weights(labels, 150)
+    assert clean > 4 and 1 < toxic < 2
+    whole, bounded = learn(docs, labels), learn(docs, labels, 150)
+    assert "you" in whole.weights and "you" in bounded.weights
+    assert whole.score("") == pytest.approx(1 / 11, abs=0.03)
+    assert bounded.score("") == pytest.approx(whole.score(""), abs=0.04)
+
+
+def test_weighted_rows_count_as_repeated_rows():
+    draw = np.random.Generator(np.random.PCG64(5))
+    y = (draw.random(400) < 0.3).astype(float)
+    x = draw.normal(size=(400, 2)) + y[:, None]
+    times = np.where(y > 0, 2, 7)
+    assert _curve(x, y, (7.0, 2.0)) == pytest.approx(_curve(np.repeat(x, times, axis=0), np.repeat(y, times)), abs=1e-6)
