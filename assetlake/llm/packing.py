@@ -12,7 +12,8 @@ rows whatever the input. A piece finds its place by its length and its rank amon
 length; ranks come from a running number inside each slice of the stored pieces and the offset of
 the slice, so a very common length is spread over all slices.
 
-Defined cases: a null or empty text is its end id alone; repeated rows and null ids are pieces of
+Defined cases: a null or empty text is its end id alone; ``<|startoftext|>`` and ``<|endoftext|>`` written in a text are
+the ids 49406 and 49407, as in the tokenizer's own call (``add_special_tokens=False``); repeated rows and null ids are pieces of
 their own; an empty table gives no sequences.
 """
 
@@ -64,7 +65,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens must be taken as they are written")
+        self.added = {t.content: np.array([i], dtype="<u4").tobytes() for i, t in added.items()}
+        self.cuts = re.compile(f"({'|'.join(map(re.escape, self.added))})")
+        self.tokenizer.encode_special_tokens = True  # for the texts between added tokens
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -97,8 +103,16 @@ class Encoder:
         found = self.tokenizer.encode_batch(other, add_special_tokens=False)
         yield from ((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(other, found, strict=True))
 
+    def encode_marked(self, texts: list[str]) -> list[bytes]:
+        """As ``encode``, but added tokens written in a text are ids of their own, as the tokenizer takes them by default."""
+        if not any(c in t for t in texts for c in self.added):
+            return self.encode(texts)
+        cut = [[p for p in self.cuts.split(t) if p] if any(c in t for c in self.added) else [t] for t in texts]
+        plain = iter(self.encode([p for parts in cut for p in parts if p not in self.added]))
+        return [b"".join([self.added[p] if p in self.added else next(plain) for p in parts]) for parts in cut]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        """Ids of each text as little-endian unsigned 32-bit numbers; added tokens written in it are plain characters."""
         out: list[bytes | None] = []
         later: list[tuple[int, list[str]]] = []
         fresh, old, missing, long = self.fresh, self.old, set(), {}
@@ -145,7 +159,7 @@ def cut_pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: i
         for batch in batches:
             for keys, texts in runs(batch):
                 rows = []
-                for k, ids in zip(keys, own.encode(texts), strict=True):
+                for k, ids in zip(keys, own.encode_marked(texts), strict=True):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         data = ids[at : at + 4 * capacity]

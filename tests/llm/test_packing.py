@@ -85,3 +85,24 @@ def test_packing_of_a_table(spark, sf_dir):
 def test_odd_rows(spark):
     check_packing(odd_rows(), pack(documents(spark, odd_rows())).collect())
     assert pack(documents(spark, [])).count() == 0
+
+
+MARKED = [
+    "x <|endoftext|> y", "<|endoftext|>", "<|startoftext|><|endoftext|>a", "a<|endoftext|><|endoftext|> b\n", "<|endoftext|", "<|ENDOFTEXT|>",
+    "é日本<|startoftext|>'s e\u0301<|endoftext|>\u0301", "<|endof<|endoftext|>text|>", "plain words", "", " <|endoftext|> ",
+]
+
+
+def test_added_tokens_in_texts_are_as_in_the_plain_call(spark):
+    plain = Tokenizer.from_file(default_tokenizer())
+    pick = random.Random(7)
+    pieces = ["<|endoftext|>", "<|startoftext|>", " ", "a", "B c", "é", "\u0301", "日本", "'s", "<|", "|>", "1", "\n", "\x85"]
+    texts = MARKED + ["".join(pick.choice(pieces) for _ in range(pick.randint(1, 12))) for _ in range(1_000)]
+    wanted = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert wanted[0] == [343, 49407, 344]
+    for text, want, ids in zip(texts, wanted, encoder(default_tokenizer()).encode_marked(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == want, text
+    rows = list(enumerate(MARKED))
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in pack(documents(spark, rows)).collect()}
+    for i, want in zip(range(len(MARKED)), wanted, strict=False):
+        assert got[i] == (len(want) + 1, zlib.crc32(np.array([*want, 1], dtype="<u4").tobytes()))
