@@ -10,7 +10,9 @@ The method adds spans of kind ``guess``. After a wider list of credential words
 dictionary words, dates, repeats, keyboard walks and brute-force characters so that the number of
 guesses, the product over the parts, is least (a forward dynamic program in log10). Values that take
 10**MIN_GUESSES guesses or more are secrets. A value of letters alone counts only when it is assigned
-or in quotes: after a plain blank it is a word of the text.
+or in quotes: after a plain blank it is a word of the text. A value that an assign span holds the beginning of is secret
+as a whole, up to a blank, quote, comma, semicolon or angle bracket: a guess span covers all of it. Only values wholly
+inside a base span add nothing.
 
 Defined cases: a null or empty text has no spans; repeated rows and null ids give a row each.
 """
@@ -48,6 +50,9 @@ _CONTEXT = re.compile(
     rb"|credentials?|bearer|authorization)(?:[\"']?\x20{0,8}([:=])\x20{0,8}|\x20(?:is\x20)?)([\"']?)([^\s\"'<>,;]{8,})",
     re.IGNORECASE,
 )
+_REST = re.compile(rb"[^\s\"'<>,;]*")
+#: Signs after a value that belong to the text around it, unless the value ends at its closing quote.
+_AFTER = b".:!?)]}*#$%&|"
 
 # Words that guessing tries first, in the order in which it tries them.
 _WORDS = (
@@ -130,6 +135,24 @@ def _is_secret(mark: bytes, quote: bytes, value: bytes) -> bool:
     return guess_cost(text) >= MIN_GUESSES
 
 
+def _rests(data: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Guess spans of values that go on where the value class of an assign span ends: all of the value is secret."""
+    found, covered = [], 0
+    for start, kind, end in spans:
+        if kind or end <= covered:  # an assign span inside an earlier value
+            continue
+        rest = _REST.match(data, end)
+        value = _ASSIGN.match(data, start).start(2)
+        quote = data[value - 1 : value]
+        tail = rest.group()
+        if quote not in (b'"', b"'") or data[rest.end() : rest.end() + 1] != quote:
+            tail = tail.rstrip(_AFTER)
+        if tail:
+            covered = end + len(tail)
+            found.append((value, 3, covered))
+    return found
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then kind."""
     if not text:
@@ -142,12 +165,13 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     if b"AKIA" in data:
         spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(data)]
     spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(data)]
+    spans += _rests(data, spans)
     base = sorted(spans)
     if any(w in lower for w in _CONTEXT_WORDS):
         for m in _CONTEXT.finditer(data):
-            start, value = m.start(3), m.group(3).rstrip(b".:!?)]}*#$%&|")
+            start, value = m.start(3), m.group(3).rstrip(_AFTER)
             end = start + len(value)
-            if len(value) < 8 or any(s < end and start < e for s, _, e in base):
+            if len(value) < 8 or any(s <= start and end <= e for s, _, e in base):
                 continue
             if _is_secret(m.group(1) or b"", m.group(2), value):
                 spans.append((start, 3, end))
