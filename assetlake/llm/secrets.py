@@ -9,8 +9,10 @@ Base patterns (their spans always stay):
 The method adds spans of kind ``guess``. After a wider list of credential words a value is cut into
 dictionary words, dates, repeats, keyboard walks and brute-force characters so that the number of
 guesses, the product over the parts, is least (a forward dynamic program in log10). Values that take
-10**MIN_GUESSES guesses or more are secrets. A value of letters alone counts only when it is assigned
-or in quotes: after a plain blank it is a word of the text. A value that an assign span holds the beginning of is secret
+10**MIN_GUESSES guesses or more are secrets, so eight characters (the fewest that are looked at) are enough when no part
+of them is cheaper than brute force. After a plain blank, neither assigned nor in quotes, a value is a word of the text and not
+judged when it is letters alone, or up to three words (in small letters, capitals, or capitalised) with signs of
+prose between or before them, like ``end-to-end``; with any digit or other sign it is judged by its cost. A value that an assign span holds the beginning of is secret
 as a whole, up to a blank, quote, comma, semicolon or angle bracket: a guess span covers all of it. Only values wholly
 inside a base span add nothing.
 
@@ -33,7 +35,7 @@ from assetlake.llm.columns import map_texts
 
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value is a secret.
-MIN_GUESSES = 10.0
+MIN_GUESSES = 8.0
 
 _ASSIGN = re.compile(
     rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE
@@ -66,6 +68,7 @@ _KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _LEET = str.maketrans("0134578@$", "oieastbas")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)?\d\d")
 _REPEAT = re.compile(r"(.{1,16}?)\1+", re.DOTALL)
+_PROSE_SIGNS = re.compile(r"[-/()\[\]{}.:*–—‘’“”…]+")
 
 
 @lru_cache(maxsize=1)
@@ -126,11 +129,16 @@ def guess_cost(value: str) -> float:
     return best[-1]
 
 
+def _is_prose(text: str) -> bool:
+    """Whether a value that only follows a blank is letters alone or a few written words."""
+    words = [w for w in _PROSE_SIGNS.split(text) if w]
+    written = lambda w: w.isalpha() and w in (w.lower(), w.upper(), w.capitalize())
+    return text.isalpha() or len(words) <= 3 and all(map(written, words))
+
+
 def _is_secret(mark: bytes, quote: bytes, value: bytes) -> bool:
     text = value.decode("utf-8", "replace")
-    if text.isalpha() and not (mark or quote):
-        return False
-    if not (mark or quote) and not re.search(r"[0-9]", text):
+    if not (mark or quote) and _is_prose(text):
         return False
     return guess_cost(text) >= MIN_GUESSES
 
@@ -169,7 +177,9 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     base = sorted(spans)
     if any(w in lower for w in _CONTEXT_WORDS):
         for m in _CONTEXT.finditer(data):
-            start, value = m.start(3), m.group(3).rstrip(_AFTER)
+            start, value = m.start(3), m.group(3)
+            if not m.group(2) or data[m.end() : m.end() + 1] != m.group(2):
+                value = value.rstrip(_AFTER)
             end = start + len(value)
             if len(value) < 8 or any(s <= start and end <= e for s, _, e in base):
                 continue
