@@ -16,7 +16,8 @@ The join is exact and never lists the pairs of a group of copies:
 5. Links found in all tasks, a spanning forest from each, are joined to components.
 
 Defined cases: null and empty texts have an empty set and link with nothing; a text of fewer than five words is
-one shingle; a row without id counts its shingles and has no component; rows that share an id share its links.
+one shingle; a row without id counts its shingles and has no component; rows that share an id share its links, also where their
+texts differ: each of the texts is compared, and what they link with is one component, also with rows of the id that are empty.
 """
 
 from __future__ import annotations
@@ -116,6 +117,22 @@ def _membership(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "id bigint, n_shingles bigint, a bigint, b bigint")
 
 
+def _texts_with_digest(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, n_shingles, a, b, text) of the rows with id, as ``_membership`` has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts in runs(batch):
+                columns = zip(*((len(s), *set_digest(s)) for s in sets_of(texts)), strict=True)
+                yield pa.record_batch(
+                    [pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in columns), pa.array(texts, pa.string())],
+                    names=["id", "n_shingles", "a", "b", "text"],
+                )
+
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), text)
+    return rows.mapInArrow(run, "id bigint, n_shingles bigint, a bigint, b bigint, text string")
+
+
 def _keys(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, id) of every set; a task gives equal sets once."""
 
@@ -351,6 +368,39 @@ def connected(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_shingles and component_id (the smallest id that links reach) for every row."""
     members = store(_membership(docs, key, text), "sets")
+    span = lambda c: F.min(c) < F.max(c)
+    several = members.where("id is not null").groupBy("id").agg((span("a") | span("b") | span("n_shingles")).alias("several"))
+    if several.where("several").limit(1).count():
+        return _by_number(docs, members, key, text)
+    return _one_set_an_id(docs, members, key, text)
+
+
+def _by_number(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
+    """``near_duplicates`` where an id has rows of different sets: every (id, set) is compared under a number of its own.
+
+    Numbers rise with the ids, so the smallest number of a component belongs to its smallest id.
+    """
+    sets = members.where("id is not null").select("id", "a", "b", "n_shingles").distinct()
+    ordered = sets.repartitionByRange("id", "a", "b", "n_shingles").sortWithinPartitions("id", "a", "b", "n_shingles")
+    numbered = store(ordered.select("*", F.monotonically_increasing_id().alias("number")), "numbered")
+    digests = ["id", "a", "b", "n_shingles"]
+    texts = _texts_with_digest(docs, key, text).join(numbered, digests).select("number", "text")
+    texts = store(texts, "numbered_texts")
+    found = near_duplicates(texts, "number", "text").distinct()
+    first = numbered.groupBy("id").agg(F.min("number").alias("u"))
+    links = found.where("component_id <> number").select(F.col("component_id").alias("u"), F.col("number").alias("v"))
+    comps = connected(links.unionAll(numbered.join(first, "id").where("u <> number").select("u", F.col("number").alias("v"))))
+    comps = store(comps, "numbered_components")
+    names = numbered.select(F.col("number").alias("component"), F.col("id").alias("component_id"))
+    by_id = numbered.join(comps, numbered["number"] == comps["node"]).join(names, "component").select("id", "component_id").distinct()
+    by_id = store(by_id, "named")
+    kind = docs.schema[key].dataType
+    out = members.join(by_id, "id", "left")
+    return out.select(F.col("id").cast(kind).alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def _one_set_an_id(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
+    """``near_duplicates`` where all rows of an id have the same set."""
     full = members.where("n_shingles > 0 and id is not null")
     classes = store(full.groupBy("a", "b", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     shared = store(_shared(_keys(docs, key, text)), "shared")

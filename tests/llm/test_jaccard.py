@@ -124,3 +124,36 @@ def test_one_document_of_each_group_stays(spark):
     rows = [(3, text), (1, text), (1, text), (2, edited(text, 0.005, 1)), (9, "other words"), (None, text), (7, None), (8, "")]
     kept = sorted(((r["doc_id"], r["text"]) for r in distinct_documents(documents(spark, rows)).collect()), key=str)
     assert kept == sorted([(1, text), (9, "other words"), (None, text), (7, None), (8, "")], key=str)
+
+
+def by_id(rows: list[tuple[int | None, str | None]]) -> dict[int, int]:
+    """The component of each id by comparing every row with every other; ids may have several texts."""
+    rows, up = [(i, plain_set(t)) for i, t in rows if i is not None], {}
+
+    def root(i: int) -> int:
+        while up.get(i, i) != i:
+            i = up[i]
+        return i
+
+    for at, (i, x) in enumerate(rows):
+        for j, y in rows[at + 1 :]:
+            both = len(x & y)
+            if root(i) != root(j) and both and 100 * both >= 80 * (len(x) + len(y) - both):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return {i: root(i) for i, _ in rows}
+
+
+def test_an_id_with_different_texts_links_by_each_of_them(spark):
+    a, b, c = prose(21, 100), prose(22, 100), prose(23, 100)
+    rows = [
+        (1, a), (9, a), (9, b), (7, edited(b, 0.005, 3)), (9, ""), (-4, c), (20, edited(c, 0.005, 4)), (20, edited(a, 0.005, 5)),
+        (30, "alone with " + prose(24, 20)), (30, "and " + prose(25, 20)), (31, prose(26, 20)), (31, None), (None, b), (None, None),
+        (-(1 << 63), "x y"), ((1 << 63) - 1, "x y"), (40, "x y"), (41, None), (41, None),
+    ]
+    want = by_id(rows)
+    assert want[9] == want[7] == want[1] == want[20] == want[-4] == -4
+    got = near_duplicates(documents(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted(
+        ((i, len(plain_set(t)), want.get(i)) for i, t in rows), key=str
+    )
