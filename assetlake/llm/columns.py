@@ -88,7 +88,7 @@ def computed(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def shingle_hashes(words: Column, length: int) -> Column:
+def shingle_hashes(words: Column, length: int | Column) -> Column:
     """A 64-bit hash for each run of ``length`` words, in order; none for fewer words."""
     starts = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - (length - 1))).otherwise(F.array())
     return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, length)))

@@ -10,12 +10,17 @@ must hold 80 % of the template's shingles.
 
 Templates are a bounded list (at most ``MOST_SHINGLES`` shingles, checked), so their bands are broadcast.
 
-Defined cases: null and empty texts and texts under five words hold no notice; templates under five words are
+A template under five words has one shingle as wide as itself. None of the default ``TEMPLATES`` is that short, so the
+bare notice "All rights reserved." is found only when it is given as a template.
+
+Defined cases: null and empty texts and texts shorter than every template's shingles hold no notice; templates without words are
 refused; rows that share id and text have the same result each; rows that share only the id do not mix.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,22 +63,12 @@ def _minhashes(shingles: Column) -> Column:
     )
 
 
-def scan_licenses(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
-    """For every row: doc_id, n_licenses and licenses (template ids in order, comma-joined)."""
-    spark = docs.sparkSession
-    templates = default_templates(spark) if templates is None else templates
-    cut = templates.select("template_id", computed(alnum_words(F.col("text"))).alias("words"))
-    hashed = cut.select("template_id", F.array_distinct(shingle_hashes(F.col("words"), SHINGLE)).alias("shingles"))
-    known = hashed.withColumn("n", F.size("shingles")).limit(MOST_SHINGLES + 1).collect()  # the list is bounded
-    if any(not r["n"] for r in known):
-        raise ValueError(f"a template needs {SHINGLE} words or more")
-    if sum(r["n"] for r in known) > MOST_SHINGLES:
-        raise ValueError(f"the templates have more than {MOST_SHINGLES} shingles")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
+def _verified(docs: DataFrame, hashed: DataFrame, known: list, width: int) -> DataFrame:
+    """(doc_id, text_hash, template_id) of the templates found whose shingles have ``width`` words."""
     sizes = sorted({r["n"] for r in known})
     wanted = sorted({h for r in known for h in r["shingles"]})
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), computed(alnum_words(F.col("text"))).alias("words"))
-    texts = texts.select("doc_id", "text_hash", computed(shingle_hashes(F.col("words"), SHINGLE)).alias("hashes"))
+    texts = texts.select("doc_id", "text_hash", computed(shingle_hashes(F.col("words"), width)).alias("hashes"))
     places = F.filter(F.transform("hashes", lambda h, i: F.when(h.isin(wanted), i)), lambda i: i.isNotNull())
     texts = texts.select("*", computed(places).alias("places")).where(F.size("places") > 0)
     sized = texts.select("*", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"))
@@ -94,7 +89,24 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None) -> DataFr
     pairs = flat(keys, "doc_id", "text_hash", "around").join(
         F.broadcast(flat(bands, "template_id", "shingles")), ["n", "band", "low"]  # BANDS rows a template
     )
-    verified = pairs.where(F.size(F.array_intersect("shingles", "around")) >= CONTAINMENT * F.col("n"))
+    return pairs.where(F.size(F.array_intersect("shingles", "around")) >= CONTAINMENT * F.col("n")).select("doc_id", "text_hash", "template_id")
+
+
+def scan_licenses(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """For every row: doc_id, n_licenses and licenses (template ids in order, comma-joined)."""
+    spark = docs.sparkSession
+    templates = default_templates(spark) if templates is None else templates
+    cut = templates.select("template_id", computed(alnum_words(F.col("text"))).alias("words"))
+    cut = cut.withColumn("width", F.least(F.size("words"), F.lit(SHINGLE)))
+    hashed = cut.select("template_id", "width", F.array_distinct(shingle_hashes(F.col("words"), F.col("width"))).alias("shingles"))
+    known = hashed.withColumn("n", F.size("shingles")).limit(MOST_SHINGLES + 1).collect()  # the list is bounded
+    if any(not r["width"] for r in known):
+        raise ValueError("a template needs words")
+    if sum(r["n"] for r in known) > MOST_SHINGLES:
+        raise ValueError(f"the templates have more than {MOST_SHINGLES} shingles")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
+    verified = [_verified(docs, hashed.where(F.col("width") == w), [r for r in known if r["width"] == w], w) for w in sorted({r["width"] for r in known})]
+    verified = reduce(DataFrame.unionAll, verified) if verified else rows.select("doc_id", "text_hash", F.lit("").alias("template_id")).limit(0)
     found = verified.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("template_id")).alias("ids"))
     same = rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["text_hash"] == found["text_hash"])
     ids = F.coalesce("ids", F.array())

@@ -94,3 +94,16 @@ def test_licences_are_found_and_near_misses_are_not(spark):
     assert got[200] == ["MIT-permission"] and got[201] == [""] and got[202] == [""] and got[203] == [""]
     assert sorted(got[204]) == ["", "Apache-2.0,MIT"] and got[205] == ["MIT"]
     assert all(x == "" for i, _ in odd_rows() for x in got[i])
+
+
+def test_short_templates_have_shingles_of_their_own_width(spark):
+    templates = [("rights", "All rights reserved."), ("one", "Copyleft"), ("four", "no part of this"), ("MIT", TEMPLATES["MIT"])]
+    rows = [
+        (1, "Copyright 2020 X. All rights reserved."), (2, "all RIGHTS, reserved"), (3, "all rights are reserved"), (4, "copyleft"), (5, None),
+        (6, prose(5, 50) + " all rights reserved no part of this " + TEMPLATES["MIT"]), (7, "no part of that"), (8, ""), (1, "nothing here"),
+    ]
+    frame = spark.createDataFrame(templates, "template_id string, text string")
+    got = sorted(((r["doc_id"], r["licenses"]) for r in scan_licenses(documents(spark, rows), frame).collect()), key=str)
+    assert got == sorted(
+        [(1, "rights"), (2, "rights"), (3, ""), (4, "one"), (5, ""), (6, "MIT,four,rights"), (7, ""), (8, ""), (1, "")], key=str
+    )
