@@ -4,6 +4,9 @@ A window puts a whole group into one task. Here the rows are dealt by ranges of
 the bounds, takes any type that can be ordered, and cuts a large group into as many ranges as it needs. Work is
 done inside each range, one small summary per range and group is carried over to the next one, and no
 group is ever in one task, whatever its size. There is one way for all groups and no threshold.
+
+The number of ranges follows the bytes that the plan reads (``RANGE_BYTES`` of them a range), and is at least the
+session's number of shuffle partitions; ``parts`` overrides it.
 """
 
 from __future__ import annotations
@@ -17,6 +20,19 @@ from pyspark.sql.window import Window
 from assetlake.session import stored
 
 _PART, _KEY = "_part", "_group"
+#: Bytes of input, as they lie in files, for one range. A task then sorts a few hundred MB at most.
+RANGE_BYTES = 64 << 20
+#: Sources that know no size of theirs claim more than this.
+_UNKNOWN_BYTES = 1 << 50
+
+
+def range_count(df: DataFrame) -> int:
+    """How many ranges the rows of ``df`` are dealt to: by the size of what is read, which the optimizer knows."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    known = sum(n for n in sizes if n < _UNKNOWN_BYTES)
+    return max(least, -(-known // RANGE_BYTES), 1)
 
 
 def _dealt(df: DataFrame, group: Sequence[str], order: Sequence[str], parts: int | None) -> DataFrame:
@@ -24,7 +40,7 @@ def _dealt(df: DataFrame, group: Sequence[str], order: Sequence[str], parts: int
 
     Sampled bounds differ from one evaluation to the next, so the rows are stored before two branches use them.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or range_count(df)
     rows = df.repartitionByRange(parts, *group, *order).withColumn(_PART, F.spark_partition_id())
     return stored(rows, "ranges").withColumn(_KEY, F.struct(*group))
 
@@ -59,7 +75,7 @@ def with_frames(df: DataFrame, group: Sequence[str], order: Sequence[str], prece
     and cut into blocks of an even share of all rows, but no fewer than ``preceding``; each block also
     gets the last rows of the block before it, which are dropped afterwards.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or range_count(df)
     numbered = stored(number_rows(df, group, order, "_row", parts), "numbered")
     size = max(preceding, -(-numbered.count() // parts), 1)
     block = F.floor((F.col("_row") - 1) / size)
