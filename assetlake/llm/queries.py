@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from assetlake.llm.columns import ascii_lower, crc32_of_id
 from assetlake.llm.decontaminate import decontaminate
 from assetlake.llm.jaccard import near_duplicates
 from assetlake.llm.lattice import score_documents as lattice_scores
 from assetlake.llm.licenses import TEMPLATES, scan_licenses
+from assetlake.llm.manifest import manifest, manifest_digests
 from assetlake.llm.packing import pack
+from assetlake.llm.runs import periodic_runs, repeated_tails, run_digests
 from assetlake.llm.secrets import scan_secrets
+from assetlake.llm.sharding import SHARDS, shard_documents, topology
 from assetlake.llm.tokens import count_tokens
 from assetlake.llm.topk import top_k
 from assetlake.llm.toxicity import learn, score_documents
@@ -128,3 +133,106 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return run_digests(periodic_runs(repeated_tails(docs, crc32_of_id(F.col("doc_id")))))
+
+
+# SQL for CRC-32: the table of one byte, and a fold over the bytes of a text in hexadecimal.
+_CRC_TABLE = """
+    bits(i, k, c) as (select i, 0, i::bigint from range(256) r(i)
+        union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end from bits where k < 8),
+    crc as (select list(c order by i) as t from bits where k = 8)"""
+
+
+def _crc_sql(text: str) -> str:
+    steps = f"list_transform(range(0, octet_length(encode({text}))::bigint), lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::bigint)"
+    return f"xor(list_reduce({steps}, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::bigint), 4294967295::bigint)"
+
+
+_MERKLE_LEVELS = 9
+
+
+def _field_sql(column: str) -> str:
+    text = f"{column}::varchar"
+    return f"case when {column} is null then '-' else octet_length(encode({text})) || ':' || {text} end"
+
+
+def _tree_sql(name: str) -> str:
+    """Level by level: nodes of ``name``0 (grp, pos, d), their runs, and what a group of one node leaves as it is."""
+    out = []
+    for i in range(_MERKLE_LEVELS):
+        out.append(f"""{name}r{i} as (select grp, pos // 8 as run, list(d order by pos) as ds, count(*) over (partition by grp) as runs
+            from {name}{i} group by 1, 2)""")
+        out.append(f"""{name}{i + 1} as (select grp, run as pos, case when runs = 1 and len(ds) = 1 then ds[1]
+            else sha256(array_to_string(ds, '')) end as d from {name}r{i})""")
+    return ", ".join(out)
+
+
+def _proof_sql(name: str, rows: str, prefix: str) -> str:
+    """``rows`` (grp, pos, proof, folded) taken up the tree ``name``."""
+    out = []
+    for i in range(_MERKLE_LEVELS):
+        before = f"{prefix}{i - 1}" if i else rows
+        alone = "runs = 1 and len(ds) = 1"
+        left, right = "array_to_string(ds[1:pos % 8], '')", "array_to_string(ds[pos % 8 + 2:], '')"
+        out.append(f"""{prefix}{i} as (select b.* exclude (pos, proof, folded), pos // 8 as pos,
+            case when {alone} then proof else proof || {left} || {right} end as proof,
+            case when {alone} then folded else sha256({left} || folded || {right}) end as folded
+            from {before} b join {name}r{i} r on b.grp = r.grp and r.run = b.pos // 8)""")
+    return ", ".join(out)
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEAF = "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+_SHOWN = "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", "shown")) + ")"
+
+
+@query("op11_merkle_manifest", f"""
+    with recursive {_CRC_TABLE},
+    d as (select *, case when {_crc_sql("doc_id::varchar")} % 3 = 0 then {_LOWER} else text end as shown from documents, crc),
+    leaf as (select doc_id, case when lang is null then '0' else '1' || lang end as grp, {_LEAF} as leaf, {_SHOWN} as presented from d),
+    rows as (select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as pos from leaf),
+    a0 as (select grp, pos, leaf as d from rows), {_tree_sql("a")},
+    sub as (select '' as grp, grp as child, d as subroot, row_number() over (order by encode(grp)) - 1 as pos from a{_MERKLE_LEVELS}),
+    b0 as (select grp, pos, subroot as d from sub), {_tree_sql("b")},
+    p as (select doc_id, leaf, grp, pos, '' as proof, presented as folded from rows), {_proof_sql("a", "p", "pa")},
+    q as (select doc_id, leaf, subroot, sub.grp, sub.pos, proof, folded from pa{_MERKLE_LEVELS - 1} pa join sub on pa.grp = child),
+    {_proof_sql("b", "q", "pb")}
+    select doc_id, leaf, subroot, b.d as root, sha256(proof) as proof_sha256, folded as folded_root, folded = b.d as verified
+    from pb{_MERKLE_LEVELS - 1} join b{_MERKLE_LEVELS} b using (grp)
+""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(crc32_of_id(F.col("doc_id")) % 3 == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    return manifest_digests(manifest(docs, "doc_id", "lang", fields, {"text": tampered}))
+
+
+def _draw_sql(level: str, child: str, weight: str) -> str:
+    u = f"(('0x' || substr(md5(coalesce(doc_id::varchar, '-') || '/{level}/' || {child}), 1, 13))::bigint + 1) / 4503599627370496"
+    return f"-ln({u}) / {weight}"
+
+
+@query("op13_hash_tree_sharding", f"""
+    with recursive {_CRC_TABLE},
+    body as (select *, row_number() over () as rid, coalesce(text, '') as body from documents),
+    d as (select rid, doc_id, octet_length(encode(body)) + 16 as size, coalesce({_crc_sql("body")}, 0)::bigint as text_crc32 from body, crc),
+    tree as (select i as shard, i // 4 as rack, i // 8 as region from range({SHARDS}) r(i)),
+    trees as (select false as grown, * from tree union all select true, * from tree union all select true, 40, 10, 5),
+    regions as (select grown, region, count(*)::double as w from trees group by 1, 2),
+    racks as (select grown, region, rack, count(*)::double as w from trees group by 1, 2, 3),
+    at_region as (select rid, doc_id, grown, arg_min(region, {_draw_sql("region", "region", "w")}) as region from d, regions group by 1, 2, 3),
+    at_rack as (select rid, doc_id, grown, arg_min(rack, {_draw_sql("rack", "rack", "w")}) as rack
+        from at_region join racks using (grown, region) group by 1, 2, 3),
+    at_shard as (select rid, doc_id, grown, arg_min(shard, {_draw_sql("shard", "shard", "1.0")})::int as shard
+        from at_rack join trees using (grown, rack) group by 1, 2, 3)
+    select d.doc_id, size::bigint as size, text_crc32, 'key' as law, a.shard,
+        row_number() over (partition by a.shard order by d.doc_id nulls first, size, text_crc32) - 1 as slot, b.shard as grown_shard
+    from d join at_shard a on d.rid = a.rid and not a.grown join at_shard b on d.rid = b.rid and b.grown
+""")
+def op13_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), topology(SHARDS), topology(SHARDS + 1))
