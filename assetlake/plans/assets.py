@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from graphlib import TopologicalSorter
@@ -13,6 +13,7 @@ from urllib.parse import quote
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assetlake.functions.paths import join_path
 from assetlake.plans.runlog import append_run, observed, schema_hash
@@ -283,18 +284,21 @@ def backfill(spark: SparkSession, root: str, asset: TableAsset, slots: Sequence[
     path = asset.path(root, branch)
     run_id = run_id or uuid.uuid4().hex
     result, counts = _write(spark, asset, df, path, run_id, conditions)
-    rest = [c for c in (asset.output.schema.names if asset.output else df.columns) if c not in asset.partition_by]
-    schema = asset.read(spark, root, branch).select(*rest).schema
     for slot, rows in zip(slots, counts):
         if rows == 0:
-            # Dynamic overwrite does not touch a partition it gets no rows for.
-            folder = "/".join(f"{c}={_partition_value(slot[c])}" for c in asset.partition_by)
-            write_table(spark.createDataFrame([], schema), f"{path}/{folder}", asset.format)
+            empty_partition(spark, asset, path, slot)
     names = [",".join(f"{c}={v}" for c, v in slot.items()) for slot in slots]
     append_run(spark, join_path(root, RUN_LOG), run_id, asset.name, branch, path, result.rows, schema_hash(df), names)
     return result
 
 
+def empty_partition(spark: SparkSession, asset: TableAsset, path: str, slot: Mapping[str, object]) -> None:
+    """Leave a partition without rows: a dynamic overwrite does not touch one that it gets no rows for."""
+    folder = "/".join(f"{c}={_partition_value(slot[c])}" for c in asset.partition_by)
+    rest = T.StructType([f for f in asset.output.schema if f.name not in asset.partition_by])
+    write_table(spark.createDataFrame([], rest), f"{path}/{folder}", asset.format)
+
+
 def _partition_value(value: object) -> str:
     if value is None:
         return "__HIVE_DEFAULT_PARTITION__"

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetlake.plans.assets import RUN_LOG, Namespace, SourceAsset, TableAsset, backfill, materialize, source
+from assetlake.plans.deltas import Rollup, materialize_delta, rollup_table, row_changes
 from assetlake.plans.jobs import every, job
 from assetlake.plans.runlog import read_runs
 from assetlake.queries import query
-from assetlake.session import work_path
+from assetlake.session import stored, work_path
 from assetlake.sources.files import manifest
 from assetlake.sources.formats import read_table, write_table
 from assetlake.tables import register_views, table
@@ -131,6 +132,37 @@ def backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yearly.read(spark, root)
 
 
+LINES = Rollup(
+    by={"l_suppkey": "l_suppkey", "year": "year(l_shipdate)"}, sums={"amount": "cast(l_extendedprice as decimal(18,2))"},
+    counts={"taxed": "nullif(l_tax, 0)"}, mins={"first_shipped": "l_shipdate", "least": "l_quantity"}, maxs={"last_shipped": "l_shipdate"},
+    where="l_discount < 0.09",
+)
+
+
+@query("materialize_delta", """
+    select l_suppkey, year(l_shipdate)::int as year, count(*) as rows, sum(cast(l_extendedprice as decimal(18,2))) as amount,
+        count(l_extendedprice) as amount_values, count(nullif(l_tax, 0)) as taxed, min(l_shipdate) as first_shipped,
+        min(l_quantity) as least, max(l_shipdate) as last_shipped from lineitem where l_discount < 0.09 group by 1, 2
+""")
+def materialized_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregated asset over lines of an earlier state, brought to the given state by what changed."""
+    after = table(spark, sf_dir, "lineitem")
+    kind, moved = F.col("l_orderkey") % 40, F.col("l_shipdate") - F.expr("interval 400 days")
+    before = after.filter(kind != 3).withColumns({  # 3: new lines; 7: changed lines; 11: lines with a copy that is gone
+        "l_quantity": F.when(kind == 7, F.lit(0.5)).otherwise(F.col("l_quantity")),
+        "l_shipdate": F.when(kind == 7, moved).otherwise(F.col("l_shipdate")),
+    }).unionByName(after.filter(kind == 11).withColumn("l_shipdate", F.col("l_shipdate") + F.expr("interval 900 days")))
+    root, now = work_path(spark, "lake"), {"lines": stored(before, "before")}
+    output = "l_suppkey long, year int, rows long, amount decimal(28,2), amount_values long, taxed long, first_shipped timestamp_ntz, least double, last_shipped timestamp_ntz"
+    asset = rollup_table("sales.lines", source("lineitem", load=lambda s: now["lines"]), LINES, ["year"], output)
+    materialize(spark, root, [asset])
+    changes = row_changes(now["lines"], after)
+    now["lines"] = after
+    materialize_delta(spark, root, asset, changes)
+    money = F.col("amount").cast(MONEY)
+    return asset.read(spark, root).withColumn("amount", money)
+
+
 @query("partitioned_write", """
     select o_orderkey, o_totalprice, year(o_orderdate) as y, o_orderstatus as s from orders
 """)
