@@ -16,6 +16,8 @@ from assetlake.session import work_path
 from assetlake.sources.buckets import Bucket
 from assetlake.streaming import windows as w
 from assetlake.streaming.events import deliver, put_events, run_subscriptions
+from assetlake.streaming.fifo import run_fifo
+from assetlake.streaming.pending import pending_stream
 from assetlake.streaming.queues import Queue, fifo_sink, write_batch
 from assetlake.streaming.queues import pending_messages as pending
 from assetlake.tables import table
@@ -94,6 +96,47 @@ def stream_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("group_id string, message_id string, seq long").parquet(f"{out}/messages/*")
 
 
+@query("stream_fifo_state", """
+    select cast(user_id as varchar) as group_id, cast(event_id as varchar) as message_id,
+        row_number() over (partition by user_id order by ts, cast(event_id as varchar)) as seq from events
+""")
+def stream_fifo_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five runs of one stream, each with later messages and with repeats of the run before; numbers go on from the checkpoint."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("message_id"), F.col("user_id").cast("string").alias("group_id"), F.col("ts").alias("sent_at"),
+        F.col("event_type").alias("body"),
+    )
+    queue, out, checkpoint = Queue("visits", work_path(spark, "queue"), fifo=True), work_path(spark, "fifo"), work_path(spark, "checkpoint")
+    first, last = events.agg(F.min("sent_at"), F.max("sent_at")).first()
+    step = (last - first) / 5
+    for i in range(5):
+        low, high = first + i * step, first + (i + 1) * step if i < 4 else last + step
+        again = low - step / 10 if i else low
+        queue.send(spark, events.filter((F.col("sent_at") >= F.lit(again)) & (F.col("sent_at") < F.lit(high))))
+        run_fifo(spark, queue, out, checkpoint).awaitTermination()
+    return spark.read.schema("group_id string, message_id string, seq long").parquet(f"{out}/*")
+
+
+@query("stream_pending", """
+    select e.event_id, e.user_id from events e where not exists (select 1 from events p where p.event_type = 'purchase'
+        and p.user_id = e.user_id and p.ts >= e.ts and p.ts <= e.ts + interval '6' hour)
+""")
+def stream_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that no purchase of their user answers within six hours, as a join of two streams."""
+    events, path = table(spark, sf_dir, "events"), work_path(spark, "answers")
+    # A day of silence at the end: heartbeats without a user let the last events come out.
+    beat = events.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts"))
+    columns = events.select("event_id", "user_id", "ts", "event_type")
+    columns.write.parquet(f"{path}/log")
+    for kind in ("view", "purchase"):
+        beat.withColumn("event_type", F.lit(kind)).write.mode("append").parquet(f"{path}/log")
+    log = spark.readStream.schema(columns.schema).parquet(f"{path}/log").withColumn("ts", F.col("ts").cast("timestamp"))
+    answers = log.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("at"))
+    waiting = pending_stream(log, answers, ["user_id"], "ts", "at", "6 hours", "1 hour").select("event_id", "user_id")
+    w.latest_windows(waiting, f"{path}/out", work_path(spark, "checkpoint"), "append").awaitTermination()
+    return spark.read.schema(waiting.schema).parquet(f"{path}/out/*")
+
+
 @query("pending_messages", """
     with l as (select user_id m, ts, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) rn,
         max(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id) deleted

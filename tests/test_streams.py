@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import os
 from typing import NamedTuple
 
@@ -188,3 +189,63 @@ def test_repeats_within_the_watermark(spark, tmp_path, spread):
     unique = w.drop_repeats(stream, ["id"], "ts", "1 hour", spread)
     w.latest_windows(unique, path, str(tmp_path / "cp"), "append").awaitTermination()
     assert sorted(r["id"] for r in spark.read.schema(df.schema).parquet(f"{path}/*").collect()) == ["a", "b"]
+
+
+def test_numbers_go_on_over_batches_and_restarts(spark, tmp_path):
+    from assetlake.streaming.fifo import run_fifo
+
+    queue, out, checkpoint = Queue("q", str(tmp_path / "q")), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    schema = "message_id string, group_id string, sent_at timestamp, body string"
+    sent, progress = [], []
+    for batch in range(6):
+        rows = [(f"{batch}-{i}", None if i % 5 == 4 else f"g{i % 3}", 1_000 * batch + (i * 7) % 20) for i in range(20)]
+        sent.append(rows)
+        again = sent[-2][:6] if batch else []
+        frame = spark.createDataFrame([(m, g, t, "x") for m, g, t in rows + again], "message_id string, group_id string, t long, body string")
+        queue.send(spark, frame.withColumn("sent_at", F.timestamp_seconds("t")).select(*[f.split()[0] for f in schema.split(", ")]))
+        query = run_fifo(spark, queue, out, checkpoint)
+        query.awaitTermination()
+        progress.append(query.lastProgress)
+    got = {(r["group_id"], r["message_id"]): r["seq"] for r in spark.read.parquet(f"{out}/*").collect()}
+    want, count = {}, {}
+    for rows in sent:
+        for m, g, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+            count[g] = count.get(g, 0) + 1
+            want[g, m] = count[g]
+    assert got == want
+    assert spark.read.parquet(f"{out}/*").count() == 120
+    # One number a group is all that the numbering keeps, however many batches came before.
+    kept = [min(s["numRowsTotal"] for s in (p["stateOperators"] if isinstance(p, dict) else json.loads(p.json)["stateOperators"])) for p in progress if p]
+    assert kept and max(kept) <= 4 + 1
+
+
+def test_pending_stream_equals_the_queue_and_forgets(spark, tmp_path):
+    from assetlake.streaming.pending import pending_stream
+
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    schema = "message_id string, sent_at timestamp, at timestamp"
+    rows, states = [], []
+    for part in range(8):
+        batch = []
+        for i in range(50):
+            t = part * 3_600 + i * 60
+            batch.append((f"{part}-{i}", t, None))
+            if i % 3 == 0:
+                batch.append((f"{part}-{i}", None, t + (600 if i % 2 else 3_000)))  # in time, or too late
+        batch += [(None, part * 3_600 + 3_599, None), (None, None, part * 3_600 + 3_599)]
+        rows += batch
+        frame = spark.createDataFrame(batch, "message_id string, s long, a long")
+        frame = frame.select("message_id", F.timestamp_seconds(F.col("s") + 10**9).alias("sent_at"), F.timestamp_seconds(F.col("a") + 10**9).alias("at"))
+        frame.coalesce(1).write.mode("append").parquet(path)
+        log = spark.readStream.schema(schema).parquet(path)
+        messages, acks = log.filter("at is null").select("message_id", "sent_at"), log.filter("sent_at is null").select("message_id", "at")
+        waiting = pending_stream(messages, acks, ["message_id"], "sent_at", "at", "20 minutes", "5 minutes")
+        query = w.latest_windows(waiting, out, str(tmp_path / "checkpoint"), "append")
+        query.awaitTermination()
+        states.append(query.recentProgress[-1])
+    acked = {m for m, s, a in rows if a is not None and m is not None and int(m.split("-")[1]) % 2}
+    sent = {m for m, s, a in rows if s is not None and m is not None and s < 7 * 3_600 + 3_599 - 25 * 60}
+    got = {r["message_id"] for r in spark.read.schema("message_id string, sent_at timestamp").parquet(f"{out}/*").collect()}
+    assert sent - acked <= got and not got & acked
+    held = [sum(o["numRowsTotal"] for o in (p if isinstance(p, dict) else json.loads(p.json))["stateOperators"]) for p in states]
+    assert max(held) <= 200 and held[-1] <= 2 * held[1] + 10
