@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from assetlake.operators import versions as ops
 from assetlake.operators.graph import ancestors
 from assetlake.operators.ordered import with_frames
+from assetlake.operators.ranged import ranged_diff, write_ranged
 from assetlake.plans.branches import Lake
 from assetlake.queries import query
 from assetlake.queries.objects import EARLY, EARLY_SQL, LATE, LATE_SQL, STATE_SQL, moment, order_state
@@ -76,6 +77,15 @@ def table_diff_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.table_diff(states["base"], states["late"], "key", compare="digest")
 
 
+@query("table_diff_ranges", _DIFF_SQL)
+def table_diff_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both states written by key ranges with digests; the later one takes over the bounds of the earlier one."""
+    states, path = _states(spark, sf_dir), work_path(spark, "ranged")
+    write_ranged(states["base"], f"{path}/base", "key")
+    write_ranged(states["late"], f"{path}/late", "key", like=f"{path}/base")
+    return ranged_diff(spark, f"{path}/base", f"{path}/late", "key")
+
+
 @query("branch_merge", f"""
     select key, conflict, case when not conflict then v end as v from (
         select coalesce(b.key, o.key, t.key) as key,
