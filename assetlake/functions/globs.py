@@ -71,3 +71,74 @@ def matching_globs(name: Column, patterns: Sequence[str]) -> Column:
     """Array with the index of every pattern that matches."""
     hits = [F.when(matches_glob(name, p), F.lit(i)) for i, p in enumerate(patterns)]
     return F.array_compact(F.array(*hits))
+
+
+# A class: "[", perhaps "!", one character of any kind, and what follows up to "]".
+_TOKEN = r"\[!?+[\s\S][^\]]*\]|[\s\S]"
+_SPECIAL = r"([\\\[\](){}.*+?^$|&#~\-])"
+
+
+def _escaped(text: Column) -> Column:
+    return F.regexp_replace(text, _SPECIAL, r"\\$1")
+
+
+def _class_regex(token: Column) -> Column:
+    negated = F.substring(token, 2, 1) == "!"
+    start = F.when(negated, 3).otherwise(2)
+    body = F.substring(token, start, F.char_length(token) - start)
+    parts = F.regexp_extract_all(body, F.lit(r"[\s\S]-[\s\S]|[\s\S]"), F.lit(0))
+
+    def member(part: Column) -> Column:
+        low, high = F.substring(part, 1, 1), F.substring(part, 3, 1)
+        backward = F.when(low <= high, F.concat(_escaped(low), F.lit("-"), _escaped(high))).otherwise("")
+        return F.when(F.char_length(part) == 3, backward).otherwise(_escaped(part))
+
+    members = F.array_join(F.transform(parts, member), "")
+    sign = F.when(negated, "^").otherwise("")
+    return F.when(members == "", F.when(negated, ".").otherwise("(?!)")).otherwise(F.concat(F.lit("["), sign, members, F.lit("]")))
+
+
+def glob_regex(pattern: Column) -> Column:
+    """``glob_to_regex`` for patterns that are data."""
+    def piece(token: Column) -> Column:
+        simple = F.when(token == "*", ".*").when(token == "?", ".").otherwise(_escaped(token))
+        return F.when(F.char_length(token) > 1, _class_regex(token)).otherwise(simple)
+
+    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(F.regexp_extract_all(pattern, F.lit(_TOKEN), F.lit(0)), piece), ""), F.lit(r"\z"))
+
+
+#: Pieces of this many characters are looked up inside a name; shorter ones between wildcards tell too little.
+_PIECE = (3, 8)
+
+
+def glob_anchor(pattern: Column) -> Column:
+    """Text that every match has: ``kind`` (prefix, suffix, piece or any), and that text as ``key``."""
+    prefix = F.regexp_extract(pattern, r"^[^*?\[]*", 0)
+    # Behind a "[" only what follows its last "]" is surely literal; without a "]" it may be a class or not.
+    suffix = F.when(pattern.contains("["), F.regexp_extract(pattern, r"\]([^*?\[\]]*)$", 1)).otherwise(F.regexp_extract(pattern, r"[^*?]*$", 0))
+    plain = F.regexp_extract_all(F.regexp_replace(pattern, r"\[[\s\S]*\]", "*"), F.lit(r"[^*?\[\]]+"), F.lit(0))
+    longest = F.array_max(F.transform(plain, lambda p: F.struct(F.char_length(p).alias("n"), p.alias("p"))))["p"]
+    piece = F.when(F.char_length(longest) >= _PIECE[0], F.substring(longest, 1, _PIECE[1]))
+    kinds = F.when((prefix != "") & (F.char_length(prefix) >= F.char_length(suffix)), F.struct(F.lit("prefix").alias("kind"), prefix.alias("key")))
+    kinds = kinds.when(suffix != "", F.struct(F.lit("suffix").alias("kind"), suffix.alias("key")))
+    kinds = kinds.when(piece.isNotNull(), F.struct(F.lit("piece").alias("kind"), piece.alias("key")))
+    return kinds.otherwise(F.struct(F.lit("any").alias("kind"), F.lit("").alias("key")))
+
+
+def name_anchors(name: Column, lengths: Sequence[tuple[str, int]]) -> Column:
+    """The texts of a name by which patterns of these (kind, length) can be found."""
+    size = F.char_length(name)
+
+    def texts(kind: str, n: int) -> Column:
+        if kind == "any":
+            return F.array(F.lit(""))
+        if kind == "piece":
+            places = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1)))
+            return F.array_distinct(F.transform(places, lambda i: F.substring(name, i, F.lit(n))))
+        return F.when(size >= n, F.array(F.substring(name, 1, n) if kind == "prefix" else F.right(name, F.lit(n))))
+
+    def anchors(kind: str, n: int) -> Column:
+        named = F.transform(texts(kind, n), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("key")))
+        return F.coalesce(named, F.array().cast("array<struct<kind:string,key:string>>"))
+
+    return F.flatten(F.array(*[anchors(kind, n) for kind, n in lengths]))

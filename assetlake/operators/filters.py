@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assetlake.functions.globs import matches_any_glob, matching_globs
+from assetlake.functions.globs import glob_anchor, glob_regex, matches_any_glob, matching_globs, name_anchors
 
 # The states a cluster can be in, and those listed when none are asked for.
 CLUSTER_STATES = (
@@ -34,6 +34,29 @@ def glob_filter(df: DataFrame, column: str, patterns: Sequence[str], distinct_ke
     return df.select("*", F.explode(matching_globs(name, patterns)).alias("_glob")).drop("_glob")
 
 
+def glob_filter_table(df: DataFrame, column: str, patterns: DataFrame, pattern: str = "pattern", distinct_keys: bool = False) -> DataFrame:
+    """``glob_filter`` with the globs of a table, of which there may be very many; null names and null globs match nothing.
+
+    The longest literal start of a glob is its index (or its literal end, or a piece between wildcards, where that is all
+    it has). Names are cut to the same texts and joined by equality, and only the globs found in this way are tried as
+    regular expressions. Each distinct name is looked up once. All rows come if the table has no globs.
+    """
+    globs = patterns.select(F.col(pattern).alias("_glob")).dropna().groupBy("_glob").agg(F.count("*").alias("_times"))
+    globs = globs.select("_times", glob_regex(F.col("_glob")).alias("_regex"), glob_anchor(F.col("_glob")).alias("_anchor"))
+    # One number for each kind and length that occurs: as many as the longest glob has characters, at most.
+    lengths = globs.select("_anchor.kind", F.char_length("_anchor.key").alias("n")).distinct().collect()
+    if not lengths:
+        return df if not patterns.limit(1).count() else df.limit(0)
+    names = df.select(F.col(column).alias("_name")).dropna().distinct()
+    looked_up = names.select("_name", F.explode(name_anchors(F.col("_name"), sorted((r["kind"], r["n"]) for r in lengths))).alias("_anchor"))
+    tried = looked_up.join(globs, "_anchor").filter(F.expr("_name rlike _regex"))
+    hits = tried.groupBy("_name").agg(F.sum("_times").alias("_times"))
+    if distinct_keys:
+        return df.join(hits.withColumnRenamed("_name", column), column, "left_semi").select(*df.columns)
+    found = df.join(hits.withColumnRenamed("_name", column), column)
+    return found.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*df.columns)
+
+
 def status_filter(df: DataFrame, column: str, wanted: Sequence[str] | str = ACTIVE_STATES,
                   allowed: Sequence[str] = CLUSTER_STATES) -> DataFrame:
     """Rows in one of the wanted states; a state outside ``allowed`` is an error."""

@@ -13,6 +13,7 @@ from assetlake.functions.text import decode_utf8, split_lines
 from assetlake.operators.filters import first_of_type as first_row
 from assetlake.operators.filters import flatten_groups
 from assetlake.operators.filters import glob_filter as filter_globs
+from assetlake.operators.filters import glob_filter_table
 from assetlake.operators.filters import require_columns as require
 from assetlake.operators.filters import status_filter as filter_status
 from assetlake.plans.jobs import jsonl_etl as run_jsonl_etl
@@ -143,6 +144,35 @@ def glob_filter_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_globs(names, "key", ["*.com/en/*", "http://[!w]*"], distinct_keys=True)
 
 
+GLOB_TABLE_SQL = """
+    select substr(url, 1, (14 + page_id % 10)::int) || '*' as pattern from pages
+    union all select '*/' || (o_orderkey % 1000) from orders
+    union all select '*/[d-f]?/' || (c_custkey % 1000) || '?*' from customer
+"""
+
+
+def _glob_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Globs with a literal start, with a literal end, and with both ends open; about as many as there are orders."""
+    starts = table(spark, sf_dir, "pages").select(F.expr("substr(url, 1, int(14 + page_id % 10)) || '*' as pattern"))
+    ends = table(spark, sf_dir, "orders").select(F.expr("'*/' || (o_orderkey % 1000) as pattern"))
+    middles = table(spark, sf_dir, "customer").select(F.expr("'*/[d-f]?/' || (c_custkey % 1000) || '?*' as pattern"))
+    return starts.unionByName(ends).unionByName(middles)
+
+
+@query("glob_filter_table", f"select url as key from pages join ({GLOB_TABLE_SQL}) on url glob pattern")
+def glob_filter_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "pages").select(F.col("url").alias("key"))
+    return glob_filter_table(names, "key", _glob_table(spark, sf_dir))
+
+
+@query("glob_filter_table_distinct", f"""
+    select url as key from pages where exists (select 1 from ({GLOB_TABLE_SQL}) where url glob pattern)
+""")
+def glob_filter_by_table_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "pages").select(F.col("url").alias("key"))
+    return glob_filter_table(names, "key", _glob_table(spark, sf_dir), distinct_keys=True)
+
+
 @query("status_filter", "select event_id, event_type from events where event_type in ('click', 'view')")
 def status_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "event_type")

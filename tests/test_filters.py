@@ -62,3 +62,36 @@ def test_durations(spark):
         duration(0, "day")
     slots = spark.sql("select timestamp_ntz'2024-01-01 00:00:59' as ts").select(duration(1, "minute").window("ts").alias("w"))
     assert str(slots.select("w.start").first()[0]) == "2024-01-01 00:00:00"
+
+
+def test_glob_tables_match_like_lists(spark):
+    import random
+
+    from assetlake.operators.filters import glob_filter, glob_filter_table
+
+    pick = random.Random(6)
+    names = ["".join(pick.choice("abc.[]-!/*?\\^é") for _ in range(pick.randrange(1, 9))) for _ in range(300)] + ["a" * 40, "abc/def/ghi.gz", ""]
+    globs = ["".join(pick.choice("aabbc.*?[]-!/\\^é") for _ in range(pick.randrange(0, 7))) for _ in range(400)]
+    globs += ["*.gz", "abc/*", "*def*", "*", "[z-a]", "[!z-a]*", "[]a]", "[!]a]?", "a[!]b", "[a", "*/de[a-f]/*.gz", "*/de[a-f]/*.gz", "?", "", "[\\^a-]*", "*a[bc"]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate([*names, *names[:20]])] + [(None, -1)], "name string, col int")
+    table = spark.createDataFrame([(g,) for g in [*globs, None]], "pattern string")
+    for chosen in (globs, globs[:3], globs[-3:]):
+        table = spark.createDataFrame([(g,) for g in [*chosen, None]], "pattern string")
+        got = sorted(tuple(r) for r in glob_filter_table(df, "name", table).collect())
+        assert got == sorted(tuple(r) for r in glob_filter(df, "name", chosen).collect())
+        got = sorted(tuple(r) for r in glob_filter_table(df, "name", table, distinct_keys=True).collect())
+        assert got == sorted(tuple(r) for r in glob_filter(df, "name", chosen, distinct_keys=True).collect())
+    assert glob_filter_table(df, "name", table.limit(0)).count() == df.count()
+    assert glob_filter_table(df, "name", spark.createDataFrame([(None,)], "pattern string")).count() == 0
+
+
+def test_many_globs_meet_names_by_equality(spark):
+    from assetlake.operators.filters import glob_filter, glob_filter_table
+
+    names = spark.range(2_000).selectExpr("concat('s3://b/', id, '/part.gz') as name")
+    globs = spark.range(10_000).selectExpr("concat('s3://b/', id, '/*') as pattern")
+    for distinct in (True, False):
+        found = glob_filter_table(names, "name", globs, distinct_keys=distinct)
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in text and "Cartesian" not in text
+        assert found.count() == 2_000
