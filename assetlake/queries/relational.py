@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from assetlake.operators.intervals import interval_join
 from assetlake.operators.ordered import as_of_join, number_rows, rank_rows, sessions, with_frames
 from assetlake.queries import query
 from assetlake.session import stored, with_conf
@@ -38,11 +39,10 @@ def rel_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def rel_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    # The sketch is checked against the exact count, so both are computed here.
-    pairs = lines.groupBy("l_returnflag", "l_partkey").agg(F.hll_sketch_agg("l_partkey").alias("sketch"))
-    both = pairs.groupBy("l_returnflag").agg(
-        F.count("l_partkey").alias("parts"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("about")
-    )
+    # The sketch is checked against the exact count, so both are computed: one sketch per task and flag, and the pairs.
+    about = lines.groupBy("l_returnflag").agg(F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("about"))
+    exact = lines.select("l_returnflag", "l_partkey").distinct().groupBy("l_returnflag").agg(F.count("l_partkey").alias("parts"))
+    both = exact.join(about.withColumnRenamed("l_returnflag", "_flag"), F.col("l_returnflag").eqNullSafe(F.col("_flag")))
     close = F.abs(F.col("about") - F.col("parts")) <= 0.05 * F.col("parts")
     return both.select("l_returnflag", "parts", close.alias("within_5pct"))
 
@@ -154,8 +154,8 @@ def rel_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One pass over the lines: an order with very many lines counts once in the join,
     # and the join reuses the partitioning of the grouping.
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    used = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_or(F.col("l_quantity") > 49).alias("large"))
-    found = orders.join(used, "o_orderkey", "left")
+    used = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.coalesce(F.bool_or(F.col("l_quantity") > 49), F.lit(False)).alias("large"))
+    found = orders.join(used, "o_orderkey", "left")  # an unknown quantity is not large, but it is a line
     kind = F.when(F.col("large"), "large").when(F.col("large").isNull(), "empty")
     return found.select(kind.alias("kind"), "o_orderkey").where("kind is not null")
 
@@ -175,6 +175,23 @@ def rel_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("event_id", "view_id", "view_value")
 
 
+@query("rel_interval_join", """
+    select o_orderkey, o_totalprice, l_linenumber, l_shipdate, l_quantity from orders join lineitem on l_orderkey = o_orderkey
+    and l_shipdate < o_orderdate + interval '900' day and o_orderdate < l_shipdate + to_days(l_quantity::int)
+""")
+def rel_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, open for 900 days, with their lines under way, a day for each piece, at a time when the order is open."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"), "o_orderkey", "o_totalprice", "o_orderdate", (F.col("o_orderdate") + F.expr("interval 900 days")).alias("closed")
+    )
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("k"), "l_linenumber", "l_shipdate", "l_quantity",
+        (F.col("l_shipdate") + F.make_dt_interval(F.col("l_quantity").cast("int"))).alias("received"),
+    )
+    pairs = interval_join(orders, lines, ("o_orderdate", "closed"), ("l_shipdate", "received"), ["k"])
+    return pairs.select("o_orderkey", "o_totalprice", "l_linenumber", "l_shipdate", "l_quantity")
+
+
 @query("rel_range_join", """
     select b.band, count(*) as n from part p
     join (select 0 as band, 0 as lo, 10 as hi union all select 1, 10, 25 union all select 2, 25, 1000) b

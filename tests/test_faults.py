@@ -88,3 +88,12 @@ def test_too_many_layout_bits(spark):
     wide = spark.range(3).select(*[F.col("id").alias(f"c{i}") for i in range(9)])
     with pytest.raises(ValueError, match="bits"):
         layout_zorder(wide, wide.columns)
+
+
+def test_an_order_whose_lines_have_no_quantity_is_not_empty(spark, tmp_path):
+    from assetlake.queries.relational import rel_semi_anti
+
+    spark.createDataFrame([(1,), (2,), (3,)], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(1, None), (2, None), (2, 50.0)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(tuple(r) for r in rel_semi_anti(spark, str(tmp_path)).collect()) == [("empty", 3), ("large", 2)]
