@@ -46,8 +46,12 @@ def _kind(declared: str) -> str:
 
 
 def field(value: Column, name: str, kind: str) -> Column:
-    escaped = name.replace("\\", "\\\\").replace("'", "\\'")
-    return F.try_variant_get(value, f"$['{escaped}']", kind)
+    """A field of a variant object; null if it is missing or of another type. Paths know no escapes, but two kinds of quotes."""
+    quote = next((q for q in "'\"" if q not in name), None)
+    if quote is None:
+        inside = F.try_variant_get(value, "$", "map<string,variant>")[name]
+        return inside if kind == "variant" else F.try_variant_get(inside, "$", kind)
+    return F.try_variant_get(value, f"$[{quote}{name}{quote}]", kind)
 
 
 def infer_variant(df: DataFrame, body: str) -> DataFrame:

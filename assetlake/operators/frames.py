@@ -20,14 +20,14 @@ def with_range_frames(df: DataFrame, group: Sequence[str], order: str, preceding
     """Window columns over the rows of the group whose ``order`` lies at most ``preceding`` before a row's own, or is equal.
 
     ``columns(group)`` returns window expressions that are partitioned by the grouping it gets, ordered by ``order`` and
-    ``rangeBetween(-preceding, 0)``. ``order`` is a number; rows in which it is null keep to themselves.
+    ``rangeBetween(-preceding, 0)``. ``order`` is a number; a row without one has no place, its columns are null.
 
     Rows are dealt by sampled ranges of (group, order). Each range also gets a halo: the rows of earlier ranges that are at
     most ``preceding`` below its first value, and of later ones those that tie with its last; they are dropped
     afterwards. A row is copied to as many ranges as ``preceding`` spans, so the cost follows the width of the
     frame and not the size of the group. ``tie`` spreads rows of one value over several ranges.
     """
-    rows = _dealt(df, group, [order, *tie], parts)
+    rows = _dealt(df.filter(F.col(order).isNotNull()), group, [order, *tie], parts)
     edges = rows.groupBy(_PART, _KEY).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
     others = Window.partitionBy(_KEY).orderBy(_PART)  # one row a range and group
     later = F.collect_list(F.struct(F.col(_PART).alias("part"), F.col("_low").alias("low"))).over(others.rowsBetween(1, Window.unboundedFollowing))
@@ -44,7 +44,8 @@ def with_range_frames(df: DataFrame, group: Sequence[str], order: str, preceding
     copies = F.array_union(F.array(F.col(_PART)), F.coalesce(F.array_union(ahead, behind), F.array().cast("array<int>")))
     spread = joined.withColumn("_copy", F.explode(copies))
     out = spread.withColumns(columns([_KEY, "_copy"]))
-    return out.filter(F.col("_copy") == F.col(_PART)).select(*df.columns, *[c for c in out.columns if c not in spread.columns])
+    placed = out.filter(F.col("_copy") == F.col(_PART)).select(*df.columns, *[c for c in out.columns if c not in spread.columns])
+    return placed.unionByName(df.filter(F.col(order).isNull()), allowMissingColumns=True)
 
 
 def _ordinal(value: Column, kind: str) -> Column:

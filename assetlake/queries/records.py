@@ -12,6 +12,7 @@ from assetlake.functions.records import check_json, encode_json, infer_json, par
 from assetlake.functions.text import decode_utf8, split_lines
 from assetlake.operators.filters import first_of_type as first_row
 from assetlake.operators.filters import flatten_groups
+from assetlake.functions.variants import infer_variant, variant_columns
 from assetlake.operators.filters import glob_filter as filter_globs
 from assetlake.operators.filters import glob_filter_table
 from assetlake.operators.filters import require_columns as require
@@ -100,6 +101,24 @@ def tailed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", body.otherwise(F.col("props")).alias("body"))
 
 
+@query("json_variant", """
+    select event_id, event_id % 7 = 6 as _corrupt, case when event_id % 7 = 6 then null
+        when event_id % 3 = 0 then cast(json_extract(props, '$.k') as varchar)
+        when event_id % 3 = 1 then '"' || event_type || '"' else '[' || user_id || ',null]' end as k,
+        case when event_id % 7 <> 6 and event_id % 2 = 0 then user_id end as n,
+        case when event_id % 7 <> 6 then event_type end as kind from events
+""")
+def json_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies in which ``k`` is a number, a text or a list; it stays what it is, the other fields get their types."""
+    k = """case event_id % 3 when 0 then get_json_object(props, '$.k') when 1 then concat('"', event_type, '"') else concat('[', user_id, ',null]') end"""
+    n = """if(event_id % 2 = 0, concat(',"n":', user_id), '')"""
+    body = F.expr(f"""if(event_id % 7 = 6, '{{"k":', concat('{{"k":', {k}, {n}, ',"kind":"', event_type, '"}}')) as body""")
+    typed = infer_variant(table(spark, sf_dir, "events").select("event_id", body), "body")
+    if variant_columns(typed) != ["k"]:
+        raise AssertionError(f"variants are {variant_columns(typed)}")
+    return typed.select("event_id", "_corrupt", F.to_json("k").alias("k"), "n", "kind")
+
+
 @query("json_strict", """
     select event_id, json_valid(body) as good from (select event_id, case event_type when 'view' then chr(9) || props
         when 'click' then props || ' junk' when 'error' then props || props when 'purchase' then props || ']' else props end as body from events)

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from assetlake.operators.frames import group_quantiles, with_range_frames
 from assetlake.operators.intervals import interval_join
 from assetlake.operators.ordered import as_of_join, number_rows, rank_rows, sessions, with_frames
 from assetlake.queries import query
-from assetlake.session import stored, with_conf
+from assetlake.session import stored, with_conf, work_path
+from assetlake.sources.bucketed import bucket_count, write_bucketed
 from assetlake.tables import register_views, table
 
 MONEY = "decimal(18,2)"
@@ -351,6 +353,54 @@ def large_group_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return framed.select("event_id", "prev", "mov")
 
 
+@query("large_group_range_frames", """
+    select event_id, count(*) over w as n, min(value) over w as least, sum(cast(value as decimal(18,2))) over w as total from (
+        select *, event_type in ('click', 'view', 'purchase') as grp, datediff('second', timestamp '2024-01-01', date_trunc('second', ts)) as sec from events)
+    window w as (partition by grp order by sec range between 7200 preceding and current row)
+""")
+def large_group_range_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last two hours of more than half of all events at once: a frame by time and not by rows."""
+    def two_hours(group: list[str]) -> dict:
+        w = Window.partitionBy(*group).orderBy("at").rangeBetween(-7_200, 0)
+        total = F.sum(F.col("value").cast(MONEY)).over(w).cast("decimal(38,2)")
+        return {"n": F.count("*").over(w), "least": F.min("value").over(w), "total": total}
+
+    at = F.unix_timestamp(F.date_trunc("second", "ts").cast("timestamp")) - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))
+    grp = F.col("event_type").isin("click", "view", "purchase")
+    events = table(spark, sf_dir, "events").select("event_id", "value", grp.alias("grp"), at.alias("at"))
+    return with_range_frames(events, ["grp"], "at", 7_200, two_hours, ["event_id"]).select("event_id", "n", "least", "total")
+
+
+_QUANTILES = (0.01, 0.25, 0.5, 0.9, 0.99)
+
+
+@query("large_group_quantiles", " union all ".join(f"""
+    select half, {f}::double as fraction, quantile_disc(cents, {f}) as cents from (
+        select l_suppkey % 2 = 0 as half, cast(round(l_extendedprice * 100) as bigint) as cents from lineitem) group by half""" for f in _QUANTILES))
+def large_group_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of two groups that hold half of all lines each."""
+    lines = table(spark, sf_dir, "lineitem")
+    cents = lines.select((F.col("l_suppkey") % 2 == 0).alias("half"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
+    return group_quantiles(cents, ["half"], "cents", _QUANTILES)
+
+
+@query("rel_bucket_join", """
+    select o_orderkey, o_orderstatus, count(*) as n, sum(cast(l_extendedprice as decimal(18,2))) as total
+    from orders join lineitem on o_orderkey = l_orderkey group by 1, 2
+""")
+def rel_bucket_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables are stored by order; join and sums then need no shuffle."""
+    path = work_path(spark, "bucketed")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice")
+    buckets = bucket_count(orders, lines)
+    stored_orders = write_bucketed(orders, f"{path}/orders", "o_orderkey", buckets)
+    stored_lines = write_bucketed(lines, f"{path}/lines", "l_orderkey", buckets)
+    joined = stored_orders.hint("merge").join(stored_lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    total = F.sum(F.col("l_extendedprice").cast(MONEY)).cast("decimal(38,2)").alias("total")
+    return joined.groupBy("o_orderkey", "o_orderstatus").agg(F.count("*").alias("n"), total)
+
+
 @query("large_group_sessions", """
     select event_type, cast(sid as bigint) as sid, min(ts) as first_at, max(ts) as last_at, count(*) as n from (
         select *, sum(b) over (partition by event_type order by ts, event_id) sid from (

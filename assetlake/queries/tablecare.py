@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlake.operators import care
+from assetlake.operators.frames import group_quantiles
 from assetlake.operators.graph import impact as downstream
+from assetlake.operators.packing import compact_small as pack_small
+from assetlake.plans import sketches as sk
 from assetlake.queries import query
 from assetlake.session import work_path
 from assetlake.tables import table
@@ -29,6 +32,50 @@ def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(lines.schema).parquet(care.compact(spark, scattered, dense))
 
 
+@query("compact_small", "select l_orderkey, l_linenumber, l_extendedprice, l_returnflag from lineitem")
+def compact_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of one large file and many small ones a folder; the small ones are packed in place."""
+    path = work_path(spark, "mixed")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    early = F.col("l_orderkey") % 4 != 0
+    lines.filter(early).hint("rebalance", "l_returnflag").write.partitionBy("l_returnflag").parquet(path)
+    lines.filter(~early).repartition(16, "l_orderkey").write.mode("append").partitionBy("l_returnflag").parquet(path)
+    pack_small(spark, path, ("l_returnflag",), target_bytes=8 << 20, small_bytes=1 << 20)
+    return spark.read.schema(lines.schema).parquet(path)
+
+
+@query("run_sketches", """
+    select 'o_custkey' as column, count(distinct o_custkey) as keys, quantile_disc(o_custkey, 0.5) as median, true as rank_within, true as keys_within,
+        true as common_within from orders
+    union all select 'cents', count(distinct cents), quantile_disc(cents, 0.5), true, true, true
+    from (select cast(round(o_totalprice * 100) as bigint) as cents from orders)
+""")
+def run_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches per year and status are logged with a run and merged; exact values beside them show that they hold."""
+    root, columns = work_path(spark, "lake"), ["o_custkey", "cents"]
+    orders = table(spark, sf_dir, "orders").select(
+        "o_custkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"), F.concat_ws("/", F.year("o_orderdate"), "o_orderstatus").alias("part")
+    )
+    sk.log_sketches(spark, root, "run-1", "orders", sk.partition_sketches(orders, "part", columns))
+    logged = sk.read_sketches(spark, root, "orders")
+    whole, done = sk.merged(logged), F.col("part").endswith("/F")
+    median = sk.quantiles(whole, [0.5]).select("column", F.col("value").alias("about"))
+    common = sk.overlap(sk.merged(logged.filter(done)), sk.merged(logged.filter(~done))).select("column", "all_keys", "common_keys")
+    values = orders.select(done.alias("done"), F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])))
+    per_value = values.groupBy("column", "value").agg(F.count("*").alias("n"), F.max("done").alias("f"), F.min("done").alias("all_f"))
+    exact = group_quantiles(values, ["column"], "value", [0.5]).select("column", F.col("value").alias("median"))
+    counts = per_value.join(median, "column").groupBy("column").agg(
+        F.count("*").alias("keys"), F.count_if(F.col("f") & ~F.col("all_f")).alias("common"), F.sum("n").alias("rows"),
+        F.sum(F.when(F.col("value") < F.col("about"), F.col("n")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("value") <= F.col("about"), F.col("n")).otherwise(0)).alias("upto"),
+    )
+    seen = counts.join(exact, "column").join(common, "column")
+    # The rank of the estimate is a stretch where values repeat; one half must be within the bound of it.
+    rank = (F.col("below") <= (0.5 + sk.RANK_ERROR) * F.col("rows")) & (F.col("upto") >= (0.5 - sk.RANK_ERROR) * F.col("rows"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= sk.COUNT_ERROR * F.col("keys")
+    return seen.select("column", "keys", "median", rank.alias("rank_within"), near("all_keys", "keys").alias("keys_within"), near("common_keys", "common").alias("common_within"))
+
+
 @query("layout_sort", _ORDERS_SQL)
 def layout_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "sorted")

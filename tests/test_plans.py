@@ -81,3 +81,12 @@ def test_files_that_do_not_match_are_not_opened(spark, sf_dir):
     read = scan.metrics().apply("numFiles").value()
     languages = {r["lang"] for r in found.select("lang").distinct().collect()}
     assert languages == {"de", "fr"} and 0 < read <= 8 * len(languages)
+
+
+def test_bucketed_join_has_no_exchange(plan):
+    assert plan("rel_bucket_join").count("Exchange") == 0
+
+
+def test_interval_join_has_no_nested_loop(plan):
+    text = plan("rel_interval_join")
+    assert "NestedLoop" not in text and "Cartesian" not in text
