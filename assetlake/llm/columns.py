@@ -95,5 +95,8 @@ def shingle_hashes(words: Column, length: int | Column) -> Column:
 
 
 def small_enough(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` marked for broadcast if it has at most ``rows`` rows; else as it is, for a shuffled join.
+
+    Tasks count and only numbers meet; what is dear to compute should be stored first.
+    """
+    return F.broadcast(df) if df.count() <= rows else df

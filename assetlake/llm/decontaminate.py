@@ -4,13 +4,15 @@ A window is ten consecutive words of a benchmark item, or all of a shorter item.
 five-word shingles (shorter for a shorter item). A window occurs only where all its tokens
 do, so the prefix that has to be joined is one token: the rarest, by its count over all documents.
 
-1. One pass over the documents joins their shingles with the set of all window tokens. What remains is
-   stored, with the words around it: it is as large as the contamination.
+1. One pass over the documents joins the places of their shingles with the set of all window tokens. What remains is
+   stored: it is as large as the contamination.
 2. Counts over the stored rows give the rarity of every token; each window keeps its rarest one.
-3. The prefix tokens are joined with the stored rows. The token's place in the window gives the start;
-   the bounds of the document and the length of the window are checked, then the words themselves.
+3. The prefix tokens are joined with the stored rows. The token's place in the window gives the start, which has to
+   lie in the document and leave room for the window.
+4. The places that are left are grouped by text and joined with the texts; the words of such a text are taken once and
+   compared at each place. No step copies a text, or its words, for each of its places.
 
-The token set is broadcast up to ``BROADCAST_ROWS`` rows, beyond that the join is shuffled.
+Token, prefix and place sets are broadcast up to ``BROADCAST_ROWS`` rows, beyond that the joins are shuffled.
 
 Defined cases: null and empty texts have no words and no hits; rows that share id and text have the
 same result each; rows that share only the id do not mix; items without words have no window; items without id
@@ -28,6 +30,8 @@ from assetlake.llm.columns import alnum_words, computed, shingle_hashes, small_e
 WINDOW = 10
 SHINGLE = 5
 BROADCAST_ROWS = 1_000_000
+#: Rows that hold the words of a window, or the windows of a text.
+BROADCAST_WIDE_ROWS = 200_000
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -45,19 +49,17 @@ def _tokens(windows: DataFrame) -> DataFrame:
     return each.select("win", "width", F.posexplode(hashes).alias("offset", "token"))
 
 
-def _hits(docs: DataFrame, tokens: DataFrame, window: int) -> DataFrame:
-    """Shingles of documents that are tokens of any window, with the words around them."""
+def _hits(docs: DataFrame, tokens: DataFrame) -> DataFrame | None:
+    """(doc_id, text_hash, size in words, pos, token, width) of document shingles that are tokens of any window."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), computed(alnum_words(F.col("text"))).alias("words"))
+    texts = texts.withColumn("size", F.size("words"))
     widths = [r["width"] for r in tokens.select("width").distinct().collect()]  # at most SHINGLE values
     found = None
     for width in sorted(widths):
         wanted = small_enough(tokens.where(F.col("width") == width).select("token").distinct(), BROADCAST_ROWS)
-        at = texts.select("*", F.posexplode(shingle_hashes(F.col("words"), width)).alias("pos", "token"))
-        first = F.greatest(F.col("pos") - (window - 1), F.lit(0))
-        part = at.join(wanted, "token").select(
-            "doc_id", "text_hash", "pos", "token", F.lit(width).alias("width"), first.alias("first"),
-            F.slice("words", first + 1, F.col("pos") - first + window).alias("around"),
-        )
+        # The words end here: a row for each place would take a copy of them along.
+        at = texts.select("doc_id", "text_hash", "size", F.posexplode(shingle_hashes(F.col("words"), width)).alias("pos", "token"))
+        part = at.join(wanted, "token").select("doc_id", "text_hash", "size", "pos", "token", F.lit(width).alias("width"))
         found = part if found is None else found.unionAll(part)
     return found
 
@@ -65,7 +67,7 @@ def _hits(docs: DataFrame, tokens: DataFrame, window: int) -> DataFrame:
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame | None:
     """(doc_id, text_hash, start, win) wherever a window occurs; None if there is no window."""
     tokens = store(_tokens(item_windows(benchmark, window)), "tokens")
-    hits = _hits(docs, tokens, window)
+    hits = _hits(docs, tokens)
     if hits is None:
         return None
     hits = store(hits, "hits")
@@ -76,10 +78,17 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         F.min(F.struct("n", "token", "offset", "width")).alias("rarest"), F.count("*").alias("seen"), F.max(complete).alias("needed")
     ).where("seen = needed").select("win", "rarest.token", "rarest.offset", "rarest.width")
     start = F.col("pos") - F.col("offset")
-    within = F.col("first") + F.size("around") >= start + F.size("win")
-    same = F.slice("around", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.size("win")) == F.col("win")
-    joined = hits.join(small_enough(store(prefix, "prefix"), BROADCAST_ROWS), ["token", "width"])
-    return joined.where((start >= 0) & within & same).select("doc_id", "text_hash", start.alias("start"), "win")
+    within = (start >= 0) & (start + F.size("win") <= F.col("size"))
+    joined = hits.join(small_enough(store(prefix, "prefix"), BROADCAST_WIDE_ROWS), ["token", "width"]).where(within)
+    places = joined.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(start.alias("start"), "win")).alias("places"))
+    places = places.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "places")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    same_text = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    met = texts.join(small_enough(store(places, "places"), BROADCAST_WIDE_ROWS), same_text)
+    taken = met.select("doc_id", "text_hash", "places", computed(alnum_words(F.col("text"))).alias("words"))
+    # As an array the places stay one row a text until they have been compared.
+    true = F.filter("places", lambda p: F.slice("words", p["start"] + 1, F.size(p["win"])) == p["win"])
+    return taken.select("doc_id", "text_hash", F.inline(true))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -107,3 +107,25 @@ def test_short_templates_have_shingles_of_their_own_width(spark):
     assert got == sorted(
         [(1, "rights"), (2, "rights"), (3, ""), (4, "one"), (5, ""), (6, "MIT,four,rights"), (7, ""), (8, ""), (1, "")], key=str
     )
+
+
+def test_a_very_long_text_takes_seconds(spark):
+    """Time grows with the length of a text, not with its square."""
+    import time
+
+    item, took = ITEMS[0][1], []
+    for size in (20_000, 160_000):
+        rows = [(1, prose(7, size, 9_000) + " " + item + " " + prose(8, 50)), (2, prose(9, 50))]
+        started = time.time()
+        got = {r["doc_id"]: r["n_hit"] for r in decontaminate(documents(spark, rows), benchmark(spark)).collect()}
+        took.append(time.time() - started)
+        assert got == {1: 40, 2: 0}
+    assert took[1] < took[0] + 10
+
+
+def test_native_queries_have_no_python(spark, sf_dir):
+    from assetlake.llm.queries import QUERIES
+
+    for name in ("op6_license_scans", "op7_benchmark_decontamination", "op13_hash_tree_sharding"):
+        text = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in text for word in ("Python", "Pandas", "Arrow")), name
