@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from assetlake.operators.ordered import _KEY, _PART, _dealt
@@ -28,20 +29,31 @@ def with_range_frames(df: DataFrame, group: Sequence[str], order: str, preceding
     frame and not the size of the group. ``tie`` spreads rows of one value over several ranges.
     """
     rows = _dealt(df.filter(F.col(order).isNotNull()), group, [order, *tie], parts)
-    edges = rows.groupBy(_PART, _KEY).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-    others = Window.partitionBy(_KEY).orderBy(_PART)  # one row a range and group
-    later = F.collect_list(F.struct(F.col(_PART).alias("part"), F.col("_low").alias("low"))).over(others.rowsBetween(1, Window.unboundedFollowing))
-    earlier = F.collect_list(F.struct(F.col(_PART).alias("part"), F.col("_high").alias("high"))).over(others.rowsBetween(Window.unboundedPreceding, -1))
-    near = edges.select(
-        _PART, _KEY, F.filter(later, lambda e: e["low"] <= F.col("_high") + preceding).alias("_later"),
-        F.filter(earlier, lambda e: e["high"] == F.col("_low")).alias("_earlier"),
-    )
-    value = F.col(order)
-    ahead = F.transform(F.filter("_later", lambda e: e["low"] <= value + preceding), lambda e: e["part"])
-    behind = F.transform(F.filter("_earlier", lambda e: e["high"] == value), lambda e: e["part"])
-    # Few ranges reach another one; all others have empty lists.
+    value = F.col(order).cast("bigint") if isinstance(df.schema[order].dataType, T.IntegralType) else F.col(order)
+    edges = rows.groupBy(_PART, _KEY).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    part = F.col(_PART)
+    # The last range that begins within reach of a range's last value, and the first one that ends at its first value:
+    # running extremes over the borders of a group, two rows a range.
+    forth = edges.select(_KEY, F.inline(F.array(
+        F.struct(F.col("_low").alias("v"), F.lit(0).alias("probe"), part.alias("at")),
+        F.struct((F.col("_high") + preceding).alias("v"), F.lit(1).alias("probe"), part.alias("at")),
+    )))
+    back = edges.select(_KEY, F.inline(F.array(
+        F.struct(F.col("_high").alias("v"), F.lit(0).alias("probe"), part.alias("at")),
+        F.struct(F.col("_low").alias("v"), F.lit(1).alias("probe"), part.alias("at")),
+    )))
+    border = F.when(F.col("probe") == 0, F.col("at"))
+    ahead = F.max(border).over(Window.partitionBy(_KEY).orderBy("v", "probe").rowsBetween(Window.unboundedPreceding, 0))
+    behind = F.min(border).over(Window.partitionBy(_KEY).orderBy(F.desc("v"), "probe").rowsBetween(Window.unboundedPreceding, 0))
+    last = forth.withColumn("_last", ahead).filter("probe = 1").select(F.col("at").alias(_PART), _KEY, "_last")
+    first = back.withColumn("_first", behind).filter("probe = 1").select(F.col("at").alias(_PART), _KEY, "_first")
+    in_turn = Window.partitionBy(_KEY).orderBy(_PART)
+    near = edges.withColumn("_next", F.lead("_low").over(in_turn)).join(last, [_PART, _KEY]).join(first, [_PART, _KEY])
     joined = rows.join(near, [_PART, _KEY])
-    copies = F.array_union(F.array(F.col(_PART)), F.coalesce(F.array_union(ahead, behind), F.array().cast("array<int>")))
+    # Ranges that lie between two of a group hold nothing but that group, so numbers can be counted through.
+    upto = F.when(value + preceding >= F.col("_next"), F.col("_last")).otherwise(part)
+    since = F.when(value == F.col("_low"), F.least(F.col("_first"), part)).otherwise(part)
+    copies = F.sequence(since, F.greatest(upto, part))
     spread = joined.withColumn("_copy", F.explode(copies))
     out = spread.withColumns(columns([_KEY, "_copy"]))
     placed = out.filter(F.col("_copy") == F.col(_PART)).select(*df.columns, *[c for c in out.columns if c not in spread.columns])

@@ -71,19 +71,25 @@ def with_frames(df: DataFrame, group: Sequence[str], order: Sequence[str], prece
                 columns: Callable[[Sequence[str], Sequence[str]], dict[str, Column]], parts: int | None = None) -> DataFrame:
     """Window columns that look back at most ``preceding`` rows.
 
-    ``columns(group, order)`` returns the window expressions over the grouping it is given. Groups are numbered
-    and cut into blocks of an even share of all rows, but no fewer than ``preceding``; each block also
-    gets the last rows of the block before it, which are dropped afterwards.
+    ``columns(group, order)`` returns the window expressions over the grouping it is given. Each range also gets the
+    ``preceding`` rows of its group that lie before it, from as many ranges as hold them; they are dropped afterwards.
     """
-    parts = parts or range_count(df)
-    numbered = stored(number_rows(df, group, order, "_row", parts), "numbered")
-    size = max(preceding, -(-numbered.count() // parts), 1)
-    block = F.floor((F.col("_row") - 1) / size)
-    near_end = (F.col("_row") - 1) % size >= size - preceding
-    blocks = F.when(near_end, F.array(block, block + 1)).otherwise(F.array(block))
-    spread = numbered.select("*", F.posexplode(blocks).alias("_copy", "_block"))
-    out = spread.withColumns(columns([*group, "_block"], list(order)))
-    return out.filter("_copy = 0").drop("_copy", "_block", "_row")
+    rows = _dealt(df, group, order, parts)
+    sizes = rows.groupBy(_PART, _KEY).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(_KEY).orderBy(_PART))
+    places = sizes.withColumn("_upto", upto)
+    # A later range has a row of the group at least, so no more than ``preceding`` of them can look back to this one.
+    later = F.collect_list(F.struct(F.col(_PART).alias("part"), (F.col("_upto") - F.col("_n")).alias("before"))).over(
+        Window.partitionBy(_KEY).orderBy(_PART).rowsBetween(1, max(preceding, 1))
+    )
+    near = places.select(_PART, _KEY, "_upto", later.alias("_later"))
+    local = rows.withColumn("_local", F.row_number().over(_inside(order))).join(near.join(sizes, [_PART, _KEY]), [_PART, _KEY])
+    behind = F.col("_n") - F.col("_local")  # rows of the range after this one
+    reached = F.filter("_later", lambda e: behind + e["before"] - F.col("_upto") < preceding)
+    ahead = F.when(behind < preceding, F.transform(reached, lambda e: e["part"])).otherwise(F.array().cast("array<int>"))
+    spread = local.withColumn("_copy", F.explode(F.concat(F.array(_PART), ahead))).drop("_local", "_n", "_upto", "_later")
+    out = spread.withColumns(columns([_KEY, "_copy"], list(order)))
+    return out.filter(F.col("_copy") == F.col(_PART)).drop("_copy", _PART, _KEY)
 
 
 def rank_rows(df: DataFrame, group: Sequence[str], order: str, tie: Sequence[str], out: str = "rk", parts: int | None = None) -> DataFrame:

@@ -34,7 +34,18 @@ def test_frames(skewed):
         return {"prev": F.lag("event_id", 2).over(w), "mov": F.sum("event_id").over(w.rowsBetween(-2, 0))}
 
     args = (skewed, ["k"], ["ts", "event_id"], 2, columns)
-    assert rows_of(ordered.with_frames(*args, parts=MANY)) == rows_of(ordered.with_frames(*args))
+    want = rows_of(skewed.withColumns(columns(["k"], ["ts", "event_id"])))
+    assert rows_of(ordered.with_frames(*args, parts=MANY)) == rows_of(ordered.with_frames(*args)) == want
+
+
+@pytest.mark.parametrize("preceding", [0, 7, 60])
+def test_frames_that_look_back_over_many_ranges(skewed, preceding):
+    def columns(group, order):
+        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(-preceding, 0)
+        return {"n": F.count("*").over(w), "low": F.min("event_id").over(w)}
+
+    want = rows_of(skewed.withColumns(columns(["k"], ["ts", "event_id"])))
+    assert rows_of(ordered.with_frames(skewed, ["k"], ["ts", "event_id"], preceding, columns, parts=150)) == want
 
 
 def test_ranks_with_ties(skewed):
