@@ -36,7 +36,8 @@ def check_json(df: DataFrame, body: str, schema: RowType | T.StructType | type |
         F.when(F.col(body).isNull(), "no body")
         .when(~F.col(body).rlike(r"^\s*\{"), "not a JSON object")
         .when(value[_CORRUPT].isNotNull(), "malformed or wrong type")
-        .when(_has_tail(F.col(body)), "text after the record")
+        # One pair of braces that opens and closes the body: what parses there has nothing behind it.
+        .when(~F.col(body).rlike(r"^\s*\{[^{}]*\}\s*$") & _has_tail(F.col(body)), "text after the record")
         .otherwise(violation(row, lambda name: value[name]))
     )
     if strict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,9 @@ CLUSTER_STATES = (
 )
 ACTIVE_STATES = ("STARTING", "BOOTSTRAPPING", "RUNNING", "WAITING")
 
+# The states in which a member of a group is looked at.
+MEMBER_STATES = ("AWAITING_FULFILLMENT", "PROVISIONING", "BOOTSTRAPPING", "RUNNING", "TERMINATED")
+
 # Node types in report order, and the group types they are stored as.
 NODE_GROUPS = {"primary": "MASTER", "core": "CORE", "task": "TASK"}
 
@@ -79,11 +82,13 @@ def node_type(group_type: Column, groups: Mapping[str, str] = NODE_GROUPS) -> Co
 
 
 def flatten_groups(df: DataFrame, group_type: str, members: str, member_id: Column, wanted: str | None = None,
-                   groups: Mapping[str, str] = NODE_GROUPS) -> DataFrame:
+                   groups: Mapping[str, str] = NODE_GROUPS, state: Column | None = None,
+                   states: Sequence[str] = MEMBER_STATES) -> DataFrame:
     """One row per member of the reported groups: ``type_pos`` (report order), ``type``, ``id``.
 
-    ``member_id`` is an expression over ``member``, one element of the array column
-    ``members``. Members without an id are skipped. An unknown ``wanted`` is an error.
+    ``member_id`` and ``state`` are expressions over ``member``, one element of the array column
+    ``members``. Members without an id are skipped, and with ``state`` those in no state of ``states``. An
+    unknown ``wanted`` is an error.
     """
     if wanted is not None and wanted not in groups:
         raise ValueError(f"unknown type {wanted!r}; allowed are {', '.join(groups)}")
@@ -91,11 +96,30 @@ def flatten_groups(df: DataFrame, group_type: str, members: str, member_id: Colu
     kept = [c for c in df.columns if c not in (group_type, members)]
     rows = df.filter(F.col(group_type).isin(*[groups[n] for n in names]))
     rows = rows.select(*kept, node_type(F.col(group_type), groups).alias("type"), F.explode(members).alias("member"))
+    if state is not None:
+        rows = rows.filter(state.isin(*states))
     rows = rows.select(*kept, "type", member_id.alias("id")).filter(F.col("id").isNotNull())
     position = F.array_position(F.array(*[F.lit(n) for n in groups]), F.col("type")) - 1
     return rows.withColumn("type_pos", position.cast("bigint"))
 
 
+def first_members(df: DataFrame, group_type: str, members: str, member_id: Callable[[Column], Column], wanted: str,
+                  groups: Mapping[str, str] = NODE_GROUPS, state: Callable[[Column], Column] | None = None,
+                  states: Sequence[str] = MEMBER_STATES) -> DataFrame:
+    """``id`` of the first member (in one of the states) of each group of the wanted type that has one.
+
+    If that member has no id, the query fails: it may not be passed over for another one. Nothing is shuffled.
+    """
+    if wanted not in groups:
+        raise ValueError(f"unknown type {wanted!r}; allowed are {', '.join(groups)}")
+    seen = F.col(members) if state is None else F.filter(members, lambda m: state(m).isin(*states))
+    kept = [c for c in df.columns if c not in (group_type, members)]
+    rows = df.filter(F.col(group_type) == groups[wanted]).select(*kept, seen.alias("_seen")).filter(F.size("_seen") > 0)
+    first = member_id(F.element_at("_seen", 1))
+    checked = F.when(first.isNull(), F.raise_error(F.lit(f"the first member of type {wanted} has no id"))).otherwise(first)
+    return rows.select(*kept, checked.alias("id"))
+
+
 def first_of_type(df: DataFrame, group: str, order: Sequence[str], require: Sequence[str] = ()) -> DataFrame:
     """First row of every group by ``order``; a group named in ``require`` must exist."""
     first = Window.partitionBy(group).orderBy(*order)

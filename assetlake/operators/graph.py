@@ -39,14 +39,14 @@ def ancestors(commits: DataFrame, heads: DataFrame) -> DataFrame:
 
     ``commits`` has ``commit_id`` and ``parent`` (null at a root), ``heads`` has ``ref``
     and ``commit_id``. The parent links double their reach in every round, so a
-    history of n commits takes log2(n) joins.
+    history of n commits takes log2(n) joins. Links that lead in a circle end, too: a commit is reached once.
     """
     jump = commits.select("commit_id", "parent").filter(F.col("parent").isNotNull())
     reach = heads.select("ref", "commit_id", F.lit(0).cast("bigint").alias("distance"))
     step = 1
     while True:
         further = reach.join(jump, "commit_id").select("ref", F.col("parent").alias("commit_id"), (F.col("distance") + step).alias("distance"))
-        further = cut(further)
+        further = cut(further.join(reach.select("ref", "commit_id"), ["ref", "commit_id"], "left_anti"))
         if further.isEmpty():
             return reach
         reach = reach.unionByName(further)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from assetlake.functions.paths import uri_container
 from assetlake.functions.records import check_json, encode_json, infer_json, parse_json
 from assetlake.functions.text import decode_utf8, split_lines
-from assetlake.operators.filters import first_of_type as first_row
-from assetlake.operators.filters import flatten_groups
 from assetlake.functions.variants import infer_variant, variant_columns
+from assetlake.operators.filters import first_members, flatten_groups
+from assetlake.operators.filters import first_of_type as first_row
 from assetlake.operators.filters import glob_filter as filter_globs
 from assetlake.operators.filters import glob_filter_table
 from assetlake.operators.filters import require_columns as require
@@ -222,6 +222,32 @@ def nested_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_groups(groups, "lang", "members", F.col("member.id"), groups=stored)
 
 
+_STATES_SQL = "list_value('RUNNING', 'STOPPED', 'BOOTSTRAPPING', 'TERMINATED', 'FAILED')"
+
+
+@query("nested_member_states", f"""
+    with m as (select doc_id, lang, id, row_number() over (partition by doc_id order by i) as place from (
+        select doc_id, lang, generate_subscripts(lines, 1) as i, unnest(lines) as id from (
+            select doc_id, lang, string_split(text, chr(10)) as lines from documents where lang in ('en', 'de', 'fr')))
+        where {_STATES_SQL}[length(id) % 5 + 1] in ('RUNNING', 'BOOTSTRAPPING', 'TERMINATED'))
+    select 'all' as kind, doc_id, count(*) as n, min(id) as id from m where id <> '' group by doc_id
+    union all select 'first', doc_id, null, id from m where place = 1 and lang = 'en' and id <> ''
+""")
+def nested_member_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as members with a state by their length: all that are in a state that counts, and the first of each primary group."""
+    names = F.array(*[F.lit(s) for s in ("RUNNING", "STOPPED", "BOOTSTRAPPING", "TERMINATED", "FAILED")])
+    groups = table(spark, sf_dir, "documents").select("doc_id", "lang", F.transform(
+        F.split("text", "\n", -1), lambda x: F.struct(F.nullif(x, F.lit("")).alias("id"), F.get(names, F.char_length(x) % 5).alias("state"))
+    ).alias("members"))
+    stored = {"primary": "en", "core": "de", "task": "fr"}
+    found = flatten_groups(groups, "lang", "members", F.col("member.id"), groups=stored, state=F.col("member.state"))
+    everyone = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("id").alias("id")).select(F.lit("all").alias("kind"), "doc_id", "n", "id")
+    # A first member without an id, here a blank line, fails the query; such groups are left out.
+    counted = F.filter("members", lambda m: m["state"].isin("RUNNING", "BOOTSTRAPPING", "TERMINATED"))
+    first = first_members(groups.filter(F.get(counted, F.lit(0))["id"].isNotNull()), "lang", "members", lambda m: m["id"], "primary", stored, lambda m: m["state"])
+    return everyone.unionByName(first.select(F.lit("first").alias("kind"), "doc_id", F.lit(None).cast("bigint").alias("n"), "id"))
+
+
 @query("first_of_type", """
     select grp, event_id from (select event_type as grp, event_id,
         row_number() over (partition by event_type order by ts, event_id) as rn from events) t where rn = 1

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from assetlake.session import with_conf
 from assetlake.streaming.queues import write_batch
 
+_SESSIONS = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
+
 
 def event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
     """``df`` with a watermark; a column without time zone is read in the session's zone."""
@@ -19,10 +22,9 @@ def event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
 def windowed(df: DataFrame, window: Column, by: Sequence[str], *aggregates: Column) -> DataFrame:
     """Aggregates per window and group, with the window as ``start`` and ``end``.
 
-    Session windows are merged in each task before the shuffle, so that a busy group
-    sends its sessions and not its rows.
+    Session windows are merged in each task before the shuffle if ``latest_windows`` starts the stream, so that a busy
+    group sends its sessions and not its rows.
     """
-    df.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     grouped = df.groupBy(window.alias("_window"), *by).agg(*aggregates)
     return grouped.select(F.col("_window.start").alias("start"), F.col("_window.end").alias("end"), *[c for c in grouped.columns if c != "_window"])
 
@@ -32,10 +34,11 @@ def latest_windows(df: DataFrame, path: str, checkpoint: str, output: str = "upd
 
     In update mode also the windows that are still open at the end are written.
     """
-    return (
-        df.writeStream.outputMode(output).foreachBatch(lambda batch, batch_id: write_batch(batch, path, batch_id))
-        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-    )
+    with with_conf(df.sparkSession, _SESSIONS):  # a stream keeps the settings that it was started with
+        return (
+            df.writeStream.outputMode(output).foreachBatch(lambda batch, batch_id: write_batch(batch, path, batch_id))
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        )
 
 
 def read_windows(changes: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -97,3 +97,12 @@ def test_an_order_whose_lines_have_no_quantity_is_not_empty(spark, tmp_path):
     lines = [(1, None), (2, None), (2, 50.0)]
     spark.createDataFrame(lines, "l_orderkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert sorted(tuple(r) for r in rel_semi_anti(spark, str(tmp_path)).collect()) == [("empty", 3), ("large", 2)]
+
+
+def test_parents_in_a_circle_end(spark):
+    from assetlake.operators.graph import ancestors
+
+    commits = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "commit_id string, parent string")
+    heads = spark.createDataFrame([("main", "d"), ("dev", "b")], "ref string, commit_id string")
+    got = {(r["ref"], r["commit_id"]): r["distance"] for r in ancestors(commits, heads).collect()}
+    assert got == {("main", "d"): 0, ("main", "a"): 1, ("main", "b"): 2, ("main", "c"): 3, ("dev", "b"): 0, ("dev", "c"): 1, ("dev", "a"): 2}

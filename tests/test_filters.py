@@ -95,3 +95,19 @@ def test_many_globs_meet_names_by_equality(spark):
         text = found._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in text and "Cartesian" not in text
         assert found.count() == 2_000
+
+
+def test_members_in_other_states_are_passed_over(spark):
+    from assetlake.operators.filters import first_members
+
+    rows = [(1, "MASTER", [("a", "PENDING"), ("b", "RUNNING"), (None, "RUNNING")]), (2, "MASTER", [("c", "STOPPED")]), (3, "CORE", [("d", "RUNNING")]), (4, "MASTER", None)]
+    df = spark.createDataFrame(rows, "g int, t string, members array<struct<id:string,state:string>>")
+    state = lambda m: m["state"]
+    found = flatten_groups(df, "t", "members", F.col("member.id"), state=F.col("member.state"))
+    assert sorted((r["g"], r["type"], r["id"]) for r in found.collect()) == [(1, "primary", "b"), (3, "core", "d")]
+    assert [tuple(r) for r in first_members(df, "t", "members", lambda m: m["id"], "primary", state=state).collect()] == [(1, "b")]
+    broken = spark.createDataFrame([(1, "MASTER", [(None, "RUNNING"), ("b", "RUNNING")])], df.schema)
+    with pytest.raises(Exception, match="has no id"):
+        first_members(broken, "t", "members", lambda m: m["id"], "primary", state=state).collect()
+    with pytest.raises(ValueError, match="unknown type"):
+        first_members(df, "t", "members", lambda m: m["id"], "other")
