@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from assetlake.functions.paths import join_path
 from assetlake.session import is_missing_path
 from assetlake.operators import objects as ops
-from assetlake.sources.files import scan_files
+from assetlake.sources.files import open_files, scan_files
 
 PUT_LOG = "_puts"
 LOG_SCHEMA = "key string, etag string, size bigint, modified timestamp, body binary, deleted boolean, version bigint"
 SCOPES = ("create", "delete")
+#: So many keys of a get are looked up one by one; their names pass through the driver.
+LISTED_KEYS = 1_000
 
 
 class _Keyed:
@@ -62,9 +64,18 @@ class _Keyed:
         return ops.list_page(refs, self._full(prefix), limit, next_token)
 
     def get(self, spark: SparkSession, keys: str | DataFrame, strict: bool = True) -> DataFrame:
-        """The objects with these keys; a missing one is an error unless ``strict`` is off."""
-        current = self.bucket._current(spark, self._full(keys) if isinstance(keys, str) else self._full(""))
-        return ops.get(current, self._keys(spark, keys), strict)
+        """The objects with these keys; a missing one is an error unless ``strict`` is off.
+
+        Up to ``LISTED_KEYS`` keys are opened by their paths, and nothing else is listed or read. For more of them the
+        folder is read and joined.
+        """
+        wanted = self._keys(spark, keys)
+        listed = [r["key"] for r in wanted.select("key").distinct().limit(LISTED_KEYS + 1).collect()]
+        if len(listed) <= LISTED_KEYS:
+            current = self.bucket._current(spark, "", [k for k in listed if k is not None])
+        else:
+            current = self.bucket._current(spark, self._full(""))
+        return ops.get(current, wanted, strict)
 
     def put(self, spark: SparkSession, key: str | DataFrame, body: bytes | str | None = None) -> int:
         """Write one object, or every ``key``/``body`` row of a DataFrame; returns the log version.
@@ -159,17 +170,18 @@ class Bucket(_Keyed):
         entry.write.mode("errorifexists").parquet(f"{self.log_path}/version={version}")
         return version
 
-    def _current(self, spark: SparkSession, prefix: str = "") -> DataFrame:
-        """Objects with at least those below a key prefix; only its folder is listed."""
+    def _current(self, spark: SparkSession, prefix: str = "", keys: list[str] | None = None) -> DataFrame:
+        """Objects with at least those below a key prefix, of which only the folder is listed; or just those with ``keys``."""
         columns = ["key", "etag", "size", "modified", "body"]
         log = self._log(spark)
         if log is not None:
-            log = log.filter(F.col("key").startswith(prefix))
+            log = log.filter(F.col("key").startswith(prefix) if keys is None else F.col("key").isin(keys))
         folder = prefix.rpartition("/")[0]
         try:
             # A file's etag is taken from its size and time: its bytes stay unread until asked for.
             stamp = F.md5(F.concat_ws("-", "key", "size", F.unix_micros("modified")).cast("binary"))
-            files = scan_files(spark, self.root, folder).withColumn("etag", stamp).select(*columns)
+            files = scan_files(spark, self.root, folder) if keys is None else open_files(spark, self.root, keys)
+            files = files.withColumn("etag", stamp).select(*columns)
         except AnalysisException as error:
             if not is_missing_path(error):
                 raise

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,23 @@ def scan_files(spark: SparkSession, root: str, prefix: str | None = None, recurs
     )
 
 
+def open_files(spark: SparkSession, root: str, keys: Sequence[str]) -> DataFrame:
+    """``scan_files`` for the files with these keys below ``root``; a key without a file gives no row."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(join_path(root, key)) for key in keys]
+    # Files whose names begin like this are not objects: scans do not see them either.
+    hidden = [any(part[:1] in ("_", ".") for part in key.split("/")) for key in keys]
+    found = [p for p, h in zip(paths, hidden, strict=True) if not h and (fs := p.getFileSystem(conf)).exists(p) and fs.getFileStatus(p).isFile()]
+    files = spark.read.format("binaryFile")
+    # Paths are patterns to the reader; every special character of a name is quoted.
+    quoted = [re.sub(r"([\\{}\[\]*?^,])", r"\\\1", p.toString()) for p in found]
+    rows = files.load(quoted) if found else spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
+    return rows.select(
+        file_key(F.col("path"), root).alias("key"), F.col("length").alias("size"),
+        F.col("modificationTime").alias("modified"), F.col("content").alias("body"),
+    )
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str], root: str | None = None,
                recursive: bool = True) -> DataFrame:
     """Lines of text files, ``.gz`` included, as ``line``; with ``root`` also the file's ``key``.

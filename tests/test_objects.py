@@ -139,3 +139,23 @@ def test_only_the_folder_of_a_prefix_is_listed(spark, bucket):
     assert f"{bucket.root}/x/y" in plan
     assert keys(bucket.objects(spark, "x/y/h")) == ["x/y/h+1 %.txt"]
     assert keys(bucket.objects(spark, "absent/")) == []
+
+
+def test_get_opens_only_what_is_asked_for(spark, tmp_path):
+    root = tmp_path / "bucket"
+    for i in range(60):
+        (root / "a").mkdir(parents=True, exist_ok=True)
+        (root / f"a/file {i} [{i % 3}] {{x,y}}+%20é.txt").write_text(f"body {i}")
+    bucket = Bucket("b", str(root))
+    bucket.put(spark, "a/put.txt", b"log")
+    names = [f"a/file {i} [{i % 3}] {{x,y}}+%20é.txt" for i in (3, 17)]
+    found = bucket.get(spark, spark.createDataFrame([(n,) for n in [*names, "a/put.txt"]], "key string"))
+    assert {r["key"]: bytes(r["body"]) for r in found.collect()} == {names[0]: b"body 3", names[1]: b"body 17", "a/put.txt": b"log"}
+    from assetlake.sources.files import open_files
+
+    scan = open_files(spark, str(root), [*names, "a/none.txt", "a"])
+    assert scan.count() == 2
+    assert len(scan.inputFiles()) == 2
+    assert bytes((bucket / "a").get(spark, names[0][2:]).first()["body"]) == b"body 3"
+    many = spark.range(1_500).selectExpr("if(id = 7, 'a/put.txt', concat('a/none', id)) as key")
+    assert bucket.get(spark, many, strict=False).filter("found").count() == 1
