@@ -1,5 +1,4 @@
 from assetlake.plans.assets import DB, Asset, TableAsset, backfill, materialize, source
-from assetlake.plans.branches import Lake
 from assetlake.plans.jobs import every, job, jsonl_etl
 
-__all__ = ["DB", "Asset", "Lake", "TableAsset", "backfill", "every", "job", "jsonl_etl", "materialize", "source"]
+__all__ = ["DB", "Asset", "TableAsset", "backfill", "every", "job", "jsonl_etl", "materialize", "source"]

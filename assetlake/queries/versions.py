@@ -14,7 +14,7 @@ from assetlake.operators import versions as ops
 from assetlake.operators.graph import ancestors
 from assetlake.operators.ordered import with_frames
 from assetlake.operators.ranged import ranged_diff, write_ranged
-from assetlake.plans.branches import Lake
+from assetlake.operators.refs import ref_states
 from assetlake.queries import query
 from assetlake.queries.objects import EARLY, EARLY_SQL, LATE, LATE_SQL, STATE_SQL, moment, order_state
 from assetlake.session import work_path
@@ -138,12 +138,13 @@ def update_where(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("commit_append", "select o_orderkey, o_custkey from orders")
 def commit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two commits on a branch: the open orders, then the others appended."""
-    lake = Lake(spark, work_path(spark, "lake"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    lake.commit("orders", orders.filter("o_orderstatus = 'O'").drop("o_orderstatus"))
-    lake.commit("orders", orders.filter("o_orderstatus <> 'O'").drop("o_orderstatus"), mode="append")
-    return lake.read("orders")
+    """Two commits on a branch: the open orders, then the others."""
+    orders = table(spark, sf_dir, "orders")
+    open_one = F.col("o_orderstatus") == "O"
+    changes = orders.select(F.when(open_one, "first").otherwise("second").alias("commit_id"), "o_orderkey", "o_custkey")
+    commits = spark.createDataFrame([("first", None), ("second", "first")], "commit_id string, parent string")
+    refs = spark.createDataFrame([("main", "second")], "ref string, commit_id string")
+    return ref_states(changes, commits, refs, "o_orderkey").drop("ref")
 
 
 @query("branch_tag_rollback", """
@@ -152,17 +153,14 @@ def commit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select 'release', c_custkey, c_acctbal + 1 from customer
 """)
 def branch_tag_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """main is changed, tagged, branched off and rolled back; the branch goes on."""
-    lake = Lake(spark, work_path(spark, "lake"))
+    """main is changed, tagged, branched off and rolled back; the branch goes on and removes accounts in debt."""
     base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("v"))
-    first = lake.commit("accounts", base)
-    lake.commit("accounts", base.withColumn("v", F.col("v") + 1))
-    lake.tag("release")
-    lake.branch("dev")
-    lake.rollback(first)
-    lake.commit("accounts", ops.delete_where(base, F.col("v") < 0).withColumn("v", F.col("v") + 1), branch="dev")
-    states = [lake.read("accounts", ref).select(F.lit(ref).alias("ref"), "key", "v") for ref in ("main", "dev", "release")]
-    return states[0].unionByName(states[1]).unionByName(states[2])
+    wrote = lambda rows, commit, gone: rows.withColumns({"commit_id": F.lit(commit), "gone": F.lit(gone)})
+    changes = wrote(base, "first", False).unionByName(wrote(base.withColumn("v", F.col("v") + 1), "second", False))
+    changes = changes.unionByName(wrote(base.filter("v < 0"), "third", True))
+    commits = spark.createDataFrame([("first", None), ("second", "first"), ("third", "second")], "commit_id string, parent string")
+    refs = spark.createDataFrame([("main", "first"), ("release", "second"), ("dev", "third")], "ref string, commit_id string")
+    return ref_states(changes, commits, refs, "key", F.col("gone")).select("ref", "key", "v")
 
 
 @query("commit_log", """

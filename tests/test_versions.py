@@ -1,14 +1,12 @@
 from __future__ import annotations
 
-import datetime as dt
-
 import pytest
 from oracle import rows_of
 from pyspark.sql import functions as F
 
 from assetlake.operators import versions as ops
 from assetlake.operators.graph import ancestors, impact
-from assetlake.plans.branches import Lake, MergeConflict, StaleHead
+from assetlake.operators.refs import common_commits, merge_refs, ref_states
 
 SCHEMA = "k long, a string, b double"
 BASE = [(1, "x", 1.0), (2, "x", None), (3, None, 3.0), (4, "x", 4.0)]
@@ -69,67 +67,37 @@ def test_tombstones_and_ties(spark):
     assert {r["k"] for r in ops.as_of(log, "k", "ts", F.lit(1), ["seq"], F.col("op") == "del").collect()} == {1, 2}
 
 
-@pytest.fixture
-def lake(spark, tmp_path):
-    return Lake(spark, str(tmp_path / "lake"))
-
-
-def values(frame):
-    return sorted(r["v"] for r in frame.collect())
-
-
-def numbers(spark, *vs):
-    return spark.createDataFrame([(i, v) for i, v in enumerate(vs)], "k int, v int")
-
-
-def test_lake_history(spark, lake):
-    t = [dt.datetime(2024, 1, d) for d in (1, 2, 3)]
-    first = lake.commit("t", numbers(spark, 1), at=t[0])
-    lake.tag("v1")
-    lake.branch("dev")
-    second = lake.commit("t", numbers(spark, 2), at=t[1], expected_head=first)
-    lake.commit("t", numbers(spark, 3), mode="append", at=t[2])
-    assert values(lake.read("t")) == [2, 3] and values(lake.read("t", "v1")) == [1] and values(lake.read("t", "dev")) == [1]
-    assert values(lake.read("t", commit=second)) == [2]
-    assert values(lake.read("t", at=dt.datetime(2024, 1, 2, 12))) == [2]
-    assert [r["distance"] for r in lake.log().collect()] == [0, 1, 2]
-    lake.rollback(first)
-    assert values(lake.read("t")) == [1] and lake.log().count() == 1
-    assert {(r["ref"], r["kind"]) for r in lake.refs().collect()} == {("main", "branch"), ("v1", "tag"), ("dev", "branch")}
-
-
-def test_lake_refuses(spark, lake):
-    first = lake.commit("t", numbers(spark, 1))
-    lake.commit("t", numbers(spark, 2))
-    lake.tag("v1")
-    with pytest.raises(StaleHead):
-        lake.commit("t", numbers(spark, 3), expected_head=first)
-    with pytest.raises(ValueError):
-        lake.commit("t", numbers(spark, 3), branch="v1")
-    with pytest.raises(KeyError):
-        lake.commit("t", numbers(spark, 3), branch="unknown")
-    with pytest.raises(ValueError):
-        lake.branch("v1")
-    with pytest.raises(KeyError):
-        lake.rollback("no such commit")
-    with pytest.raises(KeyError):
-        lake.read("other")
-    with pytest.raises(KeyError):
-        lake.read("t", at=dt.datetime(2000, 1, 1))
-
-
-def test_lake_merge(spark, lake):
-    lake.commit("t", numbers(spark, 1, 2))
-    lake.branch("dev")
-    lake.commit("t", numbers(spark, 1, 20, 30), branch="dev")
-    lake.commit("t", numbers(spark, 10, 2))
-    lake.merge("t", "k", "dev")
-    assert values(lake.read("t")) == [10, 20, 30]
-    lake.branch("late", "dev")
-    lake.commit("t", numbers(spark, 5, 20, 30), branch="late")
-    with pytest.raises(MergeConflict) as caught:
-        lake.merge("t", "k", "late")
-    assert [r["k"] for r in caught.value.conflicts.collect()] == [0]
+CHANGES = "commit_id string, k int, v int, gone boolean"
+HISTORY = [("c1", None), ("c2", "c1"), ("c3", "c2"), ("d1", "c1"), ("d2", "d1"), ("e1", "d2")]
+
+
+def history(spark, refs):
+    commits = spark.createDataFrame(HISTORY, "commit_id string, parent string")
+    return commits, spark.createDataFrame(refs, "ref string, commit_id string")
+
+
+def test_refs_see_what_lies_behind_them(spark):
+    changes = df(spark, [
+        ("c1", 0, 1, False), ("c1", 1, 2, False), ("c2", 0, 10, False), ("c3", 1, 0, True), ("c3", 2, 5, False), ("d1", 1, 20, False), ("d2", 0, 0, True),
+        ("c1", None, 7, False), ("d2", None, 8, False),
+    ], CHANGES)
+    commits, refs = history(spark, [("main", "c3"), ("tag", "c1"), ("dev", "d2"), ("back", "c2"), ("none", "zz")])
+    got = {}
+    for r in ref_states(changes, commits, refs, "k", F.col("gone")).collect():
+        got.setdefault(r["ref"], {})[r["k"]] = r["v"]
+    assert got == {"main": {0: 10, 2: 5, None: 7}, "tag": {0: 1, 1: 2, None: 7}, "dev": {1: 20, None: 8}, "back": {0: 10, 1: 2, None: 7}}
+
+
+def test_refs_merge_against_their_common_commit(spark):
+    changes = df(spark, [
+        ("c1", 0, 1, False), ("c1", 1, 2, False), ("c2", 0, 10, False), ("d1", 1, 20, False), ("d2", 2, 30, False), ("e1", 0, 5, False),
+    ], CHANGES)
+    commits, refs = history(spark, [("main", "c2"), ("dev", "d2"), ("late", "e1")])
+    assert [r["commit_id"] for r in common_commits(commits, refs, "main", "dev").collect()] == ["c1"]
+    merged = {r["k"]: r for r in merge_refs(changes, commits, refs, "k", "main", "dev").collect()}
+    assert {k: r["merged"]["v"] for k, r in merged.items()} == {0: 10, 1: 20, 2: 30} and not any(r["conflict"] for r in merged.values())
+    late = {r["k"]: r["conflict"] for r in merge_refs(changes, commits, refs, "k", "main", "late").collect()}
+    assert late == {0: True, 1: False, 2: False}
 
 
 def test_ancestors_of_shared_history(spark):
