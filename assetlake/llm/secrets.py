@@ -8,7 +8,9 @@ Base patterns (their spans always stay):
 
 The method adds spans of kind ``guess``. After a wider list of credential words a value is cut into
 dictionary words, dates, repeats, keyboard walks and brute-force characters so that the number of
-guesses, the product over the parts, is least (a forward dynamic program in log10). Values that take
+guesses, the product over the parts, is least (a forward dynamic program in log10). A dictionary word takes as many guesses
+as its rank: first the words that passwords are made of, then the whole words of a public tokenizer's vocabulary in the
+order of its merges, which is that of how common they are. Values that take
 10**MIN_GUESSES guesses or more are secrets, so eight characters (the fewest that are looked at) are enough when no part
 of them is cheaper than brute force. After a plain blank, neither assigned nor in quotes, a value is a word of the text and not
 judged when it is letters alone, or up to three words (in small letters, capitals, or capitalised) with signs of
@@ -22,6 +24,7 @@ Defined cases: a null or empty text has no spans; repeated rows and null ids giv
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -34,6 +37,7 @@ from pyspark.sql import DataFrame
 from assetlake.llm.columns import map_texts
 
 KINDS = ("assign", "access", "hex", "guess")
+_WORD_END = "</w>"
 #: log10 of the guesses from which a value is a secret.
 MIN_GUESSES = 8.0
 
@@ -49,7 +53,7 @@ _CONTEXT_WORDS = (
 )
 _CONTEXT = re.compile(
     rb"(?<![A-Za-z])(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access_key|private_key"
-    rb"|credentials?|bearer|authorization)(?:[\"']?\x20{0,8}([:=])\x20{0,8}|\x20(?:is\x20)?)([\"']?)([^\s\"'<>,;]{8,})",
+    rb"|credentials?|bearer|authorization)(?:[\"']?\x20*([:=])\x20*|\x20(?:is\x20)?)([\"']?)([^\s\"'<>,;]{8,})",
     re.IGNORECASE,
 )
 _REST = re.compile(rb"[^\s\"'<>,;]*")
@@ -71,10 +75,21 @@ _REPEAT = re.compile(r"(.{1,16}?)\1+", re.DOTALL)
 _PROSE_SIGNS = re.compile(r"[-/()\[\]{}.:*–—‘’“”…]+")
 
 
-@lru_cache(maxsize=1)
-def _dictionary() -> ahocorasick.Automaton:
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@lru_cache(maxsize=2)
+def _dictionary(vocabulary: str) -> ahocorasick.Automaton:
+    """Words with their cost: those tried first, then the vocabulary's whole words of three letters or more by rank."""
+    with open(vocabulary, encoding="utf-8") as file:
+        ids = json.load(file)["model"]["vocab"]
+    whole = sorted((n, t[: -len(_WORD_END)]) for t, n in ids.items() if t.endswith(_WORD_END))
+    ranked = dict.fromkeys([*_WORDS, *[w for _, w in whole if len(w) >= 3 and w.isascii() and w.isalpha()]])
     words = ahocorasick.Automaton()
-    for rank, word in enumerate(_WORDS, 1):
+    for rank, word in enumerate(ranked, 1):
         words.add_word(word, (len(word), math.log10(rank + 1)))
     words.make_automaton()
     return words
@@ -92,12 +107,12 @@ def _neighbours() -> dict[str, str]:
     return near
 
 
-def _parts(value: str) -> list[tuple[int, int, float]]:
+def _parts(value: str, vocabulary: str) -> list[tuple[int, int, float]]:
     """(start, end, log10 of guesses) of everything in ``value`` that is cheaper than brute force."""
     small, parts = value.lower(), []
     plain = small.translate(_LEET)
     if len(plain) == len(value) == len(small):
-        for end, (length, cost) in _dictionary().iter(plain):
+        for end, (length, cost) in _dictionary(vocabulary).iter(plain):
             start = end + 1 - length
             written = value[start : end + 1]
             changed = sum(a != b for a, b in zip(small[start : end + 1], plain[start : end + 1], strict=True))
@@ -118,10 +133,10 @@ def _parts(value: str) -> list[tuple[int, int, float]]:
     return parts
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, vocabulary: str | None = None) -> float:
     """log10 of the guesses that the cheapest cut of ``value`` takes. Brute force takes 10 guesses a character."""
     ending: dict[int, list[tuple[int, float]]] = {}
-    for start, end, cost in _parts(value):
+    for start, end, cost in _parts(value, vocabulary or default_vocabulary()):
         ending.setdefault(end, []).append((start, cost))
     best = [0.0] * (len(value) + 1)
     for end in range(1, len(value) + 1):
@@ -136,11 +151,11 @@ def _is_prose(text: str) -> bool:
     return text.isalpha() or len(words) <= 3 and all(map(written, words))
 
 
-def _is_secret(mark: bytes, quote: bytes, value: bytes) -> bool:
+def _is_secret(mark: bytes, quote: bytes, value: bytes, vocabulary: str | None) -> bool:
     text = value.decode("utf-8", "replace")
     if not (mark or quote) and _is_prose(text):
         return False
-    return guess_cost(text) >= MIN_GUESSES
+    return guess_cost(text, vocabulary) >= MIN_GUESSES
 
 
 def _rests(data: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -161,7 +176,7 @@ def _rests(data: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
     return found
 
 
-def find_spans(text: str) -> list[tuple[str, int, int]]:
+def find_spans(text: str, vocabulary: str | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then kind."""
     if not text:
         return []
@@ -183,7 +198,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             end = start + len(value)
             if len(value) < 8 or any(s <= start and end <= e for s, _, e in base):
                 continue
-            if _is_secret(m.group(1) or b"", m.group(2), value):
+            if _is_secret(m.group(1) or b"", m.group(2), value, vocabulary):
                 spans.append((start, 3, end))
     if not spans:
         return []
@@ -202,12 +217,12 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Counts of the base kinds, the digest of the base spans and all spans, for every row."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(keys: list, texts: list[str]) -> dict[str, list]:
-        found = [find_spans(t) for t in texts]
+        found = [find_spans(t, vocabulary) for t in texts]
         base = [[s for s in spans if s[0] != "guess"] for spans in found]
         counts = {f"n_{k}": [sum(s[0] == k for s in spans) for spans in base] for k in KINDS[:3]}
         digests = [hashlib.sha256(joined(spans).encode()).hexdigest() for spans in base]
@@ -217,10 +232,10 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return map_texts(docs, run, schema, key, text)
 
 
-def redact(text: str, mark: str = "[SECRET]") -> str:
+def redact(text: str, mark: str = "[SECRET]", vocabulary: str | None = None) -> str:
     """``text`` with every secret, overlapping ones together, replaced by ``mark``."""
     out, last, open_from = [], 0, -1
-    for _, start, end in find_spans(text):
+    for _, start, end in find_spans(text, vocabulary):
         if start >= last or open_from < 0:
             out += [text[last:start], mark]
             open_from = start
@@ -228,7 +243,7 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
     return "".join([*out, text[last:]])
 
 
-def redacted_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+def redacted_documents(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``docs``, all columns, with secrets in ``text`` replaced; null stays null."""
     at = docs.columns.index(text)
 
@@ -237,7 +252,7 @@ def redacted_documents(docs: DataFrame, text: str = "text") -> DataFrame:
             for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
                 column = part.column(at)
-                clean = pa.array([None if t is None else redact(t) for t in column.to_pylist()], type=column.type)
+                clean = pa.array([None if t is None else redact(t, vocabulary=vocabulary) for t in column.to_pylist()], type=column.type)
                 yield part.set_column(at, part.schema.field(at), clean)
 
     return docs.mapInArrow(run, docs.schema)

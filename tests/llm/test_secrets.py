@@ -7,7 +7,7 @@ import string
 
 from common import documents, odd_rows
 
-from assetlake.llm.secrets import find_spans, guess_cost, redact, scan_secrets
+from assetlake.llm.secrets import _parts, default_vocabulary, find_spans, guess_cost, redact, scan_secrets
 from assetlake.tables import table
 
 PLAIN = (
@@ -88,3 +88,31 @@ def test_easy_values_and_words_of_the_text_stay():
         "the token (embeddings) of", "token embedding(s) and/or", "bearer Friedrich-Wilhelm…", "secret Geheimnis—so", "token and/or/not",
     ):
         assert find_spans(text) == [], text
+
+
+def test_plain_words_after_a_credential_word_stay():
+    for text in (
+        "pwd: directory name", "passphrase: international", "bearer: responsibility", "WWW-Authorization: Digestive", 'token "something"',
+        "pwd:            Dragonfly", "secret = correcthorse", "passcode: SUNFLOWER",
+    ):
+        assert not [s for s in find_spans(text) if s[0] == "guess"], text
+    assert redact("pwd:            x8Kq2!zPw9Lm") == "pwd:            [SECRET]"
+
+
+def test_guess_cost_is_the_least_of_all_cuts():
+    pick, alphabet = random.Random(11), ["a", "b", "1", "2", "pass", "word", "qwe", "2019", "-", "dragon", "aa", "K", "0", "x"]
+
+    def cuts(value: str, costs: dict, start: int = 0):
+        if start == len(value):
+            yield 0.0
+        for end in range(start + 1, len(value) + 1):
+            own = min(costs.get((start, end), 99.0), 1.0 if end == start + 1 else 99.0)
+            if own < 99.0:
+                yield from (own + rest for rest in cuts(value, costs, end))
+
+    for _ in range(1_000):
+        value = "".join(pick.choice(alphabet) for _ in range(pick.randrange(1, 5)))[:12]
+        costs: dict = {}
+        for start, end, cost in _parts(value, default_vocabulary()):
+            costs[start, end] = min(cost, costs.get((start, end), cost))
+        assert abs(guess_cost(value) - min(cuts(value, costs))) < 1e-9, value
