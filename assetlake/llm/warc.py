@@ -10,6 +10,9 @@ Reader. Archives are read with Spark's binary file source, so a file may have up
 ``RECORDS_PER_FILE`` keeps files far below. Each member is unpacked and checked (gzip's CRC and length, version line, header
 block, content length, the end of the record, the payload's digest). After a failed check the reader looks for the next valid
 gzip member or, in plain archives, the next version line, reads on from there and reports the bytes between as a gap.
+A sound member that holds something else than one record (a whole archive packed at once, a broken record among others) is
+searched like a plain archive: its records and gaps have ``inner_offset`` and ``inner_length`` in the unpacked
+content; the first of them carries the member's place in the file.
 
 Defined cases: null html is an empty payload; payloads are compared by SHA-1 and length; rows that share an id
 and a payload are equal records, all responses if the id is the payload's largest; a null id is
@@ -40,7 +43,7 @@ _VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
 RECORD_SCHEMA = (
     "path string, kind string, offset bigint, length bigint, reason string, record_type string, record_id string, "
     "target_uri string, refers_to string, payload_digest string, headers map<string,string>, payload binary, "
-    "payload_bytes bigint"
+    "payload_bytes bigint, inner_offset bigint, inner_length bigint"
 )
 
 
@@ -211,6 +214,7 @@ def salvage(data: bytes) -> Iterator[dict]:
 def _salvage_members(data: bytes) -> Iterator[dict]:
     at = 0
     while at < len(data):
+        content = b""
         try:
             content, end = _member(data, at)
             while True:  # a long record goes on in the next members
@@ -226,14 +230,28 @@ def _salvage_members(data: bytes) -> Iterator[dict]:
                     content, end = content + more, beyond
             if close != len(content):
                 raise _Failed("bytes after the record")
-            row = _row(headers, block, at, end - at)
+            rows = [_row(headers, block, at, end - at)]
         except _Failed as failed:
-            end = _next_member(data, at + 1)
-            row = _gap(at, end - at, failed.reason)
-        yield row
+            rows = _inside(content, at, end) if content else []
+            if not rows:
+                end = _next_member(data, at + 1)
+                rows = [_gap(at, end - at, failed.reason)]
+        yield from rows
         at = end
 
 
+def _inside(content: bytes, at: int, end: int) -> list[dict]:
+    """Records and gaps of a sound member's content; none if there is no record in it."""
+    rows = list(_salvage_plain(content))
+    if not any(r["kind"] == "record" for r in rows):
+        return []
+    places = [(at, end - at)] + [(end, 0)] * (len(rows) - 1)
+    return [
+        {**r, "inner_offset": r["offset"], "inner_length": r["length"], "offset": offset, "length": length}
+        for r, (offset, length) in zip(rows, places, strict=True)
+    ]
+
+
 def _next_version(data: bytes, start: int) -> int:
     """Where the next version line is that starts a line, or that a whole record follows (after a record that was cut off)."""
     for found in _VERSION.finditer(data, start):

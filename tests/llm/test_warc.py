@@ -95,3 +95,17 @@ def test_a_wrong_digest_is_a_gap():
 def test_members_are_plain_gzip():
     data = members(RECORDS[0]) + members(RECORDS[1])
     assert gzip.decompress(data) == RECORDS[0] + RECORDS[1] and data[-1] == 0
+
+
+def test_members_that_hold_several_records():
+    whole = gzip.compress(b"".join(RECORDS[:5]))
+    rows = covers(whole)
+    assert ids(rows) == [page_urn(i) for i in range(1, 6)] and {r["kind"] for r in rows} == {"record"}
+    assert [r["inner_offset"] for r in rows] == [sum(map(len, RECORDS[:i])) for i in range(5)]
+    mixed = members(RECORDS[0]) + gzip.compress(RECORDS[1] + RECORDS[2]) + members(RECORDS[3])
+    assert ids(covers(mixed)) == [page_urn(i) for i in range(1, 5)]
+    broken = RECORDS[2][: len(RECORDS[2]) // 2] + b"\r\n"
+    rows = covers(members(RECORDS[0]) + gzip.compress(RECORDS[1] + broken + RECORDS[3]) + members(RECORDS[4]))
+    assert ids(rows) == [page_urn(i) for i in (1, 2, 4, 5)] and [r["kind"] for r in rows].count("gap") == 1
+    nothing = covers(members(RECORDS[0]) + gzip.compress(b"no record at all") + members(RECORDS[1]))
+    assert [r["kind"] for r in nothing] == ["record", "gap", "record"] and "inner_offset" not in nothing[1]
