@@ -12,7 +12,8 @@ do, so the prefix that has to be joined is one token: the rarest, by its count o
 4. The places that are left are grouped by text and joined with the texts; the words of such a text are taken once and
    compared at each place. No step copies a text, or its words, for each of its places.
 
-Token, prefix and place sets are broadcast up to ``BROADCAST_ROWS`` rows, beyond that the joins are shuffled.
+Tokens and keys of texts are broadcast up to ``BROADCAST_ROWS`` rows, prefixes up to ``BROADCAST_WIDE_ROWS``; beyond that the
+joins are shuffled.
 
 Defined cases: null and empty texts have no words and no hits; rows that share id and text have the
 same result each; rows that share only the id do not mix; items without words have no window; items without id
@@ -30,7 +31,7 @@ from assetlake.llm.columns import alnum_words, computed, shingle_hashes, small_e
 WINDOW = 10
 SHINGLE = 5
 BROADCAST_ROWS = 1_000_000
-#: Rows that hold the words of a window, or the windows of a text.
+#: Rows that hold the words of a window.
 BROADCAST_WIDE_ROWS = 200_000
 
 
@@ -84,7 +85,10 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     places = places.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "places")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     same_text = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    met = texts.join(small_enough(store(places, "places"), BROADCAST_WIDE_ROWS), same_text)
+    places = store(places, "places")
+    # Only keys are broadcast; the places meet the texts that they are in by a shuffle of just these.
+    texts = texts.join(small_enough(places.select("_id", "_hash"), BROADCAST_ROWS), same_text, "left_semi")
+    met = texts.join(places.hint("merge"), same_text)
     taken = met.select("doc_id", "text_hash", "places", computed(alnum_words(F.col("text"))).alias("words"))
     # As an array the places stay one row a text until they have been compared.
     true = F.filter("places", lambda p: F.slice("words", p["start"] + 1, F.size(p["win"])) == p["win"])
