@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from assetlake.functions.paths import join_path
 from assetlake.plans.runlog import append_run, observed, schema_hash
 from assetlake.schema import RowType, as_row_type, check_rows
-from assetlake.session import is_missing_path
+from assetlake.session import is_missing_path, stored
 from assetlake.sources.formats import TableFormat, read_table, write_table
 
 Asset = NamedTuple
@@ -217,6 +217,9 @@ def _write(spark: SparkSession, node: TableAsset, df: DataFrame, path: str, run_
     rejected rows of other runs stay.
     """
     checked = check_rows(df, node.output) if node.output is not None else df.withColumn("_reason", F.lit(None).cast("string"))
+    if node.output is not None and not df._jdf.queryExecution().analyzed().deterministic():
+        # Good and rejected rows are written one after the other; both have to be those of one evaluation.
+        checked = stored(checked, "checked")
     if slots is not None:
         checked = checked.filter(reduce(lambda a, b: a | b, slots) | F.col("_reason").isNotNull())
     good = F.col("_reason").isNull()

@@ -196,19 +196,20 @@ def materialize_delta(spark: SparkSession, root: str, asset: RollupAsset, change
         if not is_missing_path(error):
             raise
         raise ValueError(f"{asset.name} has not been materialized yet") from error
-    merged = stored(rollup.merged(table, rollup.delta(changes)), "touched")
+    delta = stored(rollup.delta(changes), "delta")
+    # Only partitions with touched groups are read and written.
+    parts = {c: f"`{c}`" for c in asset.partition_by}
+    near = only_groups(table, parts, delta) if parts else table
+    merged = stored(rollup.merged(near, delta), "touched")
     lost = merged.filter("_lost and rows > 0")
     fresh = rollup.recomputed(lost, source).select(*[F.col(f.name).cast(f.dataType) for f in table.schema])
     kept = merged.filter("not _lost and rows > 0").select(*table.columns)
     touched = merged.select(F.struct(*rollup.by).alias("_group"))
-    rest = table
-    if asset.partition_by:
-        rest = only_groups(rest, {c: f"`{c}`" for c in asset.partition_by}, merged)
-    rest = rest.withColumn("_group", F.struct(*rollup.by)).join(touched, "_group", "left_anti").drop("_group")
+    rest = near.withColumn("_group", F.struct(*rollup.by)).join(touched, "_group", "left_anti").drop("_group")
     # The table cannot be written while it is read.
     rows = stored(rest.unionByName(kept).unionByName(fresh), "adjusted")
     counts = merged.agg(F.count("*"), F.count_if(F.expr("_lost and rows > 0")), F.count_if(F.col("rows") == 0)).first()
-    if counts[0] or not asset.partition_by:
+    if counts[0]:
         write_table(rows, path, asset.format, asset.partition_by, replace_partitions=bool(asset.partition_by))
     if asset.partition_by and counts[2]:
         slots = merged.select(*asset.partition_by).distinct().exceptAll(rows.select(*asset.partition_by).distinct())

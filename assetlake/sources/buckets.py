@@ -210,10 +210,6 @@ class Folder(_Keyed):
     def path(self) -> str:
         return self.name if isinstance(self.parent, Bucket) else join_path(self.parent.path, self.name)
 
-    @property
-    def prefix(self) -> str:
-        return f"{self.path}/*"
-
     def __str__(self) -> str:
         return f"{self.bucket.root}/{self.path}/"
 

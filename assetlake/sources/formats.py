@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from assetlake.schema import RowType, as_row_type, nullable
 
 
+# The formats a table can have, by the names that Spark gives them.
 class TableFormat(Enum):
     AVRO = "avro"
     CSV = "csv"

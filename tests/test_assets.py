@@ -188,3 +188,17 @@ def test_snapshot_is_written_once(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         snapshot_sink(spark.range(2), str(tmp_path), "2024-01-01-00-00-00")
+
+
+def test_rows_of_a_transform_by_chance_are_written_once(spark, tmp_path):
+    """Which rows are rejected changes from one evaluation to the next; none may be lost or come twice."""
+    numbers = source("numbers", load=lambda s: s.range(2_000))
+
+    @numbers.table(output="id long, n int")
+    def by_chance(df):
+        return df.withColumn("n", F.when(F.rand() < 0.5, "1").otherwise("none"))
+
+    [done] = materialize(spark, str(tmp_path), [by_chance])
+    good, bad = by_chance.read(spark, str(tmp_path)), spark.read.parquet(f"{by_chance.path(str(tmp_path))}__rejected")
+    assert done.rows == good.count() and done.rejected == bad.count() and 0 < done.rejected < 2_000
+    assert sorted(r["id"] for r in good.select("id").unionByName(bad.select("id")).collect()) == list(range(2_000))

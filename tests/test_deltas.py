@@ -40,7 +40,7 @@ def test_any_changes_give_what_a_full_run_gives(spark, tmp_path, partition_by):
     now = {"rows": state}
     asset = rollup_table("sales", source("lines", load=lambda s: frame(now["rows"])), ROLLUP, partition_by, output)
     materialize(spark, str(tmp_path), [asset])
-    for step in range(4):
+    for step in range(3):
         before = now["rows"]
         kept = [r for r in before if pick.random() > 0.2]
         fresh = random_rows(pick, 25)
@@ -52,7 +52,7 @@ def test_any_changes_give_what_a_full_run_gives(spark, tmp_path, partition_by):
         assert done.touched >= done.recomputed and (step != 2 or done.removed)
         assert rows_of(asset.read(spark, str(tmp_path)).select(*ROLLUP.columns)) == rows_of(ROLLUP.full(frame(now["rows"])))
     runs = read_runs(spark, f"{tmp_path}/{RUN_LOG}")
-    assert runs.filter("slots = array('delta')").count() == 4
+    assert runs.filter("slots = array('delta')").count() == 3
 
 
 def test_changes_count_repeats_and_cancel(spark):

@@ -41,7 +41,6 @@ def test_scan_without_body_does_not_read_it(spark, bucket):
 def test_folder_names(bucket):
     folder = bucket.folder("a/b") / "c"
     assert folder.path == "a/b/c"
-    assert folder.prefix == "a/b/c/*"
     assert str(folder) == f"{bucket.root}/a/b/c/"
 
 
