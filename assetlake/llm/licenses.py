@@ -48,6 +48,7 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "All-rights-reserved": "Copyright holders. All rights reserved. No part of this work may be reproduced",
+    "Rights-reserved": "All rights reserved.",
 }
 
 

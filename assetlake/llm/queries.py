@@ -65,14 +65,15 @@ _TEMPLATE_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
 
 
 @query("op6_license_scans", f"""
-    with t as (select template_id, {_ALNUM} as w from (values {_TEMPLATE_ROWS}) v(template_id, text)),
-    ts as (select distinct template_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') as s, len(w) - 4 as n
-        from (select template_id, w, unnest(range(1, len(w) - 3)) as i from t)),
+    with t as (select *, least(5, len(w)) as width from (
+        select template_id, {_ALNUM} as w from (values {_TEMPLATE_ROWS}) v(template_id, text))),
+    ts as (select distinct template_id, width, list_aggregate(w[i:i + width - 1], 'string_agg', ' ') as s
+        from (select template_id, width, w, unnest(range(1, len(w) - width + 2)) as i from t)),
     sizes as (select template_id, count(*) as n from ts group by 1),
     d as (select doc_id, {_ALNUM} as w from documents),
-    ds as (select doc_id, i - 1 as pos, list_aggregate(w[i:i + 4], 'string_agg', ' ') as s
-        from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5)),
-    hits as (select ds.doc_id, ts.template_id, ds.pos, ts.s, sizes.n from ds join ts using (s) join sizes using (template_id)),
+    ds as (select doc_id, width, i - 1 as pos, list_aggregate(w[i:i + width - 1], 'string_agg', ' ') as s
+        from (select doc_id, w, width, unnest(range(1, len(w) - width + 2)) as i from d, (select distinct width from t) where len(w) >= width)),
+    hits as (select ds.doc_id, ts.template_id, ds.pos, ts.s, sizes.n from ds join ts using (width, s) join sizes using (template_id)),
     regions as (select doc_id, template_id, n, s, pos // n + unnest([-2, -1, 0, 1]) as k, pos from hits),
     held as (select doc_id, template_id, k, n from regions
         where k >= 0 and pos >= (k - 1) * n and pos < (k + 3) * n group by 1, 2, 3, 4 having count(distinct s) >= 0.8 * n),
