@@ -22,6 +22,9 @@ MEMBER_STATES = ("AWAITING_FULFILLMENT", "PROVISIONING", "BOOTSTRAPPING", "RUNNI
 # Node types in report order, and the group types they are stored as.
 NODE_GROUPS = {"primary": "MASTER", "core": "CORE", "task": "TASK"}
 
+#: Globs of a table up to this size, with their regular expressions, are sent to every executor.
+BROADCAST_GLOBS = 8 << 20
+
 
 def glob_filter(df: DataFrame, column: str, patterns: Sequence[str], distinct_keys: bool = False) -> DataFrame:
     """Rows whose name matches any of the globs; all rows when there is no pattern.
@@ -43,15 +46,20 @@ def glob_filter_table(df: DataFrame, column: str, patterns: DataFrame, pattern:
     The longest literal start of a glob is its index (or its literal end, or a piece between wildcards, where that is all
     it has). Names are cut to the same texts and joined by equality, and only the globs found in this way are tried as
     regular expressions. Each distinct name is looked up once. All rows come if the table has no globs.
+
+    A name is cut into about as many texts as it has characters, which Spark's estimates do not see: the side of the names
+    is never broadcast. The globs are up to ``BROADCAST_GLOBS`` bytes, and with more of them both sides are shuffled.
     """
     globs = patterns.select(F.col(pattern).alias("_glob")).dropna().groupBy("_glob").agg(F.count("*").alias("_times"))
     globs = globs.select("_times", glob_regex(F.col("_glob")).alias("_regex"), glob_anchor(F.col("_glob")).alias("_anchor"))
-    # One number for each kind and length that occurs: as many as the longest glob has characters, at most.
-    lengths = globs.select("_anchor.kind", F.char_length("_anchor.key").alias("n")).distinct().collect()
+    # One row for each kind and length that occurs: as many as the longest glob has characters, at most.
+    size = F.octet_length("_regex") + F.octet_length("_anchor.key") + 64
+    lengths = globs.groupBy("_anchor.kind", F.char_length("_anchor.key").alias("n")).agg(F.sum(size).alias("size")).collect()
     if not lengths:
         return df if not patterns.limit(1).count() else df.limit(0)
     names = df.select(F.col(column).alias("_name")).dropna().distinct()
     looked_up = names.select("_name", F.explode(name_anchors(F.col("_name"), sorted((r["kind"], r["n"]) for r in lengths))).alias("_anchor"))
+    globs = globs.hint("broadcast" if sum(r["size"] for r in lengths) <= BROADCAST_GLOBS else "merge")
     tried = looked_up.join(globs, "_anchor").filter(F.expr("_name rlike _regex"))
     hits = tried.groupBy("_name").agg(F.sum("_times").alias("_times"))
     if distinct_keys:

@@ -97,6 +97,20 @@ def test_many_globs_meet_names_by_equality(spark):
         assert found.count() == 2_000
 
 
+@pytest.mark.parametrize("limit, join", [(8 << 20, "BuildRight"), (0, "SortMergeJoin")])
+def test_texts_of_names_are_not_broadcast(spark, monkeypatch, limit, join):
+    """A name becomes a hundred texts; an estimate by names takes them for small."""
+    from assetlake.operators import filters
+
+    monkeypatch.setattr(filters, "BROADCAST_GLOBS", limit)
+    names = spark.range(200).selectExpr("concat('s3://bucket/', id, '/', repeat('x', 60), '/part.gz') as name")
+    globs = spark.range(3_000).selectExpr("concat('*/', id, '?*') as pattern")
+    found = filters.glob_filter_table(names, "name", globs)
+    joins = [x for x in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x and "_anchor" in x]
+    assert len(joins) == 1 and join in joins[0]
+    assert found.count() == sum(len({s[:n] for n in range(1, len(s))}) for s in map(str, range(200))) + 200
+
+
 def test_members_in_other_states_are_passed_over(spark):
     from assetlake.operators.filters import first_members
 
