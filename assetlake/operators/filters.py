@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assetlake.functions.globs import glob_anchor, glob_regex, matches_any_glob, matching_globs, name_anchors
+from assetlake.operators.ordered import range_count
 
 # The states a cluster can be in, and those listed when none are asked for.
 CLUSTER_STATES = (
@@ -64,7 +65,8 @@ def glob_filter_table(df: DataFrame, column: str, patterns: DataFrame, pattern:
     hits = tried.groupBy("_name").agg(F.sum("_times").alias("_times"))
     if distinct_keys:
         return df.join(hits.withColumnRenamed("_name", column), column, "left_semi").select(*df.columns)
-    found = df.join(hits.withColumnRenamed("_name", column), column)
+    # By a fixed number: coalesced by their own small size, all names would get their many rows in one task.
+    found = df.join(hits.withColumnRenamed("_name", column).repartition(range_count(df), column), column)
     return found.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*df.columns)
 
 
