@@ -76,6 +76,20 @@ def object_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.get(objects, requested).select("key", "found", "size")
 
 
+def page_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``url``, ``body`` and a ``key`` of its own for every page, as several pages may have one url: the url and a digest of
+    the row's place in the files, the same each time it is read. A page without a url is no object.
+    """
+    place = F.md5(F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").cast("binary"))
+    pages = table(spark, sf_dir, "pages").select(F.col("url"), F.col("html").alias("body"), F.concat("url", F.lit("#"), place).alias("key"))
+    return pages.filter("url is not null")
+
+
+def page_url(key: Column) -> Column:
+    """The url of a page's key."""
+    return F.left(key, F.char_length(key) - F.lit(33))
+
+
 @query("object_put", """
     select url as key, octet_length(encode(body)) as size, md5(body) as etag from (
         select url, case when starts_with(url, 'http://') then upper(lang) || html else html end as body
@@ -85,12 +99,12 @@ def object_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 def object_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Put all pages, overwrite some, delete some; then read what is there."""
     bucket = Bucket("pages", work_path(spark, "bucket"))
-    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("key"), F.col("html").alias("body"))
+    pages = page_objects(spark, sf_dir)
     bucket.put(spark, pages)
-    marked = F.concat(F.upper(F.element_at(F.split("key", "/"), 4)), F.col("body"))
-    bucket.put(spark, pages.filter(F.col("key").startswith("http://")).withColumn("body", marked))
-    bucket.delete(spark, pages.filter(F.col("key").contains("spam-farm")).select("key"))
-    return bucket.objects(spark).select("key", "size", "etag")
+    marked = F.concat(F.upper(F.element_at(F.split("url", "/"), 4)), F.col("body"))
+    bucket.put(spark, pages.filter(F.col("url").startswith("http://")).withColumn("body", marked))
+    bucket.delete(spark, pages.filter(F.col("url").contains("spam-farm")).select("key"))
+    return bucket.objects(spark).select(page_url(F.col("key")).alias("key"), "size", "etag")
 
 
 @query("upsert_latest", """
