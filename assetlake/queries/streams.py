@@ -11,7 +11,7 @@ from assetlake.functions.durations import duration
 from assetlake.functions.records import encode_json
 from assetlake.operators.ordered import number_rows
 from assetlake.queries import query
-from assetlake.queries.objects import moment
+from assetlake.queries.objects import moment, page_objects, page_url
 from assetlake.session import work_path
 from assetlake.sources.buckets import Bucket
 from assetlake.streaming import windows as w
@@ -165,8 +165,8 @@ def fifo_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def object_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Puts, overwrites and deletes of a bucket delivered to two subscribers with prefixes."""
     bucket, out = Bucket("pages", work_path(spark, "bucket")), work_path(spark, "events")
-    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("key"), F.col("html").alias("body"))
-    secure, plain = F.col("key").startswith("https://"), F.col("key").startswith("http://")
+    pages = page_objects(spark, sf_dir)
+    secure, plain = F.col("url").startswith("https://"), F.col("url").startswith("http://")
     bucket.put(spark, pages)
     bucket.put(spark, pages.filter(secure).withColumn("body", F.concat("body", F.lit("x"))))
     bucket.delete(spark, pages.filter(plain).select("key"))
@@ -180,7 +180,7 @@ def object_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         write_batch(events, f"{out}/plain", batch_id)
 
     run_subscriptions(put_events(spark, bucket), bucket, work_path(spark, "checkpoint")).awaitTermination()
-    return spark.read.schema("scope string, key string, size long").parquet(f"{out}/*/*")
+    return spark.read.schema("scope string, key string, size long").parquet(f"{out}/*/*").withColumn("key", page_url(F.col("key")))
 
 
 @query("slot_agg", """

@@ -158,3 +158,22 @@ def test_get_opens_only_what_is_asked_for(spark, tmp_path):
     assert bytes((bucket / "a").get(spark, names[0][2:]).first()["body"]) == b"body 3"
     many = spark.range(1_500).selectExpr("if(id = 7, 'a/put.txt', concat('a/none', id)) as key")
     assert bucket.get(spark, many, strict=False).filter("found").count() == 1
+
+
+@pytest.mark.parametrize("name", ["object_put", "object_event_stream"])
+def test_pages_may_share_a_url(spark, tmp_path, name):
+    """Several pages of one url, and whole rows that come twice, are objects of their own."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from oracle import expected_rows, rows_of
+
+    from assetlake import queries as registry
+
+    registry.load()
+    urls = ["https://a.com/en/1#x", "http://a.com/de/2", "http://spam-farm.net/en/3", "https://a.com"]
+    rows = [(i, url, f"body {i % 5}") for i in range(9) for url in urls] + [(1, urls[1], "body 1"), (7, urls[0], None)]
+    pq.write_table(pa.table(dict(zip(["page_id", "url", "html"], zip(*rows)))), tmp_path / "pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet'")
+    assert rows_of(registry.QUERIES[name](spark, str(tmp_path))) == expected_rows(con, registry.ORACLES[name])[1]
