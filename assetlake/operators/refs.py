@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from assetlake.operators.graph import ancestors
 from assetlake.operators.objects import latest
 from assetlake.operators.versions import branch_merge
+from assetlake.session import stored
 
 _REF = "ref"
 
@@ -22,10 +23,11 @@ def ref_states(changes: DataFrame, commits: DataFrame, refs: DataFrame, key: str
     """``ref`` and the row of every key that the ref sees: the one of the nearest commit behind it.
 
     A key whose nearest change is a tombstone is absent. All refs are computed in one plan; each task keeps its best row
-    per ref and key before the shuffle.
+    per ref and key before the shuffle. What the refs see is stored, so that its size is known: few commits are broadcast,
+    and the changes of a large commit are not brought into one task.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    seen = ancestors(commits, refs.select(_REF, "commit_id"))
+    seen = stored(ancestors(commits, refs.select(_REF, "commit_id")), "seen")
     rows = changes.join(seen, "commit_id")
     newest = latest(rows, [_REF, *keys], [F.col("distance")], tombstone)
     return newest.select(_REF, *[c for c in changes.columns if c != "commit_id"])

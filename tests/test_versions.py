@@ -114,3 +114,11 @@ def test_impact_with_cycle_and_diamond(spark):
     roots = spark.createDataFrame([("a",)], "node string")
     assert {tuple(r) for r in impact(edges, roots).collect()} == {("b", 1), ("c", 1), ("d", 2), ("a", 3)}
     assert impact(edges, roots.filter("node = 'zzz'")).count() == 0
+
+
+def test_changes_are_not_dealt_by_their_few_commits(spark):
+    changes = spark.range(2_000_000).selectExpr("if(id % 3 = 0, 'c1', 'c2') as commit_id", "id as k", "id as v")  # too large for a broadcast
+    commits, refs = history(spark, [("main", "c3")])
+    states = ref_states(changes, commits, refs, "k")
+    plan = states._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(commit_id" not in plan and "BroadcastHashJoin [commit_id" in plan
