@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from assetlake.operators.ordered import _KEY, _PART, _dealt
+from assetlake.operators.ordered import _KEY, _PART, _dealt, _earlier
 from assetlake.session import stored
 
 #: Parts that a range of values is cut into in each round of the search for quantiles.
@@ -60,6 +60,62 @@ def with_range_frames(df: DataFrame, group: Sequence[str], order: str, preceding
     return placed.unionByName(df.filter(F.col(order).isNull()), allowMissingColumns=True)
 
 
+#: What a frame can be put together from parts for: how rows are taken together, and how parts are.
+_TOTALS = {"count": (F.count, F.sum), "sum": (F.sum, F.sum), "min": (F.min, F.min), "max": (F.max, F.max)}
+
+
+def range_totals(df: DataFrame, group: Sequence[str], order: str, preceding: int, totals: Mapping[str, tuple[str, Column]],
+                 parts: int | None = None) -> DataFrame:
+    """Counts, sums, least and greatest values over the frames of ``with_range_frames``, for a whole number ``order``.
+
+    ``totals`` names the columns: ``{"n": ("count", F.lit(1)), ...}``; a row without a place gets nulls. ``with_range_frames``
+    takes any window function, but Spark then reads every frame anew; here the cost does not follow the width of the frame.
+
+    The values of a group are cut into blocks of ``preceding``. A frame begins in the block before its row's: it is the end of
+    that block, from where the frame begins, and the beginning of its own block, up to the row. Both are running totals, one
+    from each side, over rows that are dealt by sampled ranges; what the other ranges of a block hold is carried over. Rows
+    of one value are taken together first.
+    """
+    if not isinstance(df.schema[order].dataType, T.IntegralType) or int(preceding) != preceding or preceding < 0:
+        raise TypeError("range totals need an order and a width in whole numbers")
+    names = {name: f"_t{i}" for i, name in enumerate(totals)}
+    of_rows = [_TOTALS[kind][0](column).alias(names[name]) for name, (kind, column) in totals.items()]
+    of_parts = {names[name]: _TOTALS[kind][1] for name, (kind, _) in totals.items()}
+    placed = df.filter(F.col(order).isNotNull()).withColumns({"_of": F.struct(*group), "_v": F.col(order).cast("bigint")})
+    frames = placed.groupBy("_of", "_v").agg(*of_rows)
+    if preceding:
+        frames = _joined_blocks(frames, F.lit(int(preceding)).cast("bigint"), of_parts, parts)
+    found = placed.join(frames, ["_of", "_v"]).select(*df.columns, *[F.col(t).alias(name) for name, t in names.items()])
+    return found.unionByName(df.filter(F.col(order).isNull()), allowMissingColumns=True)
+
+
+def _joined_blocks(values: DataFrame, width: Column, totals: Mapping[str, Callable], parts: int | None) -> DataFrame:
+    """``_of``, ``_v`` and the totals of each value's frame, from one row of totals a value."""
+    v = F.col("_v")
+    block = v - F.pmod(v, width)
+    # Each value in its own block, and, without totals, where its frame begins: before what has that very value.
+    ends = F.struct(block.alias("_block"), v.alias("_at"), F.lit(1).alias("_side"))
+    begins = F.struct((block - width).alias("_block"), (v - width).alias("_at"), F.lit(0).alias("_side"))
+    places = values.select("*", F.inline(F.array(begins, ends)))
+    own = F.col("_side") == 1
+    rows = _dealt(places.withColumns({t: F.when(own, F.col(t)) for t in totals}), ["_of", "_block"], ["_at", "_side"], parts)
+    inside = Window.partitionBy(_PART, _KEY)
+    upto = inside.orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    since = inside.orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    running = {t: F.when(own, total(t).over(upto)).otherwise(total(t).over(since)) for t, total in totals.items()}
+    local = rows.select("_of", "_v", _PART, _KEY, "_side", F.struct(*[c.alias(t) for t, c in running.items()]).alias("_here"))
+    whole = rows.groupBy(_PART, _KEY).agg(*[total(t).alias(t) for t, total in totals.items()])
+    later = Window.partitionBy(_KEY).orderBy(F.desc(_PART)).rowsBetween(Window.unboundedPreceding, -1)
+    carried = whole.select(_PART, _KEY, *[
+        F.struct(*[total(t).over(w).alias(t) for t, total in totals.items()]).alias(name)
+        for name, w in (("_before", _earlier()), ("_after", later))
+    ])
+    elsewhere = F.when(own, F.col("_before")).otherwise(F.col("_after"))
+    both = local.join(carried, [_PART, _KEY]).select("_of", "_v", "_here", elsewhere.alias("_there"))
+    pieces = both.select("_of", "_v", "_here.*").unionByName(both.select("_of", "_v", "_there.*"))
+    return pieces.groupBy("_of", "_v").agg(*[total(t).alias(t) for t, total in totals.items()])
+
+
 def _ordinal(value: Column, kind: str) -> Column:
     """A whole number that rises with ``value``, exactly; equal for equal values."""
     if kind in ("tinyint", "smallint", "int", "bigint"):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assetlake.operators.frames import group_quantiles, with_range_frames
+from assetlake.operators.frames import group_quantiles, range_totals
 from assetlake.operators.intervals import interval_join
 from assetlake.operators.ordered import as_of_join, number_rows, rank_rows, sessions, with_frames
 from assetlake.queries import query
@@ -360,15 +360,12 @@ def large_group_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def large_group_range_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last two hours of more than half of all events at once: a frame by time and not by rows."""
-    def two_hours(group: list[str]) -> dict:
-        w = Window.partitionBy(*group).orderBy("at").rangeBetween(-7_200, 0)
-        total = F.sum(F.col("value").cast(MONEY)).over(w).cast("decimal(38,2)")
-        return {"n": F.count("*").over(w), "least": F.min("value").over(w), "total": total}
-
     at = F.unix_timestamp(F.date_trunc("second", "ts").cast("timestamp")) - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))
     grp = F.col("event_type").isin("click", "view", "purchase")
     events = table(spark, sf_dir, "events").select("event_id", "value", grp.alias("grp"), at.alias("at"))
-    return with_range_frames(events, ["grp"], "at", 7_200, two_hours, ["event_id"]).select("event_id", "n", "least", "total")
+    totals = {"n": ("count", F.lit(1)), "least": ("min", F.col("value")), "total": ("sum", F.col("value").cast(MONEY))}
+    framed = range_totals(events, ["grp"], "at", 7_200, totals)
+    return framed.select("event_id", "n", "least", F.col("total").cast("decimal(38,2)").alias("total"))
 
 
 _QUANTILES = (0.01, 0.25, 0.5, 0.9, 0.99)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assetlake.operators.frames import group_quantiles, with_range_frames
+from assetlake.operators.frames import group_quantiles, range_totals, with_range_frames
 
 
 def frames(group):
@@ -31,6 +31,35 @@ def test_range_frames_equal_windows(spark, parts):
     assert len(unplaced) == sum(r[1] is None for r in rows) and all(r["total"] is None and r["n"] is None for r in unplaced)
 
 
+@pytest.mark.parametrize("parts, width", [(1, 5), (6, 5), (40, 5), (40, 1), (6, 0), (6, 1_000)])
+def test_range_totals_equal_windows(spark, parts, width):
+    pick = random.Random(parts)
+    rows = [(pick.choice(["hot", "hot", "hot", "b", None]), pick.choice([None, -7, *range(-30, 30)]), pick.choice([None, *range(100)]), i) for i in range(600)]
+    rows += [("hot", 10, 1, 600 + i) for i in range(200)] + [("nulls", 1, None, 900)]
+    df = spark.createDataFrame(rows, "g string, x int, v int, i int")
+    cents = F.col("v").cast("decimal(18,2)")
+    totals = {"n": ("count", F.lit(1)), "filled": ("count", F.col("v")), "least": ("min", F.col("v")), "most": ("max", F.col("v")), "v_sum": ("sum", cents)}
+    got = range_totals(df, ["g"], "x", width, totals, parts)
+    assert got.columns == [*df.columns, *totals]
+    w = Window.partitionBy("g").orderBy("x").rangeBetween(-width, 0)
+    want = {"n": F.count("*"), "filled": F.count("v"), "least": F.min("v"), "most": F.max("v"), "v_sum": F.sum(cents)}
+    want = df.filter("x is not null").withColumns({name: c.over(w) for name, c in want.items()})
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted((tuple(r) for r in got.filter("x is not null").collect()), key=key) == sorted((tuple(r) for r in want.collect()), key=key)
+    unplaced = got.filter("x is null").collect()
+    assert len(unplaced) == sum(r[1] is None for r in rows) and all(r["n"] is None and r["v_sum"] is None for r in unplaced)
+
+
+def test_range_totals_do_not_read_frames_anew(spark, sf_dir):
+    """Running totals only: no frame of the plan slides."""
+    from assetlake.queries import relational
+
+    with pytest.raises(TypeError, match="whole numbers"):
+        range_totals(spark.range(3).select(F.col("id").cast("double").alias("x")), [], "x", 1, {"n": ("count", F.lit(1))})
+    plan = relational.large_group_range_frames(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "RowFrame, unboundedpreceding" in plan and "RangeFrame" not in plan
+
+
 @pytest.mark.parametrize("kind", ["bigint", "int", "date", "timestamp_ntz"])
 def test_quantiles_by_sorting(spark, kind):
     pick = random.Random(1)
