@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,21 +23,31 @@ STATE_CONF = {
 }
 
 
+#: Groups are dealt to so many buckets, and a batch calls Python once for each of them, however many groups there are.
+#: A checkpoint keeps to the number it began with.
+BUCKETS = 2_048
+_BUCKET, _NAME = "_bucket", "_name"
+
+
 class _Numbers(StatefulProcessor):
-    """The last number given in a group."""
+    """The last numbers given in the groups of a bucket."""
 
-    def __init__(self, order: Sequence[str], out: str):
-        self.order, self.out = list(order), out
+    def __init__(self, name: str, order: Sequence[str], out: str):
+        self.name, self.order, self.out = name, list(order), out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "n bigint")
+        self.last = handle.getValueState("last", "names array<string>, numbers array<bigint>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        last = self.last.get()[0] if self.last.exists() else 0
-        batch[self.out] = range(last + 1, last + len(batch) + 1)
-        self.last.update((last + len(batch),))
-        yield batch
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
+        last = dict(zip(*self.last.get())) if self.last.exists() else {}
+        codes, names = pd.factorize(batch[self.name], use_na_sentinel=False)
+        names = [None if pd.isna(n) else n for n in names]
+        before = np.array([last.get(n, 0) for n in names], dtype="int64")
+        batch[self.out] = before[codes] + batch.groupby(codes).cumcount().to_numpy() + 1
+        last |= dict(zip(names, (before + np.bincount(codes)).tolist()))
+        self.last.update((list(last), list(last.values())))
+        yield batch.drop(columns=[_BUCKET, _NAME], errors="ignore")
 
     def close(self) -> None:
         pass
@@ -45,18 +56,24 @@ class _Numbers(StatefulProcessor):
 def fifo_numbers(messages: DataFrame, group: str, order: Sequence[str], message: str, seen_for: str = "7 days", out: str = "seq") -> DataFrame:
     """A stream of messages numbered from 1 in their group: by batch, and by ``order`` inside a batch.
 
-    The state is one number a group, so a batch costs what its messages cost, however many came before, and a restart from
-    the checkpoint goes on with the same numbers. A message that comes again within ``seen_for`` is
+    The state is one number a group, so a batch does not depend on how many messages came before, and a restart from
+    the checkpoint goes on with the same numbers. Groups share ``BUCKETS`` states, each of which a batch reads and writes
+    whole. A message that comes again within ``seen_for`` is
     dropped; ids are kept in a state of their own, dealt by id, so that a busy group is no burden there. That state is
     kept by time of arrival: nothing is late, whatever a message says about when it was sent.
 
-    The messages of one group in one batch are sorted in one task; bound batches by ``max_files``.
+    The messages of one bucket in one batch are sorted in one task; bound batches by ``max_files``.
     """
     arrived = messages.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", seen_for)
     unique = arrived.dropDuplicatesWithinWatermark([message]).drop("_arrived")
     schema = T.StructType([*unique.schema.fields, T.StructField(out, T.LongType())])
-    grouped = unique.groupBy(group)
-    return grouped.transformWithStateInPandas(_Numbers(order, out), schema, "append", "none")
+    # Nulls have a bucket of their own, as pandas would make floats of the numbers beside them.
+    bucket = F.when(F.col(group).isNull(), -1).otherwise(F.pmod(F.xxhash64(group), F.lit(BUCKETS)).cast("int"))
+    dealt = unique.withColumn(_BUCKET, bucket)
+    name = group
+    if not isinstance(unique.schema[group].dataType, T.StringType):  # states know groups as text
+        dealt, name = dealt.withColumn(_NAME, F.col(group).cast("string")), _NAME
+    return dealt.groupBy(_BUCKET).transformWithStateInPandas(_Numbers(name, order, out), schema, "append", "none")
 
 
 def run_fifo(spark: SparkSession, queue: Queue, sink: str, checkpoint: str, max_files: int | None = None, seen_for: str = "7 days",
