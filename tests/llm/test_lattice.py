@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import math
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -48,6 +50,64 @@ def test_forward_and_expectation_by_enumeration(word):
     assert found == pytest.approx(np.array([expected[i] for i in range(len(PIECES))]))
 
 
+def odd_words(n: int) -> list[bytes]:
+    pick = random.Random(n)
+    words = {"".join(pick.choice("aabbcx\u00e9\u2603\U0001f600\u2581") for _ in range(pick.randrange(1, 14))).encode() for _ in range(n)}
+    return [b"", b"\xff\xfea", b"a\x00b\nc", b"abc" * 700, b"abcab" * 300, *sorted(words)]
+
+
+@pytest.mark.parametrize("n", [0, 3, 40, 3_000])
+def test_many_words_as_one_by_one(n, monkeypatch):
+    monkeypatch.setattr(lattice, "_GROUP_CHARS", 2_000)
+    own, words = tiny(), odd_words(n) if n else []
+    times = np.arange(1, len(words) + 1)
+    assert own.words(words) == pytest.approx(np.array([own.word(w) for w in words]), rel=1e-12)
+    plain, found = np.zeros(len(PIECES)), np.zeros(len(PIECES))
+    for word, c in zip(words, times.tolist(), strict=True):
+        own.expect(word, c, plain)
+    own.expect_words(words, times, found)
+    assert found == pytest.approx(plain, rel=1e-9)
+
+
+def test_trie_finds_every_piece():
+    pick = random.Random(5)
+    pieces = {"".join(pick.choice("ab\u00e9\U0001f600") for _ in range(pick.randrange(1, 6))): i for i in range(300)}
+    words = ["".join(pick.choice("ab\u00e9\U0001f600z") for _ in range(pick.randrange(1, 30))) for _ in range(50)]
+    start, end, piece = lattice.Trie(pieces).matches(lattice._codes(words))
+    text = "\n".join(words) + "\n"
+    singles = {(i, i + 1, -1) for i, c in enumerate(text) if c != "\n" and c not in pieces}
+    plain = {(i, j, pieces[text[i:j]]) for i in range(len(text)) for j in range(i + 1, i + 6) if text[i:j] in pieces and j <= len(text)}
+    got = list(zip(start.tolist(), end.tolist(), piece.tolist(), strict=True))
+    assert len(got) == len(set(got)) and set(got) == plain | singles
+
+
+def test_many_words_cost_less_than_one_by_one():
+    own = tiny()
+    words, into = [w for w in odd_words(6_000) if len(w) < 99], np.zeros(len(PIECES))
+    begun = time.process_time()
+    for w in words:
+        own.expect(w, 1, into)
+    between = time.process_time()
+    own.expect_words(words, np.ones(len(words)), into)
+    assert time.process_time() - between < (between - begun) / 2
+
+
+def test_long_words_take_no_steps_of_their_own(monkeypatch):
+    own, seen = tiny(), []
+    plain = own._edges_of
+    monkeypatch.setattr(own, "_edges_of", lambda words: seen.append(max(map(len, words))) or plain(words))
+    own.words([b"abc" * (20_000 + i) for i in range(4)] + odd_words(500)[5:])
+    assert seen and max(seen) < 50
+
+
+def test_tasks_go_with_words(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "TASK_WORDS", 100)
+    counts = spark.createDataFrame([(f"w{i}".encode(), 1 + i % 3) for i in range(950)], "word binary, c bigint")
+    dealt = lattice.spread(counts, 950)
+    assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 950
+    assert lattice.spread(counts.limit(0), 0).count() == 0
+
+
 def base_by_hand(rows: list) -> dict:
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     counts: Counter = Counter()
