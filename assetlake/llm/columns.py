@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +16,44 @@ from assetlake.session import with_conf, work_path
 CHUNK_CHARS = 4_000_000
 #: Long texts make the usual 10,000 rows of a batch large, also outside the heap.
 _SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: By operator (its module), how to let go of what it keeps in this worker between its tasks.
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def keeps(owner: str, drop: Callable[[], object]) -> None:
+    """``owner`` keeps something in this worker until a task of another operator begins."""
+    _KEPT[owner] = drop
+
+
+def drop_others(owner: str) -> None:
+    """Let go of what other operators than ``owner`` have kept in this worker."""
+    for name in [n for n in _KEPT if n != owner]:
+        _KEPT.pop(name)()
+
+
+def give_back() -> None:
+    """Hand memory that was freed back to the system; glibc has to be asked for it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator], owner: str | None = None) -> Callable[[Iterator], Iterator]:
+    """``run`` as a task that keeps memory low in workers, which live on and serve one operator after the other.
+
+    The owner is the module of ``run`` unless it is given.
+    """
+    name = owner or run.__module__
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others(name)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
 
 
 def ascii_lower(text: Column) -> Column:
@@ -48,7 +87,7 @@ def map_texts(
                     [pa.array(columns[f.name], type=f.type) for f in fields], schema=fields
                 )
 
-    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run, function.__module__), schema)
 
 
 def runs(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetlake.llm.columns import runs, small_enough, store
+from assetlake.llm.columns import runs, small_enough, store, tidy
 from assetlake.llm.words import mix, shingle_sets
 
 #: A pair links when 100 * intersection >= PERCENT * union.
@@ -114,7 +114,7 @@ def _membership(docs: DataFrame, key: str, text: str) -> DataFrame:
                     [pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "n_shingles", "a", "b"]
                 )
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "id bigint, n_shingles bigint, a bigint, b bigint")
+    return docs.select(F.col(key).cast("long"), text).mapInArrow(tidy(run), "id bigint, n_shingles bigint, a bigint, b bigint")
 
 
 def _texts_with_digest(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -130,7 +130,7 @@ def _texts_with_digest(docs: DataFrame, key: str, text: str) -> DataFrame:
                 )
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), text)
-    return rows.mapInArrow(run, "id bigint, n_shingles bigint, a bigint, b bigint, text string")
+    return rows.mapInArrow(tidy(run), "id bigint, n_shingles bigint, a bigint, b bigint, text string")
 
 
 def _keys(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -156,7 +156,7 @@ def _keys(docs: DataFrame, key: str, text: str) -> DataFrame:
                     )
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), text)
-    return rows.mapInArrow(run, "key bigint, id bigint")
+    return rows.mapInArrow(tidy(run), "key bigint, id bigint")
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def _shared(keys: DataFrame) -> DataFrame:
             yield rows(held[:1], held[1:2], held[2:3])
 
     dealt = keys.repartition("key").sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(run, "key bigint, id bigint, center bigint")
+    return dealt.mapInArrow(tidy(run), "key bigint, id bigint, center bigint")
 
 
 def group_counts(shingles: np.ndarray) -> np.ndarray:
@@ -334,7 +334,7 @@ def _compare(members: DataFrame) -> DataFrame:
         yield from close()
 
     dealt = members.repartition("chunk").sortWithinPartitions("chunk", "side", "id")
-    return dealt.select("chunk", "side", "id", "text").mapInArrow(run, "u bigint, v bigint")
+    return dealt.select("chunk", "side", "id", "text").mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assetlake.llm.columns import runs, store
+from assetlake.llm.columns import keeps, runs, store, tidy
 
 CAPACITY = 4_096
 END_ID = 1
@@ -142,6 +142,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
+    keeps(__name__, encoder.cache_clear)
     return Encoder(path)
 
 
@@ -170,7 +171,7 @@ def cut_pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: i
                     [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields
                 )
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(tidy(run), schema)
 
 
 class Plan:
@@ -346,4 +347,4 @@ def pack(
                 [*(batch.column(c) for c in fields.names[:5]), pa.array(sequence), pa.array(offset)], schema=fields
             )
 
-    return ranked.select(key, "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, schema)
+    return ranked.select(key, "piece", "start", "length", "ids_crc32", "rank").mapInArrow(tidy(place), schema)

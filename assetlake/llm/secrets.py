@@ -34,7 +34,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from assetlake.llm.columns import map_texts
+from assetlake.llm.columns import keeps, map_texts, store, tidy
 
 KINDS = ("assign", "access", "hex", "guess")
 _WORD_END = "</w>"
@@ -84,6 +84,7 @@ def default_vocabulary() -> str:
 @lru_cache(maxsize=2)
 def _dictionary(vocabulary: str) -> ahocorasick.Automaton:
     """Words with their cost: those tried first, then the vocabulary's whole words of three letters or more by rank."""
+    keeps(__name__, _dictionary.cache_clear)
     with open(vocabulary, encoding="utf-8") as file:
         ids = json.load(file)["model"]["vocab"]
     whole = sorted((n, t[: -len(_WORD_END)]) for t, n in ids.items() if t.endswith(_WORD_END))
@@ -244,7 +245,10 @@ def redact(text: str, mark: str = "[SECRET]", vocabulary: str | None = None) ->
 
 
 def redacted_documents(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``docs``, all columns, with secrets in ``text`` replaced; null stays null."""
+    """``docs``, all columns, with secrets in ``text`` replaced; null stays null.
+
+    Whole texts go to Python and back, so the rows are stored: that is done in small batches, whatever the caller's settings.
+    """
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,4 +259,4 @@ def redacted_documents(docs: DataFrame, text: str = "text", vocabulary: str | No
                 clean = pa.array([None if t is None else redact(t, vocabulary=vocabulary) for t in column.to_pylist()], type=column.type)
                 yield part.set_column(at, part.schema.field(at), clean)
 
-    return docs.mapInArrow(run, docs.schema)
+    return store(docs.mapInArrow(tidy(run), docs.schema), "redacted")

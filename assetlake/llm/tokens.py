@@ -18,7 +18,7 @@ from functools import lru_cache
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from assetlake.llm.columns import map_texts
+from assetlake.llm.columns import keeps, map_texts
 
 MARK = "▁"
 _UNKNOWN_PENALTY = 10.0
@@ -107,6 +107,7 @@ class Counter:
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
+    keeps(__name__, counter.cache_clear)
     return Counter(vocabulary(path))
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetlake.llm.columns import crc32_of_id, map_texts, runs, small_enough, store
+from assetlake.llm.columns import crc32_of_id, map_texts, runs, small_enough, store, tidy
 
 SAMPLE = 10_000
 ENTRIES, EXCEPTIONS = 2_000, 2_000
@@ -177,7 +177,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
                         yield emit()
         yield emit()
 
-    counted = rows.mapInArrow(count, "entry string, clean bigint, toxic bigint")
+    counted = rows.mapInArrow(tidy(count), "entry string, clean bigint, toxic bigint")
     return counted.groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
@@ -235,7 +235,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
                     names=["toxic", "x", "y"],
                 )
 
-    seen = rows.mapInArrow(features, "toxic int, x double, y double").toArrow()  # at most 2 * sample rows of numbers
+    seen = rows.mapInArrow(tidy(features), "toxic int, x double, y double").toArrow()  # at most 2 * sample rows of numbers
     x = np.column_stack([seen.column(c).to_numpy() for c in ("x", "y")])
     lexicon.curve = _curve(x, seen.column("toxic").to_numpy().astype(float), weights)
     return lexicon
@@ -253,7 +253,7 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon) -> frozenset[str]:
                     names=["pair", "toxic"],
                 )
 
-    seen = rows.mapInArrow(pairs, "pair string, toxic int").groupBy("pair").agg(
+    seen = rows.mapInArrow(tidy(pairs), "pair string, toxic int").groupBy("pair").agg(
         F.count("*").alias("n"), F.sum("toxic").alias("toxic")
     )
     harmless = seen.where("n >= 3 and toxic = 0").orderBy(F.col("n").desc(), "pair").limit(EXCEPTIONS)
@@ -291,7 +291,7 @@ def harmless_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = THR
                     yield part.select([0, 1]).filter(pa.array(bad))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = rows.mapInArrow(reject, f"doc_id {kind}, _toxic_hash bigint").distinct().withColumnRenamed("doc_id", "_toxic_id")
+    marked = rows.mapInArrow(tidy(reject), f"doc_id {kind}, _toxic_hash bigint").distinct().withColumnRenamed("doc_id", "_toxic_id")
     marked = store(marked, "toxic")
     same = docs["doc_id"].eqNullSafe(F.col("_toxic_id")) & (F.xxhash64(docs["text"]) == F.col("_toxic_hash"))
     return docs.join(small_enough(marked, BROADCAST_ROWS), same, "left_anti")
