@@ -219,6 +219,75 @@ def test_numbers_go_on_over_batches_and_restarts(spark, tmp_path):
     assert kept and max(kept) <= 4 + 1
 
 
+def test_numbering_a_group_reads_and_writes_its_state_once():
+    from pyspark.sql import Row
+
+    from assetlake.streaming.fifo import _Numbers
+
+    class State:
+        def __init__(self):
+            self.value, self.calls = None, []
+
+        def __getattr__(self, name):
+            def call(*given):
+                self.calls.append(name)
+                if name == "update":
+                    self.value = given[0]
+                return self.value if name == "get" else self.value is not None
+
+            return call
+
+    class Handle:
+        state = State()
+
+        def getValueState(self, name, schema):
+            return self.state
+
+    numbers = _Numbers(["at", "m"], "seq")
+    numbers.init(Handle())
+    first = [Row(m="b", at=None), Row(m=None, at=5), Row(m="c", at=1), Row(m="a", at=5), Row(m="a", at=None)]
+    got = list(numbers.handleInputRows(("g",), iter(first), None))
+    assert [(r.m, r.at, r.seq) for r in got] == [("c", 1, 1), ("a", 5, 2), (None, 5, 3), ("a", None, 4), ("b", None, 5)]
+    (more,) = numbers.handleInputRows(("g",), iter([Row(m="d", at=0)]), None)
+    assert more.seq == 6 and Handle.state.value == (6,)
+    assert Handle.state.calls == ["get", "update"] * 2
+
+
+def test_a_stream_that_began_with_frames_goes_on(spark, tmp_path):
+    from assetlake.session import with_conf
+    from assetlake.streaming import fifo
+
+    queue, out, checkpoint = Queue("q", str(tmp_path / "q")), str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def send(ids):
+        queue.send(spark, spark.createDataFrame([(f"m{i}", f"g{i % 2}", i, "x") for i in ids], "message_id string, group_id string, t long, body string").withColumn("sent_at", F.timestamp_seconds("t")))
+
+    send(range(6))
+    assert not fifo.began_with_frames(spark, checkpoint)
+    old = fifo.fifo_numbers(queue.stream(spark), "group_id", ["sent_at", "message_id"], "message_id", frames=True)
+    with with_conf(spark, fifo.STATE_CONF):
+        old.writeStream.foreachBatch(lambda b, i: write_batch(b, out, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    assert fifo.began_with_frames(spark, checkpoint)
+    send(range(4, 10))
+    fifo.run_fifo(spark, queue, out, checkpoint).awaitTermination()
+    got = {(r["message_id"], r["seq"]) for r in spark.read.parquet(f"{out}/*").collect()}
+    assert got == {(f"m{i}", i // 2 + 1) for i in range(10)}
+
+
+def test_numbers_follow_time_when_clocks_are_set_back(spark, tmp_path):
+    from assetlake.session import with_conf
+    from assetlake.streaming.fifo import run_fifo
+
+    queue, out = Queue("q", str(tmp_path / "q")), str(tmp_path / "out")
+    at = {"first": 1_699_162_200, "second": 1_699_164_900}  # 01:30 before, 01:15 after the change
+    with with_conf(spark, {"spark.sql.session.timeZone": "America/New_York"}):
+        rows = spark.createDataFrame([(m, "g", t, "x") for m, t in at.items()], "message_id string, group_id string, t long, body string")
+        queue.send(spark, rows.withColumn("sent_at", F.timestamp_seconds("t")))
+        run_fifo(spark, queue, out, str(tmp_path / "cp")).awaitTermination()
+        got = spark.read.parquet(f"{out}/*").select("message_id", "seq", F.unix_seconds("sent_at").alias("t")).collect()
+    assert {(r["message_id"], r["seq"], r["t"]) for r in got} == {("first", 1, at["first"]), ("second", 2, at["second"])}
+
+
 def test_pending_stream_equals_the_queue_and_forgets(spark, tmp_path):
     from assetlake.streaming.pending import pending_stream
 
