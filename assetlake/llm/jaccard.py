@@ -6,6 +6,8 @@ The join is exact and never lists the pairs of a group of copies:
 2. *Shards.* Shingle hashes are cut into blocks by value. Two sets that link differ in at most
    (|x| + |y|) / 9 elements, so in at most as many blocks. Of its non-empty blocks, in an order common to
    all sets (most elements first), each set gives the first one more than that as keys: linked sets share a key.
+   In small sets a block is little more than a shingle, and one of a very common line would bring all sets with that line
+   together: such blocks are counted, and the common ones come last in the order.
    The number of blocks belongs to a size class; a set also gives keys for the class below if a partner can be there.
 3. *Neighbourhoods.* Sets that share keys gather round the set with which they share most, and a neighbourhood
    is split into chunks of bounded size. A set also visits the other chunks in which a set shares a key with it
@@ -39,6 +41,8 @@ GROUPS = 64
 CHUNK_SETS, CHUNK_SHINGLES = 256, 1_000_000
 #: Sets below this size have single shingles as blocks.
 SMALL = 64
+#: Below this size the blocks of sets are counted; one that more than COMMON_SETS have is common, of which the most common are kept.
+COUNTED, COMMON_SETS, COMMON_KEYS = 128, 32, 65_536
 _BATCH_BYTES = 400_000
 BROADCAST_ROWS = 1_000_000
 _SEEN_SETS = 1_000_000
@@ -66,8 +70,37 @@ def set_digest(shingles: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def _first_blocks(shingles: np.ndarray, blocks: int, differing: int, salt: int) -> np.ndarray:
-    """Keys of the first ``differing + 1`` non-empty blocks."""
+class Common:
+    """Keys that very many sets have; rarer ones come first in every set."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        """``keys``: the common ones, the least common first."""
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], (order + 1).astype(np.uint32)
+
+    def rank(self, keys: np.ndarray) -> np.ndarray:
+        """0 for a key that is not common."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.uint32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.ranks[at], np.uint32(0))
+
+
+_NONE = Common(np.empty(0, np.uint64))
+
+
+def _blocks(level: int) -> int:
+    """Blocks of the sets with 2^level shingles and more; 0 stands for single shingles."""
+    return (3 << level) // 4 if 1 << level >= SMALL else 0
+
+
+def _salt(level: int) -> int:
+    return 2 * level + 1 if 1 << level >= SMALL else 1
+
+
+def _block_keys(shingles: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all non-empty blocks of a size class, and how many shingles each has."""
+    blocks = _blocks(level)
     if blocks:
         at = ((shingles >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
         starts = np.flatnonzero(np.diff(at, prepend=at[:1] + np.uint64(1)))
@@ -75,31 +108,37 @@ def _first_blocks(shingles: np.ndarray, blocks: int, differing: int, salt: int)
         counts = np.diff(starts, append=len(shingles))
     else:
         sums, counts = mix(shingles), np.ones(len(shingles), dtype=np.int64)
-    keys = mix(sums ^ np.uint64(salt))
+    return mix(sums ^ np.uint64(_salt(level))), counts
+
+
+def _first_blocks(shingles: np.ndarray, level: int, differing: int, common: Common) -> np.ndarray:
+    """Keys of the first ``differing + 1`` non-empty blocks."""
+    keys, counts = _block_keys(shingles, level)
     if len(keys) <= differing + 1:
         return keys
-    order = np.lexsort((keys, -counts))
+    if 1 << level < COUNTED:
+        order = np.lexsort((keys, -counts, common.rank(keys)))
+    else:
+        order = np.lexsort((keys, -counts))
     return keys[order[: differing + 1]]
 
 
-def shard_keys(shingles: np.ndarray) -> np.ndarray:
-    """Keys such that any two sets that link share one."""
-    size = len(shingles)
-    if not size:
-        return np.empty(0, np.uint64)
+def _levels(size: int) -> list[tuple[int, int]]:
+    """(size class, blocks that may differ) for which a set of that size gives keys."""
     level = size.bit_length() - 1
     if size < SMALL:
-        return _first_blocks(shingles, 0, size // 4, 1)
+        return [(0, size // 4)]
     floor = 1 << level  # sets of this class have at least so many shingles
-    blocks = lambda k: (3 << k) // 4
-    keys = [_first_blocks(shingles, blocks(level), size // 4, 2 * level + 1)]
     if 4 * size < 5 * floor:  # 0.8 * size < floor: the smaller one of a pair can be in the class below
-        differing = (size + floor - 1) // 9
-        if floor == SMALL:
-            keys.append(_first_blocks(shingles, 0, differing, 1))
-        else:
-            keys.append(_first_blocks(shingles, blocks(level - 1), differing, 2 * level - 1))
-    return np.concatenate(keys)
+        return [(level, size // 4), (level - 1, (size + floor - 1) // 9)]
+    return [(level, size // 4)]
+
+
+def shard_keys(shingles: np.ndarray, common: Common = _NONE) -> np.ndarray:
+    """Keys such that any two sets that link share one, whatever keys are ``common``, if that is the same for both."""
+    if not len(shingles):
+        return np.empty(0, np.uint64)
+    return np.concatenate([_first_blocks(shingles, level, differing, common) for level, differing in _levels(len(shingles))])
 
 
 def _membership(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -133,8 +172,29 @@ def _texts_with_digest(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(tidy(run), "id bigint, n_shingles bigint, a bigint, b bigint, text string")
 
 
+def _common(docs: DataFrame, key: str, text: str) -> Common:
+    """The most common keys of small sets. They decide on an order only, so a long text need not be looked at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in runs(batch):
+                keys = []
+                for shingles in sets_of(texts):
+                    if 0 < len(shingles) < COUNTED:
+                        keys += [_block_keys(shingles, level)[0] for level, _ in _levels(len(shingles))]
+                if keys:
+                    found, counts = np.unique(np.concatenate(keys), return_counts=True)
+                    yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
+
+    rows = docs.where(F.col(key).isNotNull() & (F.octet_length(text) <= 12 * COUNTED)).select(F.col(key).cast("long"), text)
+    counts = rows.mapInArrow(tidy(run), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON_SETS)
+    most = counts.orderBy(F.desc("n"), "key").limit(COMMON_KEYS).select("key").toArrow().column("key").to_numpy()
+    return Common(most[::-1].view(np.uint64))
+
+
 def _keys(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, id) of every set; a task gives equal sets once."""
+    common = _common(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -147,7 +207,7 @@ def _keys(docs: DataFrame, key: str, text: str) -> DataFrame:
                         continue
                     if len(seen) < _SEEN_SETS:
                         seen.add(digest)
-                    own = shard_keys(shingles)
+                    own = shard_keys(shingles, common)
                     keys.append(own)
                     owners.append(np.full(len(own), i, dtype=np.int64))
                 if keys:

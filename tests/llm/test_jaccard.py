@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 from common import documents, odd_rows, prose
+from pyspark.sql import functions as F
 
 from assetlake.llm import jaccard
 from assetlake.llm.jaccard import Chunk, CountTree, _links, distinct_documents, near_duplicates, shard_keys
@@ -99,6 +100,28 @@ def test_linked_sets_share_a_key(size):
             assert set(shard_keys(small).tolist()) & set(shard_keys(large).tolist())
 
 
+def test_a_common_line_brings_no_sets_together(spark):
+    rng = np.random.default_rng(5)
+    line = " ".join(f"c{i}" for i in range(20))
+    texts = [f"{line} {' '.join(f'w{x}' for x in rng.integers(0, 10**6, n))}" for n in rng.integers(25, 90, 400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    together = jaccard._keys(docs, "doc_id", "text").groupBy("key").agg(F.countDistinct("id").alias("n")).agg(F.max("n")).first()[0]
+    assert together <= jaccard.COMMON_SETS
+    assert near_duplicates(docs).where("component_id <> doc_id").count() == 0
+
+
+@pytest.mark.parametrize("size", [5, 20, 63, 64, 70, 79, 127, 128, 150, 300])
+def test_linked_sets_share_a_key_whatever_is_common(size):
+    rng = np.random.default_rng(size)
+    for _ in range(60):
+        x = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        y = np.unique(np.concatenate((x[rng.permutation(len(x))[: len(x) - len(x) // 10]], rng.integers(0, 2**64, len(x) // 10, dtype=np.uint64))))
+        if _links(x, y):
+            known = np.unique(np.concatenate([jaccard._block_keys(s, level)[0] for s in (x, y) for level, _ in jaccard._levels(len(s))]))
+            common = jaccard.Common(rng.permutation(known)[: rng.integers(0, len(known) + 1)])
+            assert set(shard_keys(x, common).tolist()) & set(shard_keys(y, common).tolist())
+
+
 def test_tree_finds_every_link():
     texts = [t.encode() for _, t in family()]
     sets = shingle_sets(texts)
